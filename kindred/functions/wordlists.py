@@ -58,9 +58,14 @@ PROSE_PHRASES = [
     "sample from", "interpolates", "genius annotation", "this song", "the music video",
     "grand final", "applause", "laughter", "thank you all", "said to me",
 ]
-# Phrases that need a pattern; \p{Nd} is a decimal digit in any script.
+# Phrases that need a pattern; \p{Nd} is a decimal digit in any script.  Each
+# comes with the plain text that any match contains.
 PROSE_PATTERNS = [
-    r"feat\.", r"\(\p{Nd}+p\)", r"semi.?final", r"class of \p{Nd}{4}", r"chapter \p{Nd}",
+    (r"feat\.", "feat."),
+    (r"\(\p{Nd}+p\)", "p)"),
+    (r"semi.?final", "final"),
+    (r"class of \p{Nd}{4}", "class of "),
+    (r"chapter \p{Nd}", "chapter "),
 ]
 # Phrases that must end at a word boundary.
 PROSE_WORD_ENDS = ["he said", "she said", "replied", "murmured"]
