@@ -1,0 +1,98 @@
+"""Blocked matrix products: similarity of many songs to many songs.
+
+Rows are dealt into blocks by a hash of their id, so blocks are even whatever
+the songs look like.  Each pair of blocks is one task of bounded size; a task
+emits k rows per song and never a pair list.  Comparing everything with
+everything is quadratic by definition: use it for all neighbours, and the
+seed or pair searches, which prune, for anything less.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from kindred.operators.matrices import SPARSE, matrix_reader, vector_columns
+
+BLOCK_ROWS = 2_000
+DIGITS = 6
+
+
+def blocked_top_k(left: DataFrame, right: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k most similar rows of ``right`` for each row of ``left``.
+
+    ``left`` holds ``seed_id, song_id`` and its vector, ``right`` holds
+    ``song_id, seq`` and its vector.  A row is not its own neighbour.
+    """
+    cols = vector_columns(right)
+    n_left, n_right = left.count(), right.count()
+    b_left = max(1, math.ceil(n_left / block_rows))
+    b_right = max(1, math.ceil(n_right / block_rows))
+
+    def dealt(df, blocks, own, other_blocks, other):
+        return df.withColumn(own, F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1)))
+        )
+
+    queries = dealt(left, b_left, "_bl", b_right, "_br").select(
+        "_bl", "_br", F.lit(True).alias("_query"), "seed_id", "song_id", F.lit(None).cast("bigint").alias("seq"), *cols
+    )
+    corpus = dealt(right, b_right, "_br", b_left, "_bl").select(
+        "_bl", "_br", F.lit(False).alias("_query"), F.lit(None).cast(left.schema["seed_id"].dataType).alias("seed_id"),
+        "song_id", F.col("seq").cast("bigint").alias("seq"), *cols
+    )
+    seed = left.schema["seed_id"].dataType.simpleString()
+    song = right.schema["song_id"].dataType.simpleString()
+    scored = (
+        queries.union(corpus)
+        .groupBy("_bl", "_br")
+        .applyInArrow(
+            _block_scorer(cols == SPARSE, k),
+            f"seed_id {seed}, song_id {song}, seq bigint, similarity double",
+        )
+    )
+    order = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "seq")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("seed_id", "rank", "song_id", "similarity")
+
+
+def _block_scorer(sparse: bool, k: int):
+    read = matrix_reader(sparse)
+    digits = DIGITS
+
+    def score(table):
+        import numpy as np
+        import pyarrow as pa
+
+        query = table.column("_query").to_numpy()
+        seq = table.column("seq").to_pandas().fillna(0).to_numpy()
+        ids = table.column("song_id").to_pandas().to_numpy()
+        x = read(table)
+        left = np.flatnonzero(query)
+        right = np.flatnonzero(~query)
+        right = right[np.argsort(seq[right], kind="stable")]  # ties: lower seq first
+        sims = np.round(x[left] @ x[right].T, digits)
+        sims[ids[left][:, None] == ids[right][None, :]] = -np.inf
+        take = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(sims, take, axis=1)
+        real = np.isfinite(best)
+        rows = np.repeat(left, take.shape[1]).reshape(take.shape)[real]
+        hits = right[take[real]]
+        return pa.table(
+            {
+                "seed_id": table.column("seed_id").take(pa.array(rows)),
+                "song_id": table.column("song_id").take(pa.array(hits)),
+                "seq": table.column("seq").take(pa.array(hits)),
+                "similarity": pa.array(best[real] + 0.0),
+            }
+        )
+
+    return score
+
+
+def all_neighbours(vectors: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest songs of every song: ``seed_id, rank, song_id, similarity``."""
+    left = vectors.withColumn("seed_id", F.col("song_id"))
+    return blocked_top_k(left, vectors, k, block_rows=block_rows)
