@@ -90,13 +90,14 @@ def top_by_vectors(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
         own = vectors.join(wanted, F.col("song_id") == F.col("seed_song"))
         own = own.select("seed_id", "song_id", "seq", "vector")
         return blocked_top_k(own, vectors, k)
-    rows = few.join(vectors, F.col("song_id") == F.col("seed_song")).select("seed_id", "song_id", "vector").collect()
-    if not rows:
+    # DENSE_SEEDS rows at most.
+    rows = vectors.join(few, F.col("song_id") == F.col("seed_song")).select("seed_id", "song_id", "vector").toArrow()
+    if not rows.num_rows:
         return _best(
             vectors.sparkSession.createDataFrame([], _scored_schema(vectors, wanted)), k
         ).select("seed_id", "rank", "song_id", "similarity")
     scored = vectors.select("song_id", "seq", "vector").mapInArrow(
-        _dense_scorer([r["seed_id"] for r in rows], [r["song_id"] for r in rows], [r["vector"] for r in rows], k),
+        _dense_scorer(rows, k),
         _scored_schema(vectors, wanted),
     )
     return _best(scored, k).select("seed_id", "rank", "song_id", "similarity")
@@ -108,20 +109,17 @@ def _scored_schema(vectors: DataFrame, seeds: DataFrame) -> str:
     return f"seed_id {seed}, song_id {kind['song_id']}, seq {kind['seq']}, similarity double"
 
 
-def _dense_scorer(seed_ids, seed_songs, seed_vectors, k):
-    import numpy as np
-
+def _dense_scorer(seeds, k: int):
     read = matrix_reader(sparse=False)
-    q = np.array(seed_vectors, dtype="float64")
-    norm = np.sqrt((q * q).sum(axis=1, keepdims=True))
-    q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
     digits = DIGITS
 
     def score(batches):
         import numpy as np
         import pyarrow as pa
 
-        songs = np.array(seed_songs)
+        q = read(seeds)
+        seed_ids = seeds.column("seed_id").combine_chunks()
+        songs = seeds.column("song_id").to_numpy()
         best = None  # per seed: scores, seqs and ids of the k best so far
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -140,10 +138,10 @@ def _dense_scorer(seed_ids, seed_songs, seed_vectors, k):
         if best is not None:
             sims, seqs, ids = best
             real = np.isfinite(sims)
-            seed = np.repeat(np.arange(len(seed_ids)), sims.shape[1]).reshape(sims.shape)[real]
+            seed = np.repeat(np.arange(len(songs)), sims.shape[1]).reshape(sims.shape)[real]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([seed_ids[i] for i in seed]),
+                    seed_ids.take(pa.array(seed)),
                     pa.array(ids[real]),
                     pa.array(seqs[real]),
                     pa.array(sims[real] + 0.0),
