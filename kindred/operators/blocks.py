@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators.matrices import SPARSE, matrix_reader, vector_columns
+from kindred.operators.matrices import SPARSE, best_columns, row_scorer, vector_columns
 
 BLOCK_ROWS = 2_000
 DIGITS = 6
@@ -59,8 +59,8 @@ def blocked_top_k(left: DataFrame, right: DataFrame, k: int, *, block_rows: int
 
 
 def _block_scorer(sparse: bool, k: int):
-    read = matrix_reader(sparse)
-    digits = DIGITS
+    scores = row_scorer(sparse, DIGITS)
+    best = best_columns(k)
 
     def score(table):
         import numpy as np
@@ -69,23 +69,26 @@ def _block_scorer(sparse: bool, k: int):
         query = table.column("_query").to_numpy()
         seq = table.column("seq").to_pandas().fillna(0).to_numpy()
         ids = table.column("song_id").to_pandas().to_numpy()
-        x = read(table)
         left = np.flatnonzero(query)
         right = np.flatnonzero(~query)
         right = right[np.argsort(seq[right], kind="stable")]  # ties: lower seq first
-        sims = np.round(x[left] @ x[right].T, digits)
-        sims[ids[left][:, None] == ids[right][None, :]] = -np.inf
-        take = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(sims, take, axis=1)
-        real = np.isfinite(best)
-        rows = np.repeat(left, take.shape[1]).reshape(take.shape)[real]
-        hits = right[take[real]]
+        rows, hits, values = [], [], []
+        for chunk, sims in scores(table, left, right):
+            sims[ids[chunk][:, None] == ids[right][None, :]] = -np.inf
+            for row, line in zip(chunk, sims):
+                take = best(line)
+                take = take[np.isfinite(line[take])]
+                rows.append(np.full(len(take), row))
+                hits.append(right[take])
+                values.append(line[take])
+        rows = pa.array(np.concatenate(rows) if rows else np.zeros(0, "int64"))
+        hits = pa.array(np.concatenate(hits) if hits else np.zeros(0, "int64"))
         return pa.table(
             {
-                "seed_id": table.column("seed_id").take(pa.array(rows)),
-                "song_id": table.column("song_id").take(pa.array(hits)),
-                "seq": table.column("seq").take(pa.array(hits)),
-                "similarity": pa.array(best[real] + 0.0),
+                "seed_id": table.column("seed_id").take(rows),
+                "song_id": table.column("song_id").take(hits),
+                "seq": table.column("seq").take(hits),
+                "similarity": pa.array(np.concatenate(values) if values else np.zeros(0)),
             }
         )
 

@@ -25,6 +25,7 @@ COMPONENTS = 100
 OVERSAMPLES = 10
 ITERATIONS = 5
 CHUNK_TERMS = 32_768
+BLOCK_TERMS = 128
 
 
 @dataclass
@@ -41,23 +42,27 @@ class LatentModel:
 
 
 def _gram_pass(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
-    """A'(AQ), summed over all tasks."""
+    """A'(AQ), summed over all tasks.
+
+    A share is cut into blocks of vocabulary rows, and a block's shares are
+    added one by one as they arrive, whatever the number of tasks.
+    """
     summed = (
         vectors.select("term_ids", "weights")
-        .mapInArrow(_gram_share(q, CHUNK_TERMS), "term_id int, share array<double>")
-        .groupBy("term_id")
-        .agg(vector_to_array(Summarizer.sum(array_to_vector("share"))).alias("row"))
+        .mapInArrow(_gram_share(q, CHUNK_TERMS, BLOCK_TERMS), "block int, share array<double>")
+        .groupBy("block")
+        .agg(vector_to_array(Summarizer.sum(array_to_vector("share"))).alias("rows"))
     )
     out = np.zeros_like(q)
-    # At most one row per vocabulary term comes back.
-    table = summed.toArrow()
-    if table.num_rows:
-        rows = table.column("row").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        out[table.column("term_id").to_numpy()] = rows.reshape(table.num_rows, -1)
+    # One row per block of the vocabulary comes back: Q's own size.
+    for row in summed.toArrow().to_pylist():
+        start = row["block"] * BLOCK_TERMS
+        part = np.array(row["rows"]).reshape(-1, q.shape[1])
+        out[start : start + len(part)] = part
     return out
 
 
-def _gram_share(q: np.ndarray, chunk_terms: int):
+def _gram_share(q: np.ndarray, chunk_terms: int, block_terms: int):
     def share(batches):
         import numpy as np
         import pyarrow as pa
@@ -83,12 +88,11 @@ def _gram_share(q: np.ndarray, chunk_terms: int):
                 heads = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1])))
                 total[terms[heads]] += np.add.reduceat(w[by_term] * aq[local[by_term]], heads, axis=0)
                 start = stop
-        used = np.flatnonzero(total.any(axis=1))
-        for part in np.array_split(used, max(1, len(used) // 2_000)):
-            flat = pa.array(total[part].ravel())
-            sizes = pa.array(np.arange(len(part) + 1) * q.shape[1], pa.int32())
+        for block, start in enumerate(range(0, len(total), block_terms)):
+            flat = pa.array(total[start : start + block_terms].ravel())
+            ends = pa.array([0, len(flat)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype("int32")), pa.ListArray.from_arrays(sizes, flat)], ["term_id", "share"]
+                [pa.array([block], pa.int32()), pa.ListArray.from_arrays(ends, flat)], ["block", "share"]
             )
 
     return share

@@ -1,6 +1,6 @@
 """Small NumPy helpers that run inside Arrow tasks.
 
-The functions handed to Spark are closures that hold everything they need, so
+Each function here returns a closure that holds everything it needs, so
 executors do not have to import this package.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 SPARSE = ("term_ids", "weights")
 DENSE = ("vector",)
+CHUNK_ROWS = 128
 
 
 def vector_columns(vectors) -> tuple[str, ...]:
@@ -15,30 +16,84 @@ def vector_columns(vectors) -> tuple[str, ...]:
     return DENSE if "vector" in vectors.columns else SPARSE
 
 
-def matrix_reader(sparse: bool):
-    """A function from an Arrow table to unit-length matrix rows.
-
-    Sparse rows are laid out over the ids that occur in the table at hand, so
-    the matrix is as wide as the block needs and no wider.  Rows without
-    weight stay zero.
-    """
+def unit_matrix():
+    """A function from an Arrow table with ``vector`` to unit-length rows; zero rows stay zero."""
 
     def read(table):
         import numpy as np
 
         n = table.num_rows
-        if sparse:
-            ids = table.column("term_ids").combine_chunks()
-            lengths = np.diff(ids.offsets.to_numpy())
-            flat = ids.flatten().to_numpy(zero_copy_only=False)
-            weights = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            used, where = np.unique(flat, return_inverse=True)
-            x = np.zeros((n, max(len(used), 1)))
-            x[np.repeat(np.arange(n), lengths), where] = weights
-            return x
         flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = flat.astype("float64").reshape(n, -1)
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
     return read
+
+
+def row_scorer(sparse: bool, digits: int, chunk_rows: int | None = None):
+    """A generator of rounded similarities of some rows of a table to others.
+
+    ``score(table, left, right)`` yields ``(rows, sims)`` for a few rows of
+    ``left`` at a time against all of ``right``, so memory stays at a chunk
+    times one block.  Dense rows are one matrix product.  Sparse rows are
+    matched through the other side's entries sorted by term, so the work is
+    the number of shared terms and no matrix as wide as the vocabulary exists.
+    """
+    step = chunk_rows or CHUNK_ROWS
+    read = unit_matrix()
+
+    def dense(table, left, right):
+        import numpy as np
+
+        x = read(table)
+        other = x[right].T
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            yield rows, np.round(x[rows] @ other, digits) + 0.0
+
+    def entries(table, rows):
+        import numpy as np
+
+        part = table.take(rows)
+        ids = part.column("term_ids").combine_chunks()
+        lengths = np.diff(ids.offsets.to_numpy())
+        weights = part.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return np.repeat(np.arange(len(rows)), lengths), ids.flatten().to_numpy(zero_copy_only=False), weights
+
+    def matched(table, left, right):
+        import numpy as np
+
+        r_row, r_term, r_weight = entries(table, right)
+        order = np.argsort(r_term, kind="stable")
+        r_row, r_term, r_weight = r_row[order], r_term[order], r_weight[order]
+        n = len(right)
+        for at in range(0, len(left), step):
+            rows = left[at : at + step]
+            l_row, l_term, l_weight = entries(table, rows)
+            begin = np.searchsorted(r_term, l_term, "left")
+            hits = np.searchsorted(r_term, l_term, "right") - begin
+            before = np.cumsum(hits) - hits
+            where = np.arange(hits.sum()) + np.repeat(begin - before, hits)
+            cell = np.repeat(l_row, hits) * n + r_row[where]
+            value = np.repeat(l_weight, hits) * r_weight[where]
+            sims = np.bincount(cell, weights=value, minlength=len(rows) * n)
+            yield rows, np.round(sims.reshape(len(rows), n), digits) + 0.0
+
+    return matched if sparse else dense
+
+
+def best_columns(k: int):
+    """Indices of the k largest entries of a row, ties to the lower column."""
+
+    def best(row):
+        import numpy as np
+
+        if len(row) > k:
+            floor = np.partition(row, len(row) - k)[len(row) - k]
+            near = np.flatnonzero(row >= floor)
+        else:
+            near = np.arange(len(row))
+        return near[np.argsort(-row[near], kind="stable")][:k]
+
+    return best

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators.matrices import SPARSE, matrix_reader, vector_columns
+from kindred.operators.matrices import SPARSE, row_scorer, vector_columns
 from kindred.operators.terms import postings
 from kindred.sources.shared import save_stage
 
@@ -42,8 +42,7 @@ def sample_pair_scores(sample: DataFrame) -> DataFrame:
 
 
 def _pair_lister(sparse: bool, chunks: int):
-    read = matrix_reader(sparse)
-    digits = DIGITS
+    scores = row_scorer(sparse, DIGITS)
 
     def score(table):
         import numpy as np
@@ -51,16 +50,19 @@ def _pair_lister(sparse: bool, chunks: int):
 
         part = table.column("_part")[0].as_py()
         table = table.sort_by("seq")
-        x = read(table)
-        mine = np.arange(part, len(x), chunks)
-        sims = np.round(x[mine] @ x.T, digits) + 0.0
-        a, b = np.nonzero(np.arange(len(x))[None, :] > mine[:, None])
+        everyone = np.arange(table.num_rows)
+        firsts, seconds, values = [], [], []
+        for chunk, sims in scores(table, everyone[part::chunks], everyone):
+            a, b = np.nonzero(everyone[None, :] > chunk[:, None])
+            firsts.append(chunk[a])
+            seconds.append(b)
+            values.append(sims[a, b])
         ids = table.column("song_id")
         return pa.table(
             {
-                "song_a": ids.take(pa.array(mine[a])),
-                "song_b": ids.take(pa.array(b)),
-                "similarity": pa.array(sims[a, b]),
+                "song_a": ids.take(pa.array(np.concatenate(firsts))),
+                "song_b": ids.take(pa.array(np.concatenate(seconds))),
+                "similarity": pa.array(np.concatenate(values)),
             }
         )
 
@@ -254,33 +256,34 @@ def _shard_finder(shard_of: dict[int, int], blocks_of: dict[int, int]):
 
 
 def _shard_scorer(bound: float, k: int):
-    read = matrix_reader(sparse=True)
-    digits = DIGITS
+    scores = row_scorer(sparse=True, digits=DIGITS)
 
     def score(table):
         import numpy as np
         import pyarrow as pa
 
         table = table.sort_by("seq")
-        bi = table.column("_bi")[0].as_py()
-        bj = table.column("_bj")[0].as_py()
+        across = table.column("_bi")[0].as_py() != table.column("_bj")[0].as_py()
         own = table.column("_own").to_numpy()
-        x = read(table)
-        sims = np.round(x @ x.T, digits) + 0.0
-        ok = np.triu(np.ones_like(sims, dtype=bool), 1) & (sims > 0) & (sims >= bound)
-        if bi != bj:  # pairs within one block belong to that block's own task
-            ok &= own[:, None] != own[None, :]
-        a, b = np.nonzero(ok)
-        take = np.lexsort((b, a, -sims[a, b]))[:k]
-        a, b = a[take], b[take]
+        everyone = np.arange(table.num_rows)
+        best = (np.zeros(0), np.zeros(0, "int64"), np.zeros(0, "int64"))
+        for chunk, sims in scores(table, everyone, everyone):
+            ok = (sims > 0) & (sims >= bound) & (everyone[None, :] > chunk[:, None])
+            if across:  # pairs within one block belong to that block's own task
+                ok &= own[chunk][:, None] != own[None, :]
+            a, b = np.nonzero(ok)
+            value, first, second = (np.concatenate(p) for p in zip(best, (sims[a, b], chunk[a], b)))
+            take = np.lexsort((second, first, -value))[:k]
+            best = (value[take], first[take], second[take])
+        value, first, second = best
         ids, seqs = table.column("song_id"), table.column("seq")
         return pa.table(
             {
-                "song_a": ids.take(pa.array(a)),
-                "song_b": ids.take(pa.array(b)),
-                "seq_a": seqs.take(pa.array(a)),
-                "seq_b": seqs.take(pa.array(b)),
-                "similarity": pa.array(sims[a, b]),
+                "song_a": ids.take(pa.array(first)),
+                "song_b": ids.take(pa.array(second)),
+                "seq_a": seqs.take(pa.array(first)),
+                "seq_b": seqs.take(pa.array(second)),
+                "similarity": pa.array(value),
             }
         )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kindred.functions import text as tx
 from kindred.functions import wordlists as wl
 from kindred.functions.text import compute_once
+from kindred.sources.shared import broadcast_if_bounded
 
 BROADCAST_TERMS = 1_000_000
 
@@ -70,22 +71,20 @@ def fit_vocabulary(
 
 
 def term_vectors(
-    songs: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", *, use_idf: bool = True,
-    max_features: int = wl.MAX_FEATURES,
+    songs: DataFrame, vocabulary: DataFrame, tokens: str = "tokens", *, use_idf: bool = True
 ) -> DataFrame:
     """Unit-length term vectors under a fitted vocabulary.
 
     Songs are spread by id while they are still one compact row each.  The
-    exploded terms stay where they are: the vocabulary is broadcast (its size
-    is capped when it is fitted) and both groupings are by song, so there is
-    no second shuffle.  An empty marker term, with no weight, keeps songs that
+    exploded terms stay where they are: the vocabulary is broadcast once its
+    size is checked and both groupings are by song, so there is no second
+    shuffle.  An empty marker term, with no weight, keeps songs that
     have no vocabulary term at all: their vector is empty.
     """
     spread = song_terms(songs.select("song_id", "seq", tokens).repartition("song_id"), tokens)
     marker = vocabulary.sparkSession.createDataFrame([("", -1, 0.0)], "term string, term_id int, idf double")
     vocab = vocabulary.select("term", "term_id", (F.col("idf") if use_idf else F.lit(1.0)).alias("idf")).union(marker)
-    if max_features <= BROADCAST_TERMS:
-        vocab = F.broadcast(vocab)
+    vocab, _ = broadcast_if_bounded(vocab, BROADCAST_TERMS)
     counted = (
         spread.select("song_id", "seq", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
         .join(vocab, "term")
@@ -138,6 +137,6 @@ def top_terms(vectors: DataFrame, vocabulary: DataFrame, n: int = 20) -> DataFra
         lambda p: F.struct((-F.round(p["weight"], 6)).alias("o"), p["term_id"].alias("term_id"), p["weight"].alias("weight")),
     )
     best = vectors.select("song_id", F.posexplode(F.slice(F.sort_array(keyed), 1, n)).alias("_i", "_t"))
-    names = F.broadcast(vocabulary.select("term_id", "term"))
+    names, _ = broadcast_if_bounded(vocabulary.select("term_id", "term"), BROADCAST_TERMS)
     flat = best.select("song_id", (F.col("_i") + 1).alias("rank"), "_t.term_id", "_t.weight")
     return flat.join(names, "term_id").select("song_id", "rank", "term", "weight")

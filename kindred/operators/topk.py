@@ -11,41 +11,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.blocks import blocked_top_k
-from kindred.operators.matrices import DENSE, matrix_reader, vector_columns
+from kindred.operators.matrices import DENSE, best_columns, unit_matrix, vector_columns
 from kindred.operators.terms import postings
 from kindred.sources.shared import broadcast_if_bounded, save_stage
 
 DIGITS = 6
 BROADCAST_SEEDS = 20_000
+BROADCAST_POSTINGS = 2_000_000
 DENSE_SEEDS = 2_048
 SALTS = 64
 
 
-def _best(scored: DataFrame, k: int, by: str = "seed_id") -> DataFrame:
-    order = Window.partitionBy(by).orderBy(F.desc("similarity"), "seq")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("seed_id").orderBy(F.desc("similarity"), "seq")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("seed_id", "rank", "song_id", "seq", "similarity")
 
 
 def top_by_terms(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """Sparse vectors: postings of the seeds joined to all postings on the term.
 
-    ``seeds`` holds ``seed_id, song_id``.  Only songs that share a term with a
-    seed produce rows, summed per task before the shuffle.  Songs with score
-    zero still fill a short list: a seed with fewer than k positive scores
-    needs fillers only among the first 2k+1 songs, so those are attached to
-    the seeds instead of scoring the whole corpus.
+    Only songs that share a term with a seed produce rows, summed per task
+    before the shuffle.  Songs with score zero still fill a short list: a seed
+    with fewer than k positive scores finds its fillers among the first 2k+1
+    songs, so those are added to every seed with score zero and the corpus is
+    never paired with the seeds.
     """
-    wanted = save_stage(seeds.select("seed_id", F.col("song_id").alias("seed_song")), "seeds")
-    few, small = broadcast_if_bounded(wanted, BROADCAST_SEEDS)
+    wanted = seeds.select("seed_id", F.col("song_id").alias("seed_song"))
+    few, _ = broadcast_if_bounded(wanted, BROADCAST_SEEDS)
     of_seeds = vectors.join(few, F.col("song_id") == F.col("seed_song")).select(
         "seed_id", "seed_song", "term_ids", "weights"
     )
     of_seeds = postings(save_stage(of_seeds, "seed-vectors"), "seed_id", "seed_song").withColumnRenamed(
         "weight", "seed_weight"
     )
+    of_seeds, small = broadcast_if_bounded(of_seeds, BROADCAST_POSTINGS)
     every = postings(vectors)
     if small:
-        pairs = every.join(F.broadcast(of_seeds), "term_id")
+        pairs = every.join(of_seeds, "term_id")
     else:
         # A term in a third of all songs is one hot key: spread its songs over
         # salts and give each salt its own copy of the seeds' postings.
@@ -58,23 +61,23 @@ def top_by_terms(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
         .groupBy("seed_id", "song_id", "seq")
         .agg(F.round(F.sum(F.col("weight") * F.col("seed_weight")), DIGITS).alias("similarity"))
     )
-    top = save_stage(_best(scored.where("similarity > 0"), k).drop("rank"), "scored")
-    return _fill(top, wanted, vectors, k)
+    top = _best(scored.where("similarity > 0"), k).drop("rank")
+    # A filler with a positive score is either in the list already, and the
+    # larger score wins, or it is behind k better songs.
+    merged = top.unionByName(_fillers(wanted, vectors, k)).groupBy("seed_id", "song_id", "seq").agg(
+        F.max("similarity").alias("similarity")
+    )
+    return _best(merged, k).drop("seq")
 
 
-def _fill(top: DataFrame, seeds: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _fillers(seeds: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     first = vectors.select("seq", "song_id").orderBy("seq").limit(2 * k + 1)
-    fillers = first.agg(F.sort_array(F.collect_list(F.struct("seq", "song_id")))).scalar()
-    have = top.groupBy("seed_id").agg(F.count(F.lit(1)).alias("_have"), F.collect_list("song_id").alias("_known"))
-    short = (
-        seeds.join(have, "seed_id", "left")
-        .where(F.coalesce("_have", F.lit(0)) < k)
-        .select("seed_id", "seed_song", "_known", F.explode(fillers).alias("_f"))
+    each = first.agg(F.collect_list(F.struct("seq", "song_id"))).scalar()
+    return (
+        seeds.select("seed_id", "seed_song", F.explode(each).alias("_f"))
         .where(F.col("_f.song_id") != F.col("seed_song"))
-        .where(~F.coalesce(F.array_contains("_known", F.col("_f.song_id")), F.lit(False)))
         .select("seed_id", "_f.song_id", "_f.seq", F.lit(0.0).alias("similarity"))
     )
-    return _best(top.unionByName(short), k).select("seed_id", "rank", "song_id", "similarity")
 
 
 def top_by_vectors(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
@@ -84,7 +87,7 @@ def top_by_vectors(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     songs is one matrix product.  More seeds than that go through the blocked
     product instead.
     """
-    wanted = save_stage(seeds.select("seed_id", F.col("song_id").alias("seed_song")), "seeds")
+    wanted = seeds.select("seed_id", F.col("song_id").alias("seed_song"))
     few, small = broadcast_if_bounded(wanted, DENSE_SEEDS)
     if not small:
         own = vectors.join(wanted, F.col("song_id") == F.col("seed_song"))
@@ -93,14 +96,13 @@ def top_by_vectors(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     # DENSE_SEEDS rows at most.
     rows = vectors.join(few, F.col("song_id") == F.col("seed_song")).select("seed_id", "song_id", "vector").toArrow()
     if not rows.num_rows:
-        return _best(
-            vectors.sparkSession.createDataFrame([], _scored_schema(vectors, wanted)), k
-        ).select("seed_id", "rank", "song_id", "similarity")
+        none = vectors.sparkSession.createDataFrame([], _scored_schema(vectors, wanted))
+        return _best(none, k).drop("seq")
     scored = vectors.select("song_id", "seq", "vector").mapInArrow(
         _dense_scorer(rows, k),
         _scored_schema(vectors, wanted),
     )
-    return _best(scored, k).select("seed_id", "rank", "song_id", "similarity")
+    return _best(scored, k).drop("seq")
 
 
 def _scored_schema(vectors: DataFrame, seeds: DataFrame) -> str:
@@ -110,7 +112,8 @@ def _scored_schema(vectors: DataFrame, seeds: DataFrame) -> str:
 
 
 def _dense_scorer(seeds, k: int):
-    read = matrix_reader(sparse=False)
+    read = unit_matrix()
+    best = best_columns(k)
     digits = DIGITS
 
     def score(batches):
@@ -118,33 +121,36 @@ def _dense_scorer(seeds, k: int):
         import pyarrow as pa
 
         q = read(seeds)
-        seed_ids = seeds.column("seed_id").combine_chunks()
         songs = seeds.column("song_id").to_numpy()
-        best = None  # per seed: scores, seqs and ids of the k best so far
+        kept = [None] * len(songs)  # per seed: scores, seqs and ids of the k best so far
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            table = pa.Table.from_batches([batch]).sort_by("seq")
             if not table.num_rows:
                 continue
+            x = read(table).T
             ids = table.column("song_id").to_numpy()
             seqs = table.column("seq").to_numpy()
-            sims = np.round(q @ read(table).T, digits)
-            sims[songs[:, None] == ids[None, :]] = -np.inf
-            seqs = np.broadcast_to(seqs, sims.shape)
-            ids = np.broadcast_to(ids, sims.shape)
-            if best is not None:
-                sims, seqs, ids = (np.hstack(p) for p in zip(best, (sims, seqs, ids)))
-            take = np.lexsort((seqs, -sims), axis=1)[:, :k]
-            best = tuple(np.take_along_axis(a, take, axis=1) for a in (sims, seqs, ids))
-        if best is not None:
-            sims, seqs, ids = best
+            for s, song in enumerate(songs):
+                sims = np.round(q[s] @ x, digits) + 0.0
+                sims[ids == song] = -np.inf
+                take = best(sims)
+                found = (sims[take], seqs[take], ids[take])
+                if kept[s] is not None:
+                    found = tuple(np.concatenate(p) for p in zip(kept[s], found))
+                    order = np.lexsort((found[1], -found[0]))[:k]
+                    found = tuple(p[order] for p in found)
+                kept[s] = found
+        rows = [(s, *found) for s, found in enumerate(kept) if found is not None]
+        if rows:
+            sims, seqs, ids = (np.concatenate([r[c] for r in rows]) for c in (1, 2, 3))
+            seed = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
             real = np.isfinite(sims)
-            seed = np.repeat(np.arange(len(songs)), sims.shape[1]).reshape(sims.shape)[real]
             yield pa.RecordBatch.from_arrays(
                 [
-                    seed_ids.take(pa.array(seed)),
+                    seeds.column("seed_id").combine_chunks().take(pa.array(seed[real])),
                     pa.array(ids[real]),
                     pa.array(seqs[real]),
-                    pa.array(sims[real] + 0.0),
+                    pa.array(sims[real]),
                 ],
                 ["seed_id", "song_id", "seq", "similarity"],
             )
@@ -153,7 +159,10 @@ def _dense_scorer(seeds, k: int):
 
 
 def top_k(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """``seed_id, rank, song_id, similarity`` for either kind of vector."""
+    """``seed_id, rank, song_id, similarity`` for either kind of vector.
+
+    Both tables are read more than once: pass saved ones.
+    """
     if vector_columns(vectors) == DENSE:
         return top_by_vectors(vectors, seeds, k)
     return top_by_terms(vectors, seeds, k)

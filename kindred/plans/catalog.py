@@ -7,7 +7,6 @@ model before asking it for recommendations.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +81,10 @@ def tfidf_model(spark, sf_dir):
 
 @_fitted
 def tf_model(spark, sf_dir):
-    return rec.build_tfidf(clean_songs(spark, sf_dir), name="tf", use_idf=False)
+    """The same corpus and vocabulary, weighted by counts alone."""
+    base = tfidf_model(spark, sf_dir)
+    vectors = terms.term_vectors(base.songs, base.vocabulary, use_idf=False)
+    return rec.Recommender("tf", base.songs, save_stage(vectors, "tf-vectors"), base.vocabulary)
 
 
 @_fitted
@@ -97,19 +99,24 @@ def lsa_model(spark, sf_dir):
     return rec.build_lsa(base, n_components=min(LSA_FIT, most))
 
 
-def _byte_histogram_embedder():
-    """A stand-in model for the embedding job: letter frequencies of the text."""
+def _letter_embedder():
+    """A stand-in model for the embedding job: hashed word counts of the text."""
+
+    def factory():
+        import hashlib
+
+        def embed(texts, max_length):
+            out = []
+            for t in texts:
+                counts = [0.0] * 32
+                for w in t.split(" ")[:max_length]:
+                    counts[hashlib.md5(w.encode()).digest()[0] % 32] += 1.0
+                out.append(counts)
+            return out
 
-    def embed(texts, max_length):
-        out = []
-        for t in texts:
-            counts = [0.0] * 32
-            for w in t.split(" ")[:max_length]:
-                counts[hashlib.md5(w.encode()).digest()[0] % 32] += 1.0
-            out.append(counts)
-        return out
+        return embed
 
-    return embed
+    return factory
 
 
 @_fitted
@@ -119,7 +126,7 @@ def embedding_cache(spark, sf_dir):
 
 def embedding_model(spark, sf_dir):
     return rec.build_embedding(
-        clean_songs(spark, sf_dir), _byte_histogram_embedder, embedding_cache(spark, sf_dir), model="letters"
+        clean_songs(spark, sf_dir), _letter_embedder(), embedding_cache(spark, sf_dir), model="letters"
     )
 
 

@@ -20,6 +20,7 @@ from kindred.operators.seeds import find_song, match_seeds
 from kindred.operators.topk import top_k
 from kindred.sources.shared import save_stage
 
+BROADCAST_LISTS = 1_000_000
 SONG_COLUMNS = ["song_id", "seq", "track_name", "artist"]
 
 
@@ -36,8 +37,10 @@ class Recommender:
     def recommend(self, title: str, artist: str | None = None, k: int = 10) -> DataFrame:
         """``rank, track_name, artist, similarity`` for one seed; ValueError if absent."""
         seed = find_song(self.songs, title, artist)
-        one = self.songs.where(F.col("song_id") == seed["song_id"]).select(F.lit(0).alias("seed_id"), "song_id")
-        return self._named(top_k(self.vectors, one, k)).select("rank", "track_name", "artist", "similarity")
+        one = self.songs.sparkSession.createDataFrame(
+            [(0, seed["song_id"])], f"seed_id int, song_id {self.songs.schema['song_id'].dataType.simpleString()}"
+        )
+        return self._named(top_k(self.vectors, one, k), k).select("rank", "track_name", "artist", "similarity")
 
     def recommend_many(self, seeds: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
         """Lists for many seeds, and which seeds were found.
@@ -47,16 +50,15 @@ class Recommender:
         """
         matched = save_stage(match_seeds(self.songs, seeds), "matched")
         found = matched.where("found").select("seed_id", "song_id")
-        lists = self._named(top_k(self.vectors, found, k)).select(
+        lists = self._named(top_k(self.vectors, found, k), k * found.count()).select(
             F.lit(self.name).alias("model"), "seed_id", "rank", "song_id", "track_name", "artist", "similarity"
         )
         return lists, matched.select(F.lit(self.name).alias("model"), "seed_id", "found")
 
-    def _named(self, lists: DataFrame) -> DataFrame:
-        # The lists are k rows per seed; saved, their size is known and the
-        # planner broadcasts them to the song table when they are small.
-        saved = save_stage(lists, "lists")
-        return saved.join(self.songs.select("song_id", "track_name", "artist"), "song_id")
+    def _named(self, lists: DataFrame, rows: int) -> DataFrame:
+        # At most k rows per seed, so the count of seeds bounds the lists.
+        side = F.broadcast(lists) if rows <= BROADCAST_LISTS else lists
+        return self.songs.select("song_id", "track_name", "artist").join(side, "song_id")
 
 
 def _model_corpus(songs: DataFrame, *extra: str) -> DataFrame:
@@ -78,9 +80,7 @@ def build_tfidf(
     vocabulary = save_stage(
         terms.fit_vocabulary(corpus, max_features=max_features, min_df=min_df), f"{name}-vocabulary"
     )
-    vectors = save_stage(
-        terms.term_vectors(corpus, vocabulary, use_idf=use_idf, max_features=max_features), f"{name}-vectors"
-    )
+    vectors = save_stage(terms.term_vectors(corpus, vocabulary, use_idf=use_idf), f"{name}-vectors")
     return Recommender(name, corpus, vectors, vocabulary)
 
 
