@@ -24,7 +24,7 @@ from kindred.sources.shared import save_stage
 COMPONENTS = 100
 OVERSAMPLES = 10
 ITERATIONS = 5
-CHUNK_TERMS = 32_768
+CHUNK_ROWS = 256
 BLOCK_TERMS = 128
 
 
@@ -49,45 +49,42 @@ def _gram_pass(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
     """
     summed = (
         vectors.select("term_ids", "weights")
-        .mapInArrow(_gram_share(q, CHUNK_TERMS, BLOCK_TERMS), "block int, share array<double>")
+        .mapInArrow(_gram_share(q, CHUNK_ROWS, BLOCK_TERMS), "block int, share array<double>")
         .groupBy("block")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("share"))).alias("rows"))
     )
     out = np.zeros_like(q)
     # One row per block of the vocabulary comes back: Q's own size.
-    for row in summed.toArrow().to_pylist():
-        start = row["block"] * BLOCK_TERMS
-        part = np.array(row["rows"]).reshape(-1, q.shape[1])
-        out[start : start + len(part)] = part
+    table = summed.toArrow()
+    for block, rows in zip(table.column("block").to_pylist(), table.column("rows").combine_chunks()):
+        part = rows.values.to_numpy().reshape(-1, q.shape[1])
+        out[block * BLOCK_TERMS : block * BLOCK_TERMS + len(part)] = part
     return out
 
 
-def _gram_share(q: np.ndarray, chunk_terms: int, block_terms: int):
+def _gram_share(q: np.ndarray, chunk_rows: int, block_terms: int):
+    """One task's A'(AQ), a few songs at a time.
+
+    A chunk of songs is laid out densely in one buffer that is used again and
+    again: at vocabulary widths two dense products beat gathering rows of Q.
+    """
+
     def share(batches):
         import numpy as np
         import pyarrow as pa
 
         total = np.zeros_like(q)
+        buffer = np.zeros((chunk_rows, len(q)))
         for batch in batches:
-            lists = batch.column("term_ids")
-            ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
-            ids = lists.flatten().to_numpy()
-            weights = batch.column("weights").flatten().to_numpy()
-            row = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
-            start = 0
-            while start < len(ids):
-                # Cut at a song's end so that every song is whole in one chunk.
-                last = np.searchsorted(ends, start + chunk_terms, side="right") - 1
-                stop = max(ends[last] if last >= 0 else 0, ends[row[start]])
-                i, w, r = ids[start:stop], weights[start:stop, None], row[start:stop]
-                firsts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                aq = np.add.reduceat(w * q[i], firsts, axis=0)
-                local = np.cumsum(np.concatenate(([0], r[1:] != r[:-1])))
-                by_term = np.argsort(i, kind="stable")
-                terms = i[by_term]
-                heads = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1])))
-                total[terms[heads]] += np.add.reduceat(w[by_term] * aq[local[by_term]], heads, axis=0)
-                start = stop
+            for at in range(0, batch.num_rows, chunk_rows):
+                part = batch.slice(at, chunk_rows)
+                lists = part.column("term_ids")
+                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                term = lists.flatten().to_numpy()
+                buffer[row, term] = part.column("weights").flatten().to_numpy()
+                here = buffer[: part.num_rows]
+                total += here.T @ (here @ q)
+                buffer[row, term] = 0
         for block, start in enumerate(range(0, len(total), block_terms)):
             flat = pa.array(total[start : start + block_terms].ravel())
             ends = pa.array([0, len(flat)], pa.int32())
@@ -98,7 +95,7 @@ def _gram_share(q: np.ndarray, chunk_terms: int, block_terms: int):
     return share
 
 
-def _projector(right: np.ndarray):
+def _projector(right: np.ndarray, chunk_rows: int):
     """Scores of each song on the components: A V."""
 
     def project(batches):
@@ -106,10 +103,16 @@ def _projector(right: np.ndarray):
         import pyarrow as pa
 
         k = right.shape[1]
+        buffer = np.zeros((chunk_rows, len(right)))
         for batch in batches:
             scores = np.zeros((batch.num_rows, k))
-            for n, (ids, weights) in enumerate(zip(batch.column("term_ids"), batch.column("weights"))):
-                scores[n] = np.asarray(weights.values) @ right[np.asarray(ids.values)]
+            for at in range(0, batch.num_rows, chunk_rows):
+                part = batch.slice(at, chunk_rows)
+                row = np.repeat(np.arange(part.num_rows), np.diff(part.column("term_ids").offsets.to_numpy()))
+                term = part.column("term_ids").flatten().to_numpy()
+                buffer[row, term] = part.column("weights").flatten().to_numpy()
+                scores[at : at + part.num_rows] = buffer[: part.num_rows] @ right
+                buffer[row, term] = 0
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()), pa.array(scores.ravel())
             )
@@ -162,7 +165,7 @@ def fit_latent(
 
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     scores = vectors.select("song_id", "seq", "term_ids", "weights").mapInArrow(
-        _projector(right), f"song_id {kinds['song_id']}, seq {kinds['seq']}, vector array<double>"
+        _projector(right, CHUNK_ROWS), f"song_id {kinds['song_id']}, seq {kinds['seq']}, vector array<double>"
     )
     scores = save_stage(scores, "latent-scores")
     ends = pa.array(np.arange(width + 1) * n_components, pa.int32())

@@ -85,7 +85,7 @@ def most_similar_pairs(vectors: DataFrame, k: int = 15) -> DataFrame:
        (prefix filtering, Bayardo et al. 2007).  Songs meet only on those terms.
     4. Terms are packed into shards of bounded size; a term that is too common
        for one shard is cut into blocks and each pair of blocks is a task.  A
-       task is one matrix product and returns its k best pairs.
+       task scores the songs of one term at a time and returns its k best pairs.
     """
     n = vectors.count()
     songs = vectors.select("song_id", "seq", "term_ids", "weights").where(F.size("term_ids") > 0)
@@ -211,13 +211,19 @@ def _pack(load: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
 def _deal(prefixes: DataFrame, shard_of: dict[int, int], blocks_of: dict[int, int]) -> DataFrame:
     """Send each song once to every shard, and there to every block pair, it belongs to."""
     row = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prefixes.schema.fields)
-    sent = prefixes.mapInArrow(_shard_finder(shard_of, blocks_of), f"{row}, shards array<int>, blocks array<int>")
+    sent = prefixes.mapInArrow(
+        _shard_finder(shard_of, blocks_of), f"{row}, shards array<int>, blocks array<int>, shared array<array<int>>"
+    )
     one = sent.select(
         "song_id",
         "seq",
         "term_ids",
         "weights",
-        F.inline(F.arrays_zip(F.col("shards").alias("_shard"), F.col("blocks").alias("_blocks"))),
+        F.inline(
+            F.arrays_zip(
+                F.col("shards").alias("_shard"), F.col("blocks").alias("_blocks"), F.col("shared").alias("_terms")
+            )
+        ),
     )
     own = F.pmod(F.xxhash64("song_id"), F.col("_blocks")).cast("int")
     dealt = one.withColumn("_own", own).withColumn(
@@ -228,6 +234,7 @@ def _deal(prefixes: DataFrame, shard_of: dict[int, int], blocks_of: dict[int, in
         F.least("_own", "_other").alias("_bi"),
         F.greatest("_own", "_other").alias("_bj"),
         "_own",
+        "_terms",
         "song_id",
         "seq",
         "term_ids",
@@ -236,20 +243,28 @@ def _deal(prefixes: DataFrame, shard_of: dict[int, int], blocks_of: dict[int, in
 
 
 def _shard_finder(shard_of: dict[int, int], blocks_of: dict[int, int]):
-    """Distinct shards of each song's prefix; both tables are bounded by the vocabulary."""
+    """Shards of each song's prefix with the terms it has there; both tables are bounded by the vocabulary."""
 
     def find(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.int32())
         for batch in batches:
-            shards = [
-                sorted({shard_of[t] for t in prefix if t in shard_of}) for prefix in batch.column("prefix").to_pylist()
-            ]
-            blocks = [[blocks_of.get(s, 1) for s in row] for row in shards]
+            found = []
+            for prefix in batch.column("prefix").to_pylist():
+                here = {}
+                for term in prefix:
+                    if term in shard_of:
+                        here.setdefault(shard_of[term], []).append(term)
+                found.append(here)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(shards, kind), pa.array(blocks, kind)],
-                [*batch.schema.names, "shards", "blocks"],
+                [
+                    *batch.columns,
+                    pa.array([list(here) for here in found], kind),
+                    pa.array([[blocks_of.get(s, 1) for s in here] for here in found], kind),
+                    pa.array([list(here.values()) for here in found], pa.list_(kind)),
+                ],
+                [*batch.schema.names, "shards", "blocks", "shared"],
             )
 
     return find
@@ -263,18 +278,31 @@ def _shard_scorer(bound: float, k: int):
         import pyarrow as pa
 
         table = table.sort_by("seq")
+        n = table.num_rows
         across = table.column("_bi")[0].as_py() != table.column("_bj")[0].as_py()
         own = table.column("_own").to_numpy()
-        everyone = np.arange(table.num_rows)
+        lists = table.column("_terms").combine_chunks()
+        holder = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+        terms = lists.flatten().to_numpy()
+        order = np.argsort(terms, kind="stable")
+        meetings = np.split(holder[order], np.flatnonzero(np.diff(terms[order])) + 1)
+
         best = (np.zeros(0), np.zeros(0, "int64"), np.zeros(0, "int64"))
-        for chunk, sims in scores(table, everyone, everyone):
-            ok = (sims > 0) & (sims >= bound) & (everyone[None, :] > chunk[:, None])
-            if across:  # pairs within one block belong to that block's own task
-                ok &= own[chunk][:, None] != own[None, :]
-            a, b = np.nonzero(ok)
-            value, first, second = (np.concatenate(p) for p in zip(best, (sims[a, b], chunk[a], b)))
-            take = np.lexsort((second, first, -value))[:k]
-            best = (value[take], first[take], second[take])
+        for rows in meetings:
+            if len(rows) < 2:
+                continue
+            for chunk, sims in scores(table, rows, rows):
+                ok = (sims > 0) & (sims >= bound) & (rows[None, :] > chunk[:, None])
+                if across:  # pairs within one block belong to that block's own task
+                    ok &= own[chunk][:, None] != own[rows][None, :]
+                a, b = np.nonzero(ok)
+                if not len(a):
+                    continue
+                value, first, second = (np.concatenate(p) for p in zip(best, (sims[a, b], chunk[a], rows[b])))
+                # Songs may meet on several terms; a pair counts once.
+                _, once = np.unique(first * n + second, return_index=True)
+                take = once[np.lexsort((second[once], first[once], -value[once]))[:k]]
+                best = (value[take], first[take], second[take])
         value, first, second = best
         ids, seqs = table.column("song_id"), table.column("seq")
         return pa.table(

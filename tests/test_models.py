@@ -27,7 +27,7 @@ def dense_matrix(model):
 
 
 def test_svd_matches_full_decomposition(tfidf, monkeypatch):
-    monkeypatch.setattr(latent, "CHUNK_TERMS", 50)
+    monkeypatch.setattr(latent, "CHUNK_ROWS", 7)
     ids, x = dense_matrix(tfidf)
     u, s, vt = np.linalg.svd(x, full_matrices=False)
     model = latent.fit_latent(tfidf.vectors, n_components=8, iterations=30)
