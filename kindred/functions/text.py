@@ -170,12 +170,17 @@ def vector_words(tokens: Column | str) -> Column:
     return F.filter(_c(tokens), lambda t: F.length(t) >= 2)
 
 
-def with_bigrams(words: Column | str) -> Column:
-    """The words followed by each adjacent pair, joined by a blank."""
+def bigrams(words: Column | str) -> Column:
+    """Each adjacent pair of words, joined by a blank."""
     w = _c(words)
     pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
     # The last zipped pair has no right-hand word: concat makes it NULL.
-    return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
+    return F.filter(pairs, lambda p: p.isNotNull())
+
+
+def with_bigrams(words: Column | str) -> Column:
+    """The words followed by their bigrams."""
+    return F.concat(_c(words), bigrams(words))
 
 
 # ---------------------------------------------------------------- sections

@@ -21,9 +21,7 @@ def drop_blocklisted(df: DataFrame, pairs: list[tuple[str, str]] | DataFrame = w
         listed = pairs
     else:
         listed = df.sparkSession.createDataFrame(pairs, "artist string, track_name string")
-    blocked = listed.select(
-        F.lower("artist").alias("_b_artist"), F.lower("track_name").alias("_b_title")
-    ).distinct()
+    blocked = listed.select(F.lower("artist").alias("_b_artist"), F.lower("track_name").alias("_b_title"))
     blocked, _ = broadcast_if_bounded(blocked, BROADCAST_BLOCKLIST)
     same = (F.lower("artist") == F.col("_b_artist")) & (F.lower("track_name") == F.col("_b_title"))
     return df.join(blocked, same, "left_anti")

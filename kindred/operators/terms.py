@@ -12,32 +12,64 @@ from pyspark.sql import functions as F
 from kindred.functions import text as tx
 from kindred.functions import wordlists as wl
 from kindred.functions.text import compute_once
-from kindred.sources.shared import broadcast_if_bounded
+from kindred.sources.shared import broadcast_if_bounded, save_stage
 
 BROADCAST_TERMS = 1_000_000
 
 
+def _song_words(songs: DataFrame, tokens: str) -> DataFrame:
+    return compute_once(songs.select("song_id", "seq", tokens), _words=tx.vector_words(tokens)).drop(tokens)
+
+
 def song_terms(songs: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``song_id, seq, terms``: unigrams and bigrams of each song as an array."""
-    words = compute_once(songs.select("song_id", "seq", tokens), _words=tx.vector_words(tokens))
-    return compute_once(words.drop(tokens), terms=tx.with_bigrams("_words")).drop("_words")
+    return compute_once(_song_words(songs, tokens), terms=tx.with_bigrams("_words")).drop("_words")
+
+
+def _occurrences(lists: DataFrame, column: str) -> DataFrame:
+    """``term`` rows that count once per occurrence and once per song."""
+    every = lists.select(F.explode(column).alias("term"), F.lit(1).alias("_all"), F.lit(0).alias("_doc"))
+    once = lists.select(
+        F.explode(F.array_distinct(column)).alias("term"), F.lit(0).alias("_all"), F.lit(1).alias("_doc")
+    )
+    return every.union(once)
+
 
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.sum("_all").alias("corpus_count"), F.sum("_doc").alias("doc_count"))
 
-def term_counts(songs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``term, corpus_count, doc_count`` over the whole corpus.
+
+def frequent_terms(
+    songs: DataFrame, tokens: str = "tokens", *, max_features: int = wl.MAX_FEATURES, min_df: int = wl.MIN_DF
+) -> DataFrame:
+    """``term, corpus_count, doc_count`` of the terms that make the vocabulary.
 
     Occurrences and first occurrences are told apart inside the row, so one
     shuffle on the term serves both counts and carries one partial sum per
     term and map task, however common the term is.
+
+    Words come first.  Once max_features words qualify, the count of the last
+    one is a floor that a bigram must reach too, and a bigram is never more
+    frequent than either of its words.  Bigrams with a word below the floor
+    are dropped before they are counted, which spares the shuffle nearly all
+    of the one-off bigrams a large corpus consists of.
     """
-    terms = song_terms(songs, tokens)
-    every = terms.select(F.explode("terms").alias("term"), F.lit(1).alias("_all"), F.lit(0).alias("_doc"))
-    once = terms.select(
-        F.explode(F.array_distinct("terms")).alias("term"), F.lit(0).alias("_all"), F.lit(1).alias("_doc")
-    )
-    return every.union(once).groupBy("term").agg(
-        F.sum("_all").alias("corpus_count"), F.sum("_doc").alias("doc_count")
-    )
+    words = _song_words(songs, tokens)
+    singles = save_stage(_counted(_occurrences(words, "_words")), "word-counts").where(F.col("doc_count") >= min_df)
+    by_count = [F.desc("corpus_count"), "term"]
+    last = singles.orderBy(*by_count).limit(max_features).agg(F.count(F.lit(1)), F.min("corpus_count")).first()
+    floor = last[1] if last[0] == max_features else 0
+
+    pairs = compute_once(words, _pairs=tx.bigrams("_words"))
+    rows = _occurrences(pairs, "_pairs")
+    if floor:
+        usable = singles.where(F.col("corpus_count") >= floor).select(F.col("term").alias("_word"))
+        usable, small = broadcast_if_bounded(usable, BROADCAST_TERMS)
+        if small:
+            for part in (1, -1):
+                rows = rows.join(usable, F.substring_index("term", " ", part) == F.col("_word"), "left_semi")
+    doubles = _counted(rows).where((F.col("doc_count") >= min_df) & (F.col("corpus_count") >= floor))
+    return singles.unionByName(doubles).orderBy(*by_count).limit(max_features)
 
 
 def fit_vocabulary(
@@ -53,12 +85,7 @@ def fit_vocabulary(
     count, ties by term.  ``term_id`` follows the alphabet.
     ``idf = ln((1 + n) / (1 + df)) + 1`` where n counts every song.
     """
-    top = (
-        term_counts(songs, tokens)
-        .where(F.col("doc_count") >= min_df)
-        .orderBy(F.desc("corpus_count"), "term")
-        .limit(max_features)
-    )
+    top = frequent_terms(songs, tokens, max_features=max_features, min_df=min_df)
     n = songs.agg(F.count(F.lit(1))).scalar()
     # The window has no partition: it numbers max_features rows at most.
     return top.select(

@@ -67,10 +67,14 @@ def test_vocabulary_and_weights(fitted, spark):
     assert vectors.count() == len(songs)
 
 
-def test_vocabulary_cut_breaks_ties_by_term(fitted):
+@pytest.mark.parametrize("features", [7, 60, 90, 300])
+@pytest.mark.parametrize("small", [True, False])
+def test_vocabulary_cut_breaks_ties_by_term(fitted, monkeypatch, features, small):
     songs, df, *_ = fitted
-    names, _, _ = brute_vectors(songs, max_features=7)
-    got = [r["term"] for r in terms.fit_vocabulary(df, max_features=7).orderBy("term_id").collect()]
+    if not small:
+        monkeypatch.setattr(terms, "BROADCAST_TERMS", 0)
+    names, _, _ = brute_vectors(songs, max_features=features)
+    got = [r["term"] for r in terms.fit_vocabulary(df, max_features=features).orderBy("term_id").collect()]
     assert got == names
 
 
