@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.blocks import blocked_top_k
-from kindred.operators.matrices import DENSE, best_columns, unit_matrix, vector_columns
+from kindred.operators.matrices import SPARSE, best_columns, unit_matrix, vector_columns
 from kindred.operators.terms import postings
 from kindred.sources.shared import broadcast_if_bounded, save_stage
 
 DIGITS = 6
+SCAN_SEEDS = 512
 BROADCAST_SEEDS = 20_000
 BROADCAST_POSTINGS = 2_000_000
-DENSE_SEEDS = 2_048
 SALTS = 64
+CHUNK_ROWS = 256
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -29,7 +30,7 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def top_by_terms(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """Sparse vectors: postings of the seeds joined to all postings on the term.
+    """Many seeds over sparse vectors: a join of postings on the term.
 
     Only songs that share a term with a seed produce rows, summed per task
     before the shuffle.  Songs with score zero still fill a short list: a seed
@@ -80,59 +81,96 @@ def _fillers(seeds: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     )
 
 
-def top_by_vectors(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """Dense vectors: one pass over the corpus, k candidates per seed and task.
+def top_by_scan(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """Up to SCAN_SEEDS seeds: one pass over the corpus, k candidates per seed and task.
 
-    A checked number of seed vectors travels to the tasks, where a batch of
-    songs is one matrix product.  More seeds than that go through the blocked
-    product instead.
+    The seeds' vectors travel to the tasks, where a batch of songs is one
+    matrix product.  Songs never move; the only shuffle carries k rows per
+    seed and task.
     """
-    wanted = seeds.select("seed_id", F.col("song_id").alias("seed_song"))
-    few, small = broadcast_if_bounded(wanted, DENSE_SEEDS)
-    if not small:
-        own = vectors.join(wanted, F.col("song_id") == F.col("seed_song"))
-        own = own.select("seed_id", "song_id", "seq", "vector")
-        return blocked_top_k(own, vectors, k)
-    # DENSE_SEEDS rows at most.
-    rows = vectors.join(few, F.col("song_id") == F.col("seed_song")).select("seed_id", "song_id", "vector").toArrow()
+    cols = vector_columns(vectors)
+    wanted = F.broadcast(seeds.select("seed_id", F.col("song_id").alias("seed_song")))
+    # SCAN_SEEDS rows at most.
+    rows = vectors.join(wanted, F.col("song_id") == F.col("seed_song")).select("seed_id", "song_id", *cols).toArrow()
+    kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    seed = seeds.schema["seed_id"].dataType.simpleString()
+    schema = f"seed_id {seed}, song_id {kind['song_id']}, seq {kind['seq']}, similarity double"
     if not rows.num_rows:
-        none = vectors.sparkSession.createDataFrame([], _scored_schema(vectors, wanted))
-        return _best(none, k).drop("seq")
-    scored = vectors.select("song_id", "seq", "vector").mapInArrow(
-        _dense_scorer(rows, k),
-        _scored_schema(vectors, wanted),
-    )
+        return _best(vectors.sparkSession.createDataFrame([], schema), k).drop("seq")
+    product = _sparse_product(rows) if cols == SPARSE else _dense_product(rows)
+    scored = vectors.select("song_id", "seq", *cols).mapInArrow(_scanner(rows, product, k), schema)
     return _best(scored, k).drop("seq")
 
 
-def _scored_schema(vectors: DataFrame, seeds: DataFrame) -> str:
-    kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    seed = seeds.schema["seed_id"].dataType.simpleString()
-    return f"seed_id {seed}, song_id {kind['song_id']}, seq {kind['seq']}, similarity double"
+def _dense_product(seeds):
+    read = unit_matrix()
 
+    def prepare():
+        q = read(seeds).T
+        return lambda table: read(table) @ q
 
-def _dense_scorer(seeds, k: int):
-    read = unit_matrix()
+    return prepare
+
+
+def _sparse_product(seeds):
+    chunk_rows = CHUNK_ROWS
+
+    def prepare():
+        import numpy as np
+
+        def cells(table):
+            lists = table.column("term_ids").combine_chunks()
+            row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+            weights = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return row, lists.flatten().to_numpy(zero_copy_only=False), weights
+
+        row, term, weight = cells(seeds)
+        # Only terms of a seed can add to a score.
+        used, column = np.unique(term, return_inverse=True)
+        q = np.zeros((max(len(used), 1), seeds.num_rows))
+        q[column, row] = weight
+        buffer = np.zeros((chunk_rows, len(q)))
+
+        def product(table):
+            out = np.zeros((table.num_rows, q.shape[1]))
+            if not len(used):
+                return out
+            for at in range(0, table.num_rows, chunk_rows):
+                part = table.slice(at, chunk_rows)
+                row, term, weight = cells(part)
+                column = np.minimum(np.searchsorted(used, term), len(used) - 1)
+                hit = used[column] == term
+                row, column = row[hit], column[hit]
+                buffer[row, column] = weight[hit]
+                out[at : at + part.num_rows] = buffer[: part.num_rows] @ q
+                buffer[row, column] = 0
+            return out
+
+        return product
+
+    return prepare
+
+
+def _scanner(seeds, prepare, k: int):
     best = best_columns(k)
     digits = DIGITS
 
-    def score(batches):
+    def scan(batches):
         import numpy as np
         import pyarrow as pa
 
-        q = read(seeds)
+        product = prepare()
         songs = seeds.column("song_id").to_numpy()
         kept = [None] * len(songs)  # per seed: scores, seqs and ids of the k best so far
         for batch in batches:
             table = pa.Table.from_batches([batch]).sort_by("seq")
             if not table.num_rows:
                 continue
-            x = read(table).T
             ids = table.column("song_id").to_numpy()
             seqs = table.column("seq").to_numpy()
-            for s, song in enumerate(songs):
-                sims = np.round(q[s] @ x, digits) + 0.0
-                sims[ids == song] = -np.inf
+            every = np.round(product(table), digits).T + 0.0
+            for s, sims in enumerate(every):
+                sims[ids == songs[s]] = -np.inf
                 take = best(sims)
                 found = (sims[take], seqs[take], ids[take])
                 if kept[s] is not None:
@@ -155,14 +193,19 @@ def _dense_scorer(seeds, k: int):
                 ["seed_id", "song_id", "seq", "similarity"],
             )
 
-    return score
+    return scan
 
 
 def top_k(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """``seed_id, rank, song_id, similarity`` for either kind of vector.
 
-    Both tables are read more than once: pass saved ones.
+    ``seeds`` holds ``seed_id, song_id``.  Both tables are read more than
+    once: pass saved ones.  More seeds than one pass can carry are joined on
+    their terms (sparse) or multiplied block by block (dense).
     """
-    if vector_columns(vectors) == DENSE:
-        return top_by_vectors(vectors, seeds, k)
-    return top_by_terms(vectors, seeds, k)
+    if seeds.limit(SCAN_SEEDS + 1).count() <= SCAN_SEEDS:
+        return top_by_scan(vectors, seeds, k)
+    if vector_columns(vectors) == SPARSE:
+        return top_by_terms(vectors, seeds, k)
+    own = vectors.join(seeds.select("seed_id", "song_id"), "song_id").select("seed_id", "song_id", "vector")
+    return blocked_top_k(own, vectors, k)

@@ -51,12 +51,13 @@ def write_csv_table(df: DataFrame, path: str, mode: str = "errorifexists") -> No
 def with_sequence(df: DataFrame, *order_by: str, name: str = "seq") -> DataFrame:
     """Number rows in a total order; "first" means the lowest number.
 
-    The sort is a range shuffle and the number carries the range in its upper
-    bits, so it increases in order without a single-task pass.  Write the
-    result once and read it back before using it.
+    Equal keys keep their input order; that last key also lets the range
+    shuffle split a value that a large part of the table shares.  The number
+    carries the range in its upper bits, so it increases in order without a
+    single-task pass.  Write the result once and read it back before using it.
     """
-    ordered = df.orderBy(*order_by) if order_by else df
-    return ordered.withColumn(name, F.monotonically_increasing_id())
+    placed = df.withColumn("_row", F.monotonically_increasing_id())
+    return placed.orderBy(*order_by, "_row").withColumn(name, F.monotonically_increasing_id()).drop("_row")
 
 
 def table_shape(df: DataFrame, *distinct: str) -> DataFrame:

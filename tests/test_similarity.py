@@ -84,19 +84,36 @@ def test_term_vector_plan_has_one_shuffle(fitted):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_top_by_terms(fitted, spark, monkeypatch, small):
+@pytest.mark.parametrize("way", ["scan", "broadcast postings", "salted postings"])
+def test_top_k_sparse(fitted, spark, monkeypatch, way):
     *_, vectors, names, idf, x = fitted
-    if not small:
-        monkeypatch.setattr(topk, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(topk, "CHUNK_ROWS", 7)
+    if way != "scan":
+        monkeypatch.setattr(topk, "SCAN_SEEDS", 0)
+    if way == "salted postings":
+        monkeypatch.setattr(topk, "BROADCAST_POSTINGS", 0)
     wanted = [0, 5, 7, len(x) - 1, len(x) - 3]
     seeds = spark.createDataFrame([(f"s{i}", i) for i in wanted], "seed_id string, song_id long")
-    got = topk.top_by_terms(vectors, seeds, 12).orderBy("seed_id", "rank").collect()
+    got = topk.top_k(vectors, seeds, 12).orderBy("seed_id", "rank").collect()
     for i in wanted:
         mine = [(r["song_id"], r["similarity"]) for r in got if r["seed_id"] == f"s{i}"]
         assert mine == brute_top(x, i, 12)
 
 
+def test_scan_moves_only_candidates(fitted, spark):
+    *_, vectors, names, idf, x = fitted
+    seeds = spark.createDataFrame([(0, 5)], "seed_id int, song_id long")
+    plan = topk.top_k(vectors, seeds, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    limits = [i for i, line in enumerate(plan.splitlines()) if "WindowGroupLimit" in line]
+    assert len(limits) == 2  # k rows per seed and task before the shuffle
+
+
+def test_no_seed_gives_no_rows(fitted, spark):
+    *_, vectors, names, idf, x = fitted
+    assert topk.top_k(vectors, spark.createDataFrame([], "seed_id int, song_id long"), 3).count() == 0
+
+
 def test_short_corpus_gives_fewer_rows(spark):
     df = spark.createDataFrame([(1, 1, [0], [1.0]), (2, 2, [0], [1.0]), (3, 3, [], [])],
                                "song_id long, seq long, term_ids array<int>, weights array<double>")
@@ -126,13 +143,13 @@ def dense(spark):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_top_by_vectors(dense, spark, monkeypatch, small):
+def test_top_k_dense(dense, spark, monkeypatch, small):
     df, x = dense
     if not small:
-        monkeypatch.setattr(topk, "DENSE_SEEDS", 0)
+        monkeypatch.setattr(topk, "SCAN_SEEDS", 0)
     wanted = [3, 7, 8]
     seeds = spark.createDataFrame([(i, i) for i in wanted], "seed_id long, song_id long")
-    got = topk.top_by_vectors(df, seeds, 6).orderBy("seed_id", "rank").collect()
+    got = topk.top_k(df, seeds, 6).orderBy("seed_id", "rank").collect()
     for i in wanted:
         assert [(r["song_id"], r["similarity"]) for r in got if r["seed_id"] == i] == brute_top(x, i, 6)
 
