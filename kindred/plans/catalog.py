@@ -28,9 +28,11 @@ QUERIES: dict[str, Query] = {}
 
 K = 10
 PAIRS = 15
-SAMPLE = 120
-LSA_TOPICS = 20
-LSA_FIT = 40
+SAMPLE = 500
+MATCHED_SAMPLE = 400
+LSA_TOPICS = 100
+LSA_FIT = 200
+SWEEP = (50, 100, 200)
 MODELS = ["tfidf", "tf", "chorus"]
 
 _FITTED: dict[tuple, object] = {}
@@ -398,7 +400,7 @@ def chorus_vs_full(spark, sf_dir):
     full, chorus = tfidf_model(spark, sf_dir), chorus_model(spark, sf_dir)
     both = dedupe.shared_songs(full.songs, chorus.songs)
     keyed = both.withColumn("song_key", F.concat_ws("|", "track_name", "artist"))
-    sample = save_stage(pairs.sample_songs(keyed, SAMPLE, key="song_key"), "matched-sample")
+    sample = save_stage(pairs.sample_songs(keyed, MATCHED_SAMPLE, key="song_key"), "matched-sample")
 
     def summary(model):
         rows = model.songs.join(F.broadcast(sample), ["track_name", "artist"]).select("song_id")
@@ -547,7 +549,7 @@ def lsa_topk(spark, sf_dir):
 def lsa_topics(spark, sf_dir):
     """M5a, W2"""
     m = lsa_model(spark, sf_dir)
-    return latent.topic_terms(m.extra["latent"].components, m.vocabulary, n_topics=10, n_terms=8)
+    return latent.topic_terms(m.extra["latent"].components, m.vocabulary, n_topics=20, n_terms=8)
 
 
 @query
@@ -570,9 +572,9 @@ def lsa_components_needed(spark, sf_dir):
 
 @query
 def lsa_sweep(spark, sf_dir):
-    """M5d, A9: top lists of one fit cut to 10, 20 and 40 components"""
+    """M5d, A9: top lists of one fit cut to fewer components"""
     full = lsa_model(spark, sf_dir)
-    cuts = [rec.lsa_at(full, n) for n in (10, 20, 40)]
+    cuts = [rec.lsa_at(full, n) for n in SWEEP]
     lists, attempts = rec.compare_models(cuts, seed_table(spark, sf_dir), K)
     return compare.overlap(save_stage(lists, "sweep"), attempts)
 

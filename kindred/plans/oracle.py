@@ -204,8 +204,8 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
-def _sample(table: str, key: str = "song_id") -> str:
-    return f"SELECT * FROM {table} ORDER BY md5(concat_ws('|', {key}::VARCHAR, '42')), {key} LIMIT {cat.SAMPLE}"
+def _sample(table: str, key: str = "song_id", n: int = cat.SAMPLE) -> str:
+    return f"SELECT * FROM {table} ORDER BY md5(concat_ws('|', {key}::VARCHAR, '42')), {key} LIMIT {n}"
 
 
 def _text_pairs(name: str, sample: str) -> str:
@@ -245,6 +245,13 @@ unit AS (SELECT *, sqrt(list_dot_product(vector, vector)) AS norm FROM dense)"""
 _COSINE = """CASE WHEN a.norm > 0 AND b.norm > 0
   THEN round(list_dot_product(a.vector, b.vector) / (a.norm * b.norm), 6) ELSE 0 END"""
 
+# Word counts of the first 256 tokens, hashed to 32 entries.
+_EMBEDDED = """embedding_raw AS (
+  SELECT song_id, ('0x' || substring(md5(w), 1, 2))::INT % 32 AS term_id, count(*) AS w
+  FROM (SELECT song_id, unnest(list_slice(tokens, 1, 256)) AS w FROM corpus) GROUP BY ALL),
+embedding_weights AS (
+  SELECT song_id, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY song_id)) AS weight FROM embedding_raw)"""
+
 _ITEMS = """items AS (
   SELECT doc_id::VARCHAR AS track_id, 'T' || (doc_id // 40) AS track_name,
     CASE WHEN doc_id % 29 = 0 THEN NULL ELSE source END AS artist,
@@ -434,7 +441,7 @@ FROM chorus_kept""",
                     _model("chorus", "chorus_kept"),
                     """shared AS (SELECT track_name, artist, concat_ws('|', track_name, artist) AS song_key FROM (
   SELECT track_name, artist FROM corpus INTERSECT SELECT track_name, artist FROM chorus_kept))""",
-                    f"picked AS ({_sample('shared', 'song_key')})",
+                    f"picked AS ({_sample('shared', 'song_key', cat.MATCHED_SAMPLE)})",
                     "full_sample AS (SELECT song_id, seq FROM corpus JOIN picked USING (track_name, artist))",
                     "chorus_sample AS (SELECT song_id, seq FROM chorus_kept JOIN picked USING (track_name, artist))",
                     _text_pairs("tfidf__pairs", "full_sample"),
@@ -469,6 +476,11 @@ pairs AS (SELECT {_COSINE} AS similarity FROM picked a JOIN picked b ON a.seq <
   SELECT label, coalesce(quality, 0) AS mask, unnest(embedding::DOUBLE[]) AS value,
     generate_subscripts(embedding, 1) AS dim FROM embeddings LEFT JOIN labels ON doc_id = vec_id)
 GROUP BY label, dim""",
+        "embed_cache": _with(",\n".join([_HEADED, _CLEAN, _CORPUS]), "SELECT song_id, 32 AS dims FROM corpus"),
+        "embedding_topk": _with(
+            ",\n".join([_HEADED, _CLEAN, _CORPUS, _EMBEDDED, _SEEDS, _lists("embedding", "corpus")]),
+            "SELECT seed_id, rank::INT AS rank, song_id, similarity FROM embedding_lists",
+        ),
         "four_model_table": _with(
             _MODELS,
             "SELECT s.seed_id, g.rank::INT AS rank, "
