@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kindred.operators.matrices import SPARSE, best_columns, row_scorer, vector_columns
 
 BLOCK_ROWS = 2_000
+SMALL_BLOCK = 500
 DIGITS = 6
 
 
@@ -27,9 +28,9 @@ def blocked_top_k(left: DataFrame, right: DataFrame, k: int, *, block_rows: int
     ``song_id, seq`` and its vector.  A row is not its own neighbour.
     """
     cols = vector_columns(right)
-    n_left, n_right = left.count(), right.count()
-    b_left = max(1, math.ceil(n_left / block_rows))
-    b_right = max(1, math.ceil(n_right / block_rows))
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    b_left = _block_count(left.count(), block_rows, cores)
+    b_right = _block_count(right.count(), block_rows, cores)
 
     def dealt(df, blocks, own, other_blocks, other):
         return df.withColumn(own, F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int")).withColumn(
@@ -58,6 +59,12 @@ def blocked_top_k(left: DataFrame, right: DataFrame, k: int, *, block_rows: int
     return ranked.select("seed_id", "rank", "song_id", "similarity")
 
 
+def _block_count(n: int, block_rows: int, cores: int) -> int:
+    """Blocks of at most ``block_rows`` on average, and smaller ones while cores would idle."""
+    busy = min(math.ceil(n / SMALL_BLOCK), math.ceil(math.sqrt(4 * cores)))
+    return max(1, math.ceil(n / block_rows), busy)
+
+
 def _block_scorer(sparse: bool, k: int):
     scores = row_scorer(sparse, DIGITS)
     best = best_columns(k)

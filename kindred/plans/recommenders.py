@@ -33,10 +33,12 @@ class Recommender:
     vectors: DataFrame
     vocabulary: DataFrame | None = None
     extra: dict = field(default_factory=dict)
+    default_k: int = 10
 
-    def recommend(self, title: str, artist: str | None = None, k: int = 10) -> DataFrame:
+    def recommend(self, title: str, artist: str | None = None, k: int | None = None) -> DataFrame:
         """``rank, track_name, artist, similarity`` for one seed; ValueError if absent."""
         seed = find_song(self.songs, title, artist)
+        k = self.default_k if k is None else k
         one = self.songs.sparkSession.createDataFrame(
             [(0, seed["song_id"])], f"seed_id int, song_id {self.songs.schema['song_id'].dataType.simpleString()}"
         )
@@ -55,6 +57,18 @@ class Recommender:
         )
         return lists, matched.select(F.lit(self.name).alias("model"), "seed_id", "found")
 
+    def top_terms(self, title: str, artist: str | None = None, n: int = 20) -> DataFrame:
+        """Heaviest terms of one song: ``rank, term, weight``."""
+        return terms.top_terms(self._one(title, artist), self.vocabulary, n).drop("song_id")
+
+    def top_topics(self, title: str, artist: str | None = None, n: int = 5) -> DataFrame:
+        """Strongest topics of one song: ``rank, topic, score``."""
+        return latent.song_topics(self._one(title, artist), n).drop("song_id")
+
+    def _one(self, title: str, artist: str | None) -> DataFrame:
+        seed = find_song(self.songs, title, artist)
+        return self.vectors.where(F.col("song_id") == F.lit(seed["song_id"]))
+
     def _named(self, lists: DataFrame, rows: int) -> DataFrame:
         # At most k rows per seed, so the count of seeds bounds the lists.
         side = F.broadcast(lists) if rows <= BROADCAST_LISTS else lists
@@ -73,6 +87,7 @@ def build_tfidf(
     use_idf: bool = True,
     max_features: int = wl.MAX_FEATURES,
     min_df: int = wl.MIN_DF,
+    default_k: int = 5,
 ) -> Recommender:
     """TF-IDF over unigrams and bigrams."""
     corpus = _model_corpus(songs, "tokens") if distinct_songs else songs.select(*SONG_COLUMNS, "tokens")
@@ -81,12 +96,12 @@ def build_tfidf(
         terms.fit_vocabulary(corpus, max_features=max_features, min_df=min_df), f"{name}-vocabulary"
     )
     vectors = save_stage(terms.term_vectors(corpus, vocabulary, use_idf=use_idf), f"{name}-vectors")
-    return Recommender(name, corpus, vectors, vocabulary)
+    return Recommender(name, corpus, vectors, vocabulary, default_k=default_k)
 
 
 def build_chorus(chorus_songs: DataFrame, *, name: str = "chorus", **options) -> Recommender:
     """TF-IDF over chorus texts, whose corpus already holds each song once."""
-    return build_tfidf(chorus_songs, name=name, distinct_songs=False, **options)
+    return build_tfidf(chorus_songs, name=name, distinct_songs=False, default_k=10, **options)
 
 
 def build_lsa(

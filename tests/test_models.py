@@ -78,6 +78,10 @@ def test_svd_does_not_depend_on_partitions(tfidf):
 
 def test_lsa_cut_equals_leading_components(tfidf):
     full = rec.build_lsa(tfidf, n_components=10)
+    topics = full.top_topics("t2", "A1", 3).orderBy("rank").collect()
+    assert len(topics) == 3 and abs(topics[0]["score"]) >= abs(topics[1]["score"]) >= abs(topics[2]["score"])
+    with pytest.raises(ValueError):
+        full.top_topics("t2", "nobody")
     cut = rec.lsa_at(full, 4)
     got = {r["song_id"]: np.array(r["vector"]) for r in cut.vectors.collect()}
     for r in full.extra["latent"].scores.collect():
@@ -150,6 +154,11 @@ def test_recommend_and_compare(tfidf, spark):
     one = tfidf.recommend("t2", "A1", k=5).orderBy("rank").collect()
     assert [r["rank"] for r in one] == [1, 2, 3, 4, 5]
     assert ("T2", "a1") not in {(r["track_name"], r["artist"]) for r in one}
+    assert tfidf.recommend("t2", "A1").count() == 5
+    heavy = tfidf.top_terms("T2", "a1", 3).orderBy("rank").collect()
+    ids, x = dense_matrix(tfidf)
+    mine = np.sort(x[ids.index(9)])[::-1][:3]
+    assert [r["weight"] for r in heavy] == pytest.approx(list(mine))
     tf = rec.build_tfidf(tfidf.songs, name="tf", use_idf=False)
     seeds = spark.createDataFrame([("x", "T2", "a1"), ("y", "t5", ""), ("z", "gone", None)],
                                   "seed_id string, seed_title string, seed_artist string")
