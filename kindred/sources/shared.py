@@ -6,6 +6,7 @@ not on a long lineage, so a lost executor costs one task and never a rebuild.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,17 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_temporary: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names; a temporary one only in local mode."""
+    """The folder the session names; a temporary one, kept per application, only in local mode."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder is None:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", None) or ""):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
+    application = spark.conf.get("spark.app.id", "")
+    if application not in _temporary:
+        _temporary[application] = tempfile.mkdtemp(prefix="kindred-")
+    return _temporary[application]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
