@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe
+from kindred.llm import bpe, secrets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,5 +29,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(secrets.of_kind("spans", kind)).cast("long")
+    return spans.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        F.sha2(F.encode(secrets.listed(secrets.of_kind("spans", *secrets.BASE_KINDS)), "UTF-8"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op10_secrets": op10_secrets}
 ORACLE_SQL: dict[str, str] = {}
