@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, secrets
+from kindred.llm import bpe, chat, decontaminate, quality, secrets
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("row")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share(spark, bpe.read_vocabulary(tokenizer_path()))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,5 +84,47 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_chat": op7_chat, "op10_secrets": op10_secrets}
-ORACLE_SQL = {"op7_chat": OP7_SQL}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("removed_words").cast("long").alias("removed_words")
+    )
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text AS raw, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d
+), g AS (
+  SELECT r, i, list_slice(w, i, i + 7) AS g FROM w, unnest(range(1, len(w) - 6)) AS t(i)
+), p AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1
+), rep AS (
+  SELECT r, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n
+  FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM p) GROUP BY r
+), raw_lines AS (
+  SELECT r, source, md5(text) AS same, unnest(string_split(text, chr(10))) AS raw FROM d
+), lines AS (
+  SELECT r, source, same, raw, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM raw_lines
+  WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT r, count(*) - count(DISTINCT raw) AS n FROM lines GROUP BY r
+), above AS (
+  SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT same) > 20
+), removed AS (
+  SELECT r, CAST(sum(len(string_split(l.line, ' '))) AS BIGINT) AS n
+  FROM lines l JOIN above a ON l.line = a.line AND l.source IS NOT DISTINCT FROM a.source GROUP BY r
+), f AS (
+  SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS removed_words
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN removed USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * (n_words - removed_words) >= 30 * n_words AS kept
+FROM f
+"""
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op7_chat": op7_chat, "op10_secrets": op10_secrets}
+ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL}
