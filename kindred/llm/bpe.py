@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-The distinct pieces of a chunk of texts are laid out one after another as symbols.  An index
+The distinct pieces of a partition's texts are laid out one after another as symbols.  An index
 maps every adjacent pair to all the positions where it stands; a heap holds the ranks of the pairs
 that occur.  The lowest rank is taken, all its positions are merged at once, and the lists of the
 neighbouring pairs are updated.  A merge never creates a pair of a lower rank than its own, because
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -26,15 +25,13 @@ from pyspark.sql import functions as F
 
 #: Fixed value of the public tokenizer: the splitting pattern of byte-level BPE, with \s written out
 #: as the white space that Unicode defines (Python's own \s has four control characters more).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Characters of text that are cut into pieces before the index over them is built.
-CHUNK_CHARS = 1 << 20
-#: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+CHUNK_CHARS = 24 << 20
 
 
 def byte_letters() -> list[str]:
@@ -49,24 +46,42 @@ def byte_letters() -> list[str]:
     return letters
 
 
-@dataclass
 class Vocabulary:
-    """What encoding needs: ids of single bytes, merges by pair of ids, bytes by id, added tokens."""
-
-    byte_ids: list[int]
-    merges: dict[tuple[int, int], tuple[int, int]]
-    id_bytes: list[bytes]
-    added: dict[str, int]
-    remembered: dict[str, bytes] = field(default_factory=dict)
-
-    def __post_init__(self):
+    """Ids of single bytes, merges in order of rank (left, right, merged), bytes by id, added tokens."""
+
+    def __init__(self, byte_ids: list[int], merges: np.ndarray, id_bytes: list[bytes], added: dict[str, int]):
+        self.byte_ids, self.merges, self.id_bytes, self.added = byte_ids, merges, id_bytes, added
+        self.left, self.right, self.merged = merges.T.tolist()
+        keys = (merges[:, 0].astype(np.int64) << 32) | merges[:, 1]
+        self.by_key = np.argsort(keys, kind="stable")
+        self.keys = keys[self.by_key]
+        self.letters = np.array(byte_ids, np.int32)
         self.pieces = regex.compile(PIECES)
-        longest_first = sorted(self.added, key=len, reverse=True)
-        self.cut = regex.compile("|".join(map(regex.escape, longest_first))) if self.added else None
+        longest_first = sorted(added, key=len, reverse=True)
+        self.cut = regex.compile("|".join(map(regex.escape, longest_first))) if added else None
 
     def __reduce__(self):
         return Vocabulary, (self.byte_ids, self.merges, self.id_bytes, self.added)
 
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it isn't merged."""
+        key = (left.astype(np.int64) << 32) | right.astype(np.int64)
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[k] == key) & (left >= 0) & (right >= 0), self.by_key[k], -1)
+
+    def lay_out(self, pieces: list[bytes | int]) -> np.ndarray:
+        """The symbols of all pieces, with -1 around each."""
+        raw = [b"\0" if isinstance(p, int) else p for p in pieces]
+        sizes = np.array([len(p) for p in raw], np.int64)
+        symbol = np.full(int(sizes.sum()) + len(raw) + 1, -1, np.int32)
+        piece = np.repeat(np.arange(len(raw)), sizes)
+        symbol[np.arange(len(piece)) + piece + 1] = self.letters[np.frombuffer(b"".join(raw), np.uint8)]
+        starts = np.cumsum(sizes + 1) - sizes
+        for k, p in enumerate(pieces):
+            if isinstance(p, int):
+                symbol[starts[k]] = p
+        return symbol
+
 
 def read_vocabulary(path: str) -> Vocabulary:
     """Read a byte-level BPE file of the tokenizers library (a fixed, small file) on the driver."""
@@ -75,10 +90,8 @@ def read_vocabulary(path: str) -> Vocabulary:
     vocab = spec["model"]["vocab"]
     letters = byte_letters()
     byte_of = {letter: b for b, letter in enumerate(letters)}
-    merges = {}
-    for rank, pair in enumerate(spec["model"]["merges"]):
-        left, right = pair.split(" ") if isinstance(pair, str) else pair
-        merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+    pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
+    merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int32)
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     id_bytes = [b""] * (1 + max([*vocab.values(), *added.values()]))
     for token, k in vocab.items():
@@ -88,48 +101,75 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary([vocab[c] for c in letters], merges, id_bytes, added)
 
 
-def merge_all(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
-    """The ids of each piece, from one index of pairs over all of them."""
-    byte_ids, merges = vocabulary.byte_ids, vocabulary.merges
-    symbol: list[int] = []
-    for piece in pieces:
-        symbol += [byte_ids[b] for b in piece]
-        symbol.append(-1)
+class _Numbering(dict):
+    """Numbers distinct pieces in the order in which they are first asked for."""
+
+    def __missing__(self, piece):
+        number = self[piece] = len(self)
+        return number
+
+
+def merge_all(pieces: list[bytes | int], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces in a row, and where each piece's ids begin; an added token stands as its id.
+
+    Symbols lie in one array with -1 before, between and after the pieces; -2 is a symbol that was
+    merged into the one before it.
+    """
+    symbol = vocabulary.lay_out(pieces)
     size = len(symbol)
-    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-    at: dict[tuple[int, int], list[int]] = {}
-    for k, pair in enumerate(zip(symbol, symbol[1:], strict=False)):
-        if pair in merges:
-            at.setdefault(pair, []).append(k)
-    ranks = [(merges[pair][0], pair) for pair in at]
-    heapq.heapify(ranks)
-    while ranks:
-        _, pair = heapq.heappop(ranks)
-        left, right = pair
-        merged = merges[pair][1]
-        for k in sorted(at.pop(pair)):
-            nxt = after[k]
-            if symbol[k] != left or nxt >= size or symbol[nxt] != right:
-                continue  # one of the two was merged with its other neighbour meanwhile
-            symbol[k], symbol[nxt] = merged, -2
-            far = after[k] = after[nxt]
-            if far < size:
-                before[far] = k
-            prev = before[k]
-            for start, new in ((prev, (symbol[prev], merged) if prev >= 0 else None), (k, (merged, symbol[far]) if far < size else None)):
-                if new in merges:
-                    if new not in at:
-                        at[new] = []
-                        heapq.heappush(ranks, (merges[new][0], new))
-                    at[new].append(start)
-    out, ids = [], []
-    for s in symbol:
-        if s >= 0:
-            ids.append(s)
-        elif s == -1:
-            out.append(ids)
-            ids = []
-    return out
+    after = np.arange(1, size + 1, dtype=np.int32)
+    before = np.arange(-1, size - 1, dtype=np.int32)
+    at: dict[int, list[np.ndarray]] = {}
+    waiting: list[int] = []
+
+    def note(positions: np.ndarray) -> None:
+        """Enter positions in the index, under the rank of the pair that stands there."""
+        rank = vocabulary.rank(symbol[positions], symbol[after[positions]])
+        positions, rank = positions[rank >= 0], rank[rank >= 0]
+        if not len(rank):
+            return
+        order = np.argsort(rank, kind="stable")
+        positions, rank = positions[order], rank[order]
+        cuts = np.flatnonzero(np.diff(rank)) + 1
+        for r, found in zip(rank[np.r_[0, cuts]].tolist(), np.split(positions, cuts) if len(cuts) else [positions], strict=True):
+            if r not in at:
+                at[r] = []
+                heapq.heappush(waiting, r)
+            at[r].append(found)
+
+    note(np.arange(size - 1, dtype=np.int32))
+    while waiting:
+        r = heapq.heappop(waiting)
+        lists = at.pop(r)
+        left, right, merged = vocabulary.left[r], vocabulary.right[r], vocabulary.merged[r]
+        found = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
+        # a position is void if one of the two has been merged with its other neighbour meanwhile
+        found = found[(symbol[found] == left) & (symbol[after[found]] == right)]
+        if left == right:
+            found = _every_other(found, after)
+        if not len(found):
+            continue
+        gone = after[found]
+        far = after[gone]
+        symbol[found], symbol[gone] = merged, -2
+        after[found], before[far] = far, found
+        prev = before[found]
+        # where the piece before was merged too, its own entry covers the pair between them
+        note(np.concatenate([found, prev[symbol[prev] != merged]]))
+    ends = np.flatnonzero(symbol == -1)
+    kept = symbol >= 0
+    starts = np.concatenate([[0], np.cumsum(kept)])[ends]
+    return symbol[kept].astype("<u4"), starts
+
+
+def _every_other(found: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of positions of one symbol twice, those that merge when runs are taken from the left."""
+    taken, free = [], -1
+    for k in found.tolist():
+        if k != free:
+            taken.append(k)
+            free = int(after[k])
+    return np.array(taken, dtype=found.dtype)
 
 
 def _segments(text: str, vocabulary: Vocabulary):
@@ -141,31 +181,39 @@ def _segments(text: str, vocabulary: Vocabulary):
     yield text[start:], None
 
 
+def _encode_chunk(texts: list[str], vocabulary: Vocabulary) -> list[bytes]:
+    number, find = _Numbering(), vocabulary.pieces.findall
+    numbered = []
+    for text in texts:
+        row = []
+        for segment, added in _segments(text, vocabulary):
+            row += map(number.__getitem__, find(segment))
+            if added is not None:
+                row.append(number[added])
+        numbered.append(np.array(row, np.int64))
+    ids, starts = merge_all([p.encode() if isinstance(p, str) else p for p in number], vocabulary)
+    lengths = np.diff(starts)
+    out = []
+    for row in numbered:
+        n = lengths[row]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(row) else 0
+        out.append(ids[np.repeat(starts[:-1][row] - ends + n, n) + np.arange(total)].tobytes())
+    return out
+
+
 def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> list[bytes]:
     """Packed ids (little-endian unsigned 32-bit) of every text."""
     out: list[bytes] = []
-    known, find = vocabulary.remembered, vocabulary.pieces.findall
-    first = 0
-    while first < len(texts):
-        last, chars = first, 0
-        while last < len(texts) and (last == first or chars + len(texts[last] or "") <= CHUNK_CHARS):
-            chars += len(texts[last] or "")
-            last += 1
-        cut = [[(find(s), added) for s, added in _segments(t or "", vocabulary)] for t in texts[first:last]]
-        if len(known) > REMEMBERED:
-            known.clear()
-        fresh = list({p for segments in cut for pieces, _ in segments for p in pieces if p not in known})
-        for piece, ids in zip(fresh, merge_all([p.encode() for p in fresh], vocabulary), strict=True):
-            known[piece] = np.array(ids, "<u4").tobytes()
-        for segments in cut:
-            packed = []
-            for pieces, added in segments:
-                packed += [known[p] for p in pieces]
-                if added is not None:
-                    packed.append(added.to_bytes(4, "little"))
-            out.append(b"".join(packed))
-        first = last
-    return out
+    chunk, chars = [], 0
+    for text in texts:
+        text = text or ""
+        if chunk and chars + len(text) > CHUNK_CHARS:
+            out += _encode_chunk(chunk, vocabulary)
+            chunk, chars = [], 0
+        chunk.append(text)
+        chars += len(text)
+    return out + _encode_chunk(chunk, vocabulary)
 
 
 def decode_ids(packed: bytes, vocabulary: Vocabulary) -> str:
