@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, decontaminate, quality, secrets
+from kindred.llm import bpe, chat, decontaminate, quality, secrets, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -84,6 +84,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -126,5 +131,5 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM f
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op7_chat": op7_chat, "op10_secrets": op10_secrets}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op10_secrets": op10_secrets}
 ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL}
