@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, decontaminate, html, quality, secrets, warc
+from kindred.llm import bpe, chat, decontaminate, html, quality, secrets, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,6 +25,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("row")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.apply(docs, grammar).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "matched_clauses",
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = bpe.share(spark, bpe.read_vocabulary(tokenizer_path()))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -136,5 +148,5 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM f
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op9_html": op9_html, "op10_secrets": op10_secrets}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op9_html": op9_html, "op10_secrets": op10_secrets}
 ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL}
