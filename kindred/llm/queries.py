@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, decontaminate, html, quality, secrets, toxicity, warc
+from kindred.llm import bpe, chat, chosen_path, decontaminate, html, quality, secrets, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -46,6 +46,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return done.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -148,5 +152,5 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM f
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op9_html": op9_html, "op10_secrets": op10_secrets}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_jaccard_join": op8_jaccard_join, "op9_html": op9_html, "op10_secrets": op10_secrets}
 ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL}
