@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, chat, chosen_path, decontaminate, html, quality, secrets, toxicity, warc
+from kindred.llm import bpe, brown_lm, chat, chosen_path, decontaminate, html, quality, secrets, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_all(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("row")
@@ -152,5 +156,5 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM f
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_jaccard_join": op8_jaccard_join, "op9_html": op9_html, "op10_secrets": op10_secrets}
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_jaccard_join": op8_jaccard_join, "op9_html": op9_html, "op10_secrets": op10_secrets}
 ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL}
