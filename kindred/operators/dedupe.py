@@ -40,8 +40,8 @@ def song_set(df: DataFrame) -> DataFrame:
 
 
 def shared_songs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Songs on both lists."""
-    return song_set(a).join(song_set(b), SONG, "left_semi")
+    """Songs on both lists; a NULL artist equals a NULL artist."""
+    return a.select(*SONG).intersect(b.select(*SONG))
 
 
 def all_songs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -50,5 +50,5 @@ def all_songs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def only_in_first(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Songs on the first list and not on the second."""
-    return song_set(a).join(song_set(b), SONG, "left_anti")
+    """Songs on the first list and not on the second; a NULL artist equals a NULL artist."""
+    return a.select(*SONG).subtract(b.select(*SONG))

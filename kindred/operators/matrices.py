@@ -17,20 +17,41 @@ def vector_columns(vectors) -> tuple[str, ...]:
 
 
 def unit_matrix():
-    """A function from an Arrow table with ``vector`` to unit-length rows; zero rows stay zero."""
+    """A function from an Arrow table with ``vector`` to unit-length rows; zero rows stay zero.
+
+    A missing vector, one of another width and one with NULL or NaN entries are errors.
+    """
 
     def read(table):
         import numpy as np
 
         n = table.num_rows
-        flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = flat.astype("float64").reshape(n, -1)
+        lists = table.column("vector").combine_chunks()
+        flat = lists.flatten()
+        widths = np.diff(lists.offsets.to_numpy())
+        if lists.null_count or flat.null_count or (n and (widths != widths[0]).any()):
+            raise ValueError("vectors must have one width and no NULL")
+        x = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1)
+        if np.isnan(x).any():
+            raise ValueError("vectors must not hold NaN")
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
     return read
 
 
+def rounder(digits: int):
+    """Round halves away from zero, as Spark and SQL do."""
+
+    def rounded(x):
+        import numpy as np
+
+        scale = 10.0**digits
+        return np.copysign(np.floor(np.abs(x) * scale + 0.5) / scale, x) + 0.0
+
+    return rounded
+
+
 def row_scorer(sparse: bool, digits: int, chunk_rows: int | None = None):
     """A generator of rounded similarities of some rows of a table to others.
 
@@ -41,16 +62,14 @@ def row_scorer(sparse: bool, digits: int, chunk_rows: int | None = None):
     the number of shared terms and no matrix as wide as the vocabulary exists.
     """
     step = chunk_rows or CHUNK_ROWS
-    read = unit_matrix()
+    read, rounded = unit_matrix(), rounder(digits)
 
     def dense(table, left, right):
-        import numpy as np
-
         x = read(table)
         other = x[right].T
         for at in range(0, len(left), step):
             rows = left[at : at + step]
-            yield rows, np.round(x[rows] @ other, digits) + 0.0
+            yield rows, rounded(x[rows] @ other)
 
     def entries(table, rows):
         import numpy as np
@@ -78,17 +97,18 @@ def row_scorer(sparse: bool, digits: int, chunk_rows: int | None = None):
             cell = np.repeat(l_row, hits) * n + r_row[where]
             value = np.repeat(l_weight, hits) * r_weight[where]
             sims = np.bincount(cell, weights=value, minlength=len(rows) * n)
-            yield rows, np.round(sims.reshape(len(rows), n), digits) + 0.0
+            yield rows, rounded(sims.reshape(len(rows), n))
 
     return matched if sparse else dense
 
 
 def best_columns(k: int):
-    """Indices of the k largest entries of a row, ties to the lower column."""
+    """Indices of the k largest entries of a row, ties to the lower column; NaN ranks below all."""
 
     def best(row):
         import numpy as np
 
+        row = np.where(np.isnan(row), -np.inf, row)
         if len(row) > k:
             floor = np.partition(row, len(row) - k)[len(row) - k]
             near = np.flatnonzero(row >= floor)

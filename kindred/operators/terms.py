@@ -27,12 +27,14 @@ def song_terms(songs: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def _occurrences(lists: DataFrame, column: str) -> DataFrame:
-    """``term`` rows that count once per occurrence and once per song."""
-    every = lists.select(F.explode(column).alias("term"), F.lit(1).alias("_all"), F.lit(0).alias("_doc"))
-    once = lists.select(
-        F.explode(F.array_distinct(column)).alias("term"), F.lit(0).alias("_all"), F.lit(1).alias("_doc")
+    """``term`` rows, one per occurrence; ``_doc`` marks the first of its term in a song."""
+    ordered = compute_once(lists.select(column), _sorted=F.sort_array(column)).select("_sorted")
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_sorted", F.lit(1), F.size("_sorted") - 1))
+    marked = F.zip_with(
+        "_sorted", before, lambda term, last: F.struct(term.alias("term"), (~term.eqNullSafe(last)).cast("int").alias("_doc"))
     )
-    return every.union(once)
+    rows = ordered.where(F.size("_sorted") > 0).select(F.explode(marked).alias("_t"))
+    return rows.select("_t.term", F.lit(1).alias("_all"), "_t._doc")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -64,10 +66,10 @@ def frequent_terms(
     rows = _occurrences(pairs, "_pairs")
     if floor:
         usable = singles.where(F.col("corpus_count") >= floor).select(F.col("term").alias("_word"))
-        usable, small = broadcast_if_bounded(usable, BROADCAST_TERMS)
-        if small:
-            for part in (1, -1):
-                rows = rows.join(usable, F.substring_index("term", " ", part) == F.col("_word"), "left_semi")
+        # Broadcast if it is small, else joined by a shuffle, in which a hot word's rows can be split.
+        usable, _ = broadcast_if_bounded(usable, BROADCAST_TERMS)
+        for part in (1, -1):
+            rows = rows.join(usable, F.substring_index("term", " ", part) == F.col("_word"), "left_semi")
     doubles = _counted(rows).where((F.col("doc_count") >= min_df) & (F.col("corpus_count") >= floor))
     return singles.unionByName(doubles).orderBy(*by_count).limit(max_features)
 

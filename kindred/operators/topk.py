@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators.blocks import blocked_top_k
-from kindred.operators.matrices import SPARSE, best_columns, unit_matrix, vector_columns
+from kindred.operators.matrices import SPARSE, best_columns, rounder, unit_matrix, vector_columns
 from kindred.operators.terms import postings
 from kindred.sources.shared import broadcast_if_bounded, save_stage
 
 DIGITS = 6
+#: Seeds whose vectors one pass carries, and seeds that are answered by passes at all.
 SCAN_SEEDS = 512
+SCANNED_SEEDS = 16_384
 BROADCAST_SEEDS = 20_000
 BROADCAST_POSTINGS = 2_000_000
 SALTS = 64
@@ -82,7 +84,7 @@ def _fillers(seeds: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def top_by_scan(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """Up to SCAN_SEEDS seeds: one pass over the corpus, k candidates per seed and task.
+    """Up to SCANNED_SEEDS seeds: a pass over the corpus per SCAN_SEEDS of them.
 
     The seeds' vectors travel to the tasks, where a batch of songs is one
     matrix product.  Songs never move; the only shuffle carries k rows per
@@ -90,15 +92,19 @@ def top_by_scan(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """
     cols = vector_columns(vectors)
     wanted = F.broadcast(seeds.select("seed_id", F.col("song_id").alias("seed_song")))
-    # SCAN_SEEDS rows at most.
+    # SCANNED_SEEDS rows at most.
     rows = vectors.join(wanted, F.col("song_id") == F.col("seed_song")).select("seed_id", "song_id", *cols).toArrow()
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     seed = seeds.schema["seed_id"].dataType.simpleString()
     schema = f"seed_id {seed}, song_id {kind['song_id']}, seq {kind['seq']}, similarity double"
     if not rows.num_rows:
         return _best(vectors.sparkSession.createDataFrame([], schema), k).drop("seq")
-    product = _sparse_product(rows) if cols == SPARSE else _dense_product(rows)
-    scored = vectors.select("song_id", "seq", *cols).mapInArrow(_scanner(rows, product, k), schema)
+    songs, scored = vectors.select("song_id", "seq", *cols), None
+    for at in range(0, rows.num_rows, SCAN_SEEDS):
+        group = rows.slice(at, SCAN_SEEDS).combine_chunks()
+        product = _sparse_product(group) if cols == SPARSE else _dense_product(group)
+        part = songs.mapInArrow(_scanner(group, product, k), schema)
+        scored = part if scored is None else scored.unionByName(part)
     return _best(scored, k).drop("seq")
 
 
@@ -153,7 +159,7 @@ def _sparse_product(seeds):
 
 def _scanner(seeds, prepare, k: int):
     best = best_columns(k)
-    digits = DIGITS
+    rounded = rounder(DIGITS)
 
     def scan(batches):
         import numpy as np
@@ -168,7 +174,7 @@ def _scanner(seeds, prepare, k: int):
                 continue
             ids = table.column("song_id").to_numpy()
             seqs = table.column("seq").to_numpy()
-            every = np.round(product(table), digits).T + 0.0
+            every = rounded(product(table)).T
             for s, sims in enumerate(every):
                 sims[ids == songs[s]] = -np.inf
                 take = best(sims)
@@ -200,10 +206,11 @@ def top_k(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """``seed_id, rank, song_id, similarity`` for either kind of vector.
 
     ``seeds`` holds ``seed_id, song_id``.  Both tables are read more than
-    once: pass saved ones.  More seeds than one pass can carry are joined on
-    their terms (sparse) or multiplied block by block (dense).
+    once: pass saved ones.  Beyond SCANNED_SEEDS seeds are joined on their
+    terms (sparse) or multiplied block by block (dense); scores and ranks are
+    the same by every route.
     """
-    if seeds.limit(SCAN_SEEDS + 1).count() <= SCAN_SEEDS:
+    if seeds.limit(SCANNED_SEEDS + 1).count() <= SCANNED_SEEDS:
         return top_by_scan(vectors, seeds, k)
     if vector_columns(vectors) == SPARSE:
         return top_by_terms(vectors, seeds, k)

@@ -30,9 +30,9 @@ K = 10
 PAIRS = 15
 SAMPLE = 500
 MATCHED_SAMPLE = 400
-LSA_TOPICS = 100
 LSA_FIT = 200
-SWEEP = (50, 100, 200)
+#: A sweep compares cuts to a quarter, half and all of what was fitted; lists come from half of it.
+SWEEP = (4, 2, 1)
 MODELS = ["tfidf", "tf", "chorus"]
 
 _FITTED: dict[tuple, object] = {}
@@ -96,6 +96,7 @@ def chorus_model(spark, sf_dir):
 
 @_fitted
 def lsa_model(spark, sf_dir):
+    """LSA_FIT components, or as many as a smaller corpus has; names and cuts follow the fit."""
     base = tfidf_model(spark, sf_dir)
     most = min(base.songs.count(), base.vocabulary.count())
     return rec.build_lsa(base, n_components=min(LSA_FIT, most))
@@ -399,11 +400,13 @@ def chorus_vs_full(spark, sf_dir):
     """Matched sample scored in both corpora"""
     full, chorus = tfidf_model(spark, sf_dir), chorus_model(spark, sf_dir)
     both = dedupe.shared_songs(full.songs, chorus.songs)
-    keyed = both.withColumn("song_key", F.concat_ws("|", "track_name", "artist"))
+    keyed = both.withColumn("song_key", F.concat_ws("|", "track_name", "artist"))  # a NULL artist leaves the title
     sample = save_stage(pairs.sample_songs(keyed, MATCHED_SAMPLE, key="song_key"), "matched-sample")
 
     def summary(model):
-        rows = model.songs.join(F.broadcast(sample), ["track_name", "artist"]).select("song_id")
+        named = sample.select(F.col("track_name").alias("_t"), F.col("artist").alias("_a"))
+        same = F.col("track_name").eqNullSafe(F.col("_t")) & F.col("artist").eqNullSafe(F.col("_a"))
+        rows = model.songs.join(F.broadcast(named), same).select("song_id")
         scores = pairs.sample_pair_scores(model.vectors.join(F.broadcast(rows), "song_id"))
         row = stats.score_summary(scores, thresholds=(0.1, 0.3))
         return row.select(
@@ -540,7 +543,8 @@ def list_set_operations(spark, sf_dir):
 @query
 def lsa_topk(spark, sf_dir):
     """M1, M2, J4"""
-    m = rec.lsa_at(lsa_model(spark, sf_dir), LSA_TOPICS)
+    full = lsa_model(spark, sf_dir)
+    m = rec.lsa_at(full, max(1, rec.components_of(full) // 2))
     lists, _ = m.recommend_many(seed_table(spark, sf_dir), K)
     return lists.select("seed_id", "rank", "song_id", "similarity")
 
@@ -574,7 +578,7 @@ def lsa_components_needed(spark, sf_dir):
 def lsa_sweep(spark, sf_dir):
     """M5d, A9: top lists of one fit cut to fewer components"""
     full = lsa_model(spark, sf_dir)
-    cuts = [rec.lsa_at(full, n) for n in SWEEP]
+    cuts = [rec.lsa_at(full, max(1, rec.components_of(full) // n)) for n in SWEEP]
     lists, attempts = rec.compare_models(cuts, seed_table(spark, sf_dir), K)
     return compare.overlap(save_stage(lists, "sweep"), attempts)
 

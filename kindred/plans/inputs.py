@@ -9,20 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Below this size per core a table has too few row groups to keep cores busy.
-_SMALL_SHARE = 32 << 20
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table; a file too small to split is spread over the cores.
-
-    One row group is one task.  Tables of a size that matters have many, and
-    are left as they are scanned.
-    """
+    """A Parquet table; one that is a single split, 128 MB at most, is spread over the cores."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < _SMALL_SHARE * cores else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def _song(text) -> list:

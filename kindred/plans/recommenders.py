@@ -112,8 +112,19 @@ def build_lsa(
     return Recommender(name, tfidf.songs, model.vectors, tfidf.vocabulary, {"latent": model, "tfidf": tfidf})
 
 
+def components_of(model: Recommender) -> int:
+    """How many components a latent model was fitted with."""
+    return len(model.extra["latent"].singular_values)
+
+
 def lsa_at(model: Recommender, n_components: int) -> Recommender:
-    """The same fit cut to fewer components: leading components do not change."""
+    """The same fit cut to fewer components: leading components do not change.
+
+    ValueError beyond the components that were fitted.
+    """
+    fitted = components_of(model)
+    if not 1 <= n_components <= fitted:
+        raise ValueError(f"{n_components} components asked for, {fitted} fitted")
     vectors = latent.unit_vectors(model.extra["latent"].scores, n_components)
     return Recommender(f"{model.name}_{n_components}", model.songs, vectors, model.vocabulary, model.extra)
 

@@ -176,3 +176,14 @@ def test_score_summary(spark):
 
 def test_fixed_values():
     assert wl.MAX_FEATURES == 10_000 and wl.MIN_DF == 2
+
+
+def test_song_sets_treat_null_artists_as_equal(spark):
+    from kindred.operators import dedupe
+
+    a = spark.createDataFrame([("x", None), ("x", None), ("y", "b")], "track_name string, artist string")
+    b = spark.createDataFrame([("x", None), ("z", "c")], "track_name string, artist string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(dedupe.shared_songs(a, b)) == [("x", None)]
+    assert rows(dedupe.only_in_first(a, b)) == [("y", "b")]
+    assert rows(dedupe.all_songs(a, b)) == sorted([("x", None), ("y", "b"), ("z", "c")], key=str)

@@ -89,7 +89,7 @@ def test_top_k_sparse(fitted, spark, monkeypatch, way):
     *_, vectors, names, idf, x = fitted
     monkeypatch.setattr(topk, "CHUNK_ROWS", 7)
     if way != "scan":
-        monkeypatch.setattr(topk, "SCAN_SEEDS", 0)
+        monkeypatch.setattr(topk, "SCANNED_SEEDS", 0)
     if way == "salted postings":
         monkeypatch.setattr(topk, "BROADCAST_POSTINGS", 0)
     wanted = [0, 5, 7, len(x) - 1, len(x) - 3]
@@ -146,7 +146,7 @@ def dense(spark):
 def test_top_k_dense(dense, spark, monkeypatch, small):
     df, x = dense
     if not small:
-        monkeypatch.setattr(topk, "SCAN_SEEDS", 0)
+        monkeypatch.setattr(topk, "SCANNED_SEEDS", 0)
     wanted = [3, 7, 8]
     seeds = spark.createDataFrame([(i, i) for i in wanted], "seed_id long, song_id long")
     got = topk.top_k(df, seeds, 6).orderBy("seed_id", "rank").collect()
@@ -193,3 +193,44 @@ def test_sample_pairs(fitted, dense):
         got = {(r["song_a"], r["song_b"]): r["similarity"] for r in pairs.sample_pair_scores(sample).collect()}
         want = {(a, b): pytest.approx(float(x[a] @ x[b]), abs=2e-6) for a in ids for b in ids if a < b}
         assert got == want
+
+
+def test_broken_vectors_are_told():
+    import pyarrow as pa
+
+    from kindred.operators.matrices import unit_matrix
+
+    for rows in ([[1.0, 2.0], None], [[1.0, 2.0], [1.0]], [[1.0, None], [1.0, 2.0]], [[1.0, float("nan")], [1.0, 2.0]]):
+        with pytest.raises(ValueError):
+            unit_matrix()(pa.table({"vector": pa.array(rows, pa.list_(pa.float64()))}))
+
+
+def test_best_columns_keep_every_number():
+    import numpy as np
+
+    from kindred.operators.matrices import best_columns
+
+    assert best_columns(2)(np.array([0.5, np.nan, 0.3, np.nan, 0.2])).tolist() == [0, 2]
+
+
+def test_halves_are_rounded_as_spark_does(spark):
+    import numpy as np
+
+    from kindred.operators.matrices import rounder
+
+    values = [0.0078125, -0.0078125, 0.5, 1 / 3, 0.0]
+    wanted = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("round(v, 6)").collect()]
+    assert rounder(6)(np.array(values)).tolist() == wanted
+
+
+def test_many_seeds_in_groups_equal_one_group(spark, monkeypatch):
+    from kindred.operators import topk
+
+    rows = [(k, k, [float((k * 7 + j * 3) % 11) - 5 for j in range(4)]) for k in range(40)]
+    vectors = spark.createDataFrame(rows, "song_id long, seq long, vector array<double>")
+    seeds = vectors.select(F.col("song_id").alias("seed_id"), "song_id")
+    whole = sorted(map(tuple, topk.top_k(vectors, seeds, 3).collect()))
+    monkeypatch.setattr(topk, "SCAN_SEEDS", 7)
+    assert sorted(map(tuple, topk.top_k(vectors, seeds, 3).collect())) == whole
+    monkeypatch.setattr(topk, "SCANNED_SEEDS", 5)
+    assert sorted(map(tuple, topk.top_k(vectors, seeds, 3).select(*topk.top_k(vectors, seeds, 3).columns).collect())) == whole
