@@ -3,7 +3,7 @@
 Payload digests are computed where the pages are read, and only headers (id, digest) are shuffled:
 the smallest id per digest is found with a partial aggregate and joined back, with a salt, so a
 payload that a third of all pages share is spread over many tasks.  Archives are written as text by
-Spark's own writer, which puts the record end after each record: payloads are UTF-8 text, so a
+Spark's own writer, compressed, with the record end after each record: payloads are UTF-8 text, so a
 record is one too.  A revisit record has fresh headers that name the original and no payload.
 
 Reading goes by Content-Length, so a payload may hold anything, record heads and blank lines
@@ -17,6 +17,7 @@ itself that nothing refers to; pages without rows give an empty archive; other c
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -36,11 +37,12 @@ SALTS = 32
 READ = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string, offset long"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of SHA-1: 160 bits are 32 digits, cut from the binary digits of the hex form."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.sha1(payload), 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)])
-    digit = lambda k: F.substring(F.lit(BASE32), F.conv(F.substr(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
+def base32(sha1_hex: Column) -> Column:
+    """Bare upper-case base32 of 160 bits in hex."""
+    bits = F.concat(*[F.lpad(F.conv(F.substring(sha1_hex, 1 + 10 * k, 10), 16, 2), 40, "0") for k in range(4)])
+    digit = lambda b, k: F.substring(F.lit(BASE32), F.conv(F.substr(b, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
+    of = lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: digit(b, k)), "")
+    return F.get(F.transform(F.array(bits), of), F.lit(0))
 
 
 def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -79,7 +81,7 @@ def records(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", least_bytes: i
         header("WARC-Record-ID", F.coalesce(_record_id(F.col("page_id")), F.lit("<urn:uuid:00000000-0000-0000-0000-000000000000>"))),
         header("WARC-Target-URI", escaped),
         F.lit(f"WARC-Date: {date}{BREAK}"),
-        header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.encode("html", "UTF-8")))),
+        header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         header("X-Page-ID", F.col("page_id").cast("string")),
         F.when(again, F.concat_ws("", F.lit(f"WARC-Profile: {PROFILE}{BREAK}"), header("WARC-Refers-To", _record_id(F.col("refers_to"))), header("X-Refers-To-Page", F.col("refers_to").cast("string")))),
         header("X-Payload-Bytes", F.octet_length("html").cast("string")),
@@ -93,7 +95,7 @@ def write(pages: DataFrame, path: str | None = None, **options) -> str:
     """Write archives into a folder that all executors share; returns the folder."""
     path = path or stage_path(pages.sparkSession, f"warc-{uuid.uuid4().hex[:6]}")
     writer = records(pages, **options).write.mode("overwrite").option("lineSep", RECORD_END)
-    writer.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    writer.option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
     return path
 
 
@@ -120,7 +122,7 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for archive in frame["content"]:
             rows = []
-            for record in parse(archive):
+            for record in parse(gzip.decompress(archive)):
                 head, payload = record["head"], record["payload"]
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                 response = head["WARC-Type"] == "response"
@@ -145,5 +147,5 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives in a folder; a revisit's payload is null."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     return files.mapInPandas(_rows, READ)
