@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,8 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.sources.shared import broadcast_if_bounded, save_stage
+
 #: Documented bounds of what is learned.
 LEXICON, FIT_ROWS = 4000, 20_000
+HELD_FEATURES, BROADCAST_LABELS = 500_000, 1_000_000
 STEMS = (3, 4, 5, 6)
 #: An entry's log-likelihood ratio against chance (30 is met by chance once in 20 million entries),
 #: the share of toxic documents among those that hold it, and how many standard errors its weight is
@@ -143,32 +148,54 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled training rows; a document that is labelled twice is toxic if one label says so."""
+    """(doc_id, toxic) of labelled training rows to learn from.
+
+    A document that is labelled twice is toxic if one label says so.  Copies would make any word of a
+    copied document look like evidence: of the rows that share the least hash of their long words, as
+    near copies do, one of each label is kept.  No text is shuffled.
+    """
     toxic = labels.filter("doc_id is not null and toxic is not null").filter(_in_train()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(F.col("doc_id").isNotNull() & _in_train()).select("doc_id", "text").join(toxic, "doc_id")
-    # Copies would make any word of a copied document look like evidence: of the rows that share the
-    # least hash of their long words, as near copies do, one of each label is learned from.
     long_words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 8)
     same = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
-    return rows.groupBy(same.alias("same"), "toxic").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", "toxic")
+    rows = _labelled(docs, toxic).select("doc_id", "toxic", same.alias("same"))
+    return save_stage(rows.groupBy("same", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "toxic-rows")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _features(texts: pd.Series) -> pd.Series:
-    def of(text):
-        words = set(WORD.findall((text or "").lower().replace("'", "").replace("’", "")))
-        return list({f"={w}" for w in words} | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n})
+def _labelled(docs: DataFrame, toxic: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic): labels travel to the texts if they are few, else both are shuffled."""
+    few, _ = broadcast_if_bounded(toxic, BROADCAST_LABELS)
+    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(few, "doc_id")
 
-    return pd.Series([of(t) for t in texts], dtype=object)
 
+def _features(text: str | None) -> set[str]:
+    words = set(WORD.findall((text or "").lower().replace("'", "").replace("’", "")))
+    return {f"={w}" for w in words} | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
-def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float], float, int]:
-    """Weights of words and stems, the share of toxic rows, and their number."""
-    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    n, toxic = totals.n, int(totals.toxic)
-    if not 0 < toxic < n:
-        return {}, {}, (toxic / n if n else 0.5), n
-    counts = rows.select("toxic", F.explode(_features(F.col("text"))).alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
+
+def _count_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of either label that hold a feature, added up within the task."""
+    bad, every = Counter(), Counter()
+
+    def flush():
+        names = pd.Series(list(every), dtype=object)
+        return pd.DataFrame({"feature": names, "bad": np.array([bad[f] for f in every], np.int64), "all": np.array(list(every.values()), np.int64)})
+
+    for frame in frames:
+        for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
+            found = _features(text)
+            every.update(found)
+            if toxic:
+                bad.update(found)
+            if len(every) >= HELD_FEATURES:
+                yield flush()
+                bad, every = Counter(), Counter()
+    yield flush()
+
+
+def learn_lexicon(rows: DataFrame, n: int, toxic: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of words and stems from (text, toxic) rows, of which ``toxic`` of ``n`` are toxic."""
+    counts = rows.select("text", "toxic").mapInPandas(_count_features, "feature string, bad long, all long")
+    counts = counts.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
     bad, good = F.col("bad") + 0.5, F.col("all") - F.col("bad") + 0.5
     odds = F.log(bad / (toxic + 1)) - F.log(good / (n - toxic + 1))
     cautious = odds - CAUTION * F.sqrt(1 / bad + 1 / good)
@@ -178,8 +205,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float],
     chosen = counts.filter(clear).withColumn("odds", cautious).filter("odds > 0")
     best = chosen.orderBy(F.desc(F.col("bad") * F.col("odds")), "feature").limit(LEXICON).collect()
     words = {r.feature[1:]: r.odds for r in best if r.feature[0] == "="}
-    stems = {r.feature[:-1]: r.odds for r in best if r.feature[0] != "="}
-    return words, stems, toxic / n, n
+    return words, {r.feature[:-1]: r.odds for r in best if r.feature[0] != "="}
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -203,15 +229,17 @@ def squash(weight: float) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Learn a grammar from labelled training rows."""
-    rows = train_rows(docs, labels)
-    words, stems, share, n = learn_lexicon(rows)
+    chosen = train_rows(docs, labels)
+    totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    n, toxic = totals.n, int(totals.toxic)
+    share = toxic / n if n else 0.5
+    words, stems = learn_lexicon(_labelled(docs, chosen), n, toxic) if 0 < toxic < n else ({}, {})
     grammar = Grammar(words, stems)
-    prior = math.log(max(share, 1e-6) / max(1 - share, 1e-6))
     if not words and not stems:
-        grammar.slope, grammar.shift = 0.0, prior
+        grammar.slope, grammar.shift = 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6))
         return grammar
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.8 * FIT_ROWS / n)))
-    seen = apply(sample, grammar).select("evidence", "toxic").groupBy("evidence", "toxic").count().orderBy("evidence", "toxic").limit(FIT_ROWS).toPandas()
+    sample = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.8 * FIT_ROWS / n)))
+    seen = apply(_labelled(docs, sample), grammar).groupBy("evidence", "toxic").count().orderBy("evidence", "toxic").limit(FIT_ROWS).toPandas()
     x = np.array([squash(v) for v in seen["evidence"]])
     grammar.slope, grammar.shift = fit_curve(x, seen["toxic"].to_numpy(float), seen["count"].to_numpy(float))
     return grammar
