@@ -35,7 +35,7 @@ SHINGLE, WIDTH = 5, 64
 RUNS, FAN, LEVELS, SMALL = 3, 2, 4, 64
 #: Similarity is at least NUM / DEN; vectors are compared with a margin of three standard errors.
 NUM, DEN, MARGIN = 4, 5, 0.15
-BLOCK, PACKED = 256, 400
+BLOCK, PACKED, SALTS = 256, 400, 16
 BROADCAST_ROWS = 1_000_000
 CHUNK = 1 << 20
 
@@ -132,7 +132,10 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         current = _split(current, level)
         narrow = current.select("path", "s")
         sizes = narrow.groupBy("path").agg(F.count("*").alias("n"), F.min("s").alias("least")).filter("n > 1")
-        current = save_stage(current.join(sizes.hint("merge"), "path"), f"paths-{level}")
+        # A path that many sets share meets its size under a salt.
+        sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = current.withColumn("salt", F.pmod("s", F.lit(SALTS)).cast("int"))
+        current = save_stage(salted.join(sizes.hint("merge"), ["path", "salt"]).drop("salt"), f"paths-{level}")
         small = current.filter(F.col("n") <= SMALL).groupBy("path").applyInPandas(_stars, "a long, b long")
         edges = small if edges is None else edges.unionByName(small)
         current = current.filter(F.col("n") > SMALL)
