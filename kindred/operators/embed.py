@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 
 from kindred.operators.dedupe import text_key
 
-CACHE_SCHEMA = "song_id bigint, content_hash string, model string, vector array<float>"
+
+
+def _cache_schema(songs: DataFrame) -> str:
+    """Ids keep the type they have in the corpus."""
+    kind = songs.schema["song_id"].dataType.simpleString()
+    return f"song_id {kind}, content_hash string, model string, vector array<float>"
+
 
 
 def embedding_inputs(songs: DataFrame, model: str, text: str = "processed_lyrics") -> DataFrame:
@@ -31,35 +37,33 @@ def generate_embeddings(
 ) -> DataFrame:
     """Embed every input row in batches: ``song_id, content_hash, model, vector``."""
 
-    def run(frames):
-        import pandas as pd
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
         embed = embed_factory()
-        for frame in frames:
-            vectors = []
-            for start in range(0, len(frame), batch_size):
-                texts = frame["text"].iloc[start : start + batch_size].tolist()
-                vectors.extend([float(x) for x in v] for v in embed(texts, max_length))
-            yield pd.DataFrame(
-                {
-                    "song_id": frame["song_id"],
-                    "content_hash": frame["content_hash"],
-                    "model": frame["model"],
-                    "vector": pd.Series(vectors, index=frame.index, dtype="object"),
-                }
-            )
-
-    return inputs.mapInPandas(run, CACHE_SCHEMA)
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
+        for batch in batches:
+            texts, blocks = batch.column("text").to_pylist(), []
+            for start in range(0, len(texts), batch_size):
+                blocks += [np.asarray(v, "float32") for v in embed(texts[start : start + batch_size], max_length)]
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in blocks])]).astype("int32")
+            flat = np.concatenate(blocks) if blocks else np.empty(0, "float32")
+            vectors = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()))
+            kept = [batch.column(c) for c in ("song_id", "content_hash", "model")]
+            yield pa.RecordBatch.from_arrays([*kept, vectors], ["song_id", "content_hash", "model", "vector"])
+
+    return inputs.mapInArrow(run, _cache_schema(inputs))
+
+
+def read_cache(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """The cache table, or an empty one where nothing was written yet."""
+    schema = schema or "song_id bigint, content_hash string, model string, vector array<float>"
     try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], CACHE_SCHEMA)
+        return spark.createDataFrame([], schema)
 
 
 def cached_embeddings(
@@ -80,16 +84,18 @@ def cached_embeddings(
     run overwrites that folder and no other model's.
     """
     spark = songs.sparkSession
-    key = ["song_id", "content_hash", "model"]
+    key, schema = ["song_id", "content_hash", "model"], _cache_schema(songs)
     inputs = embedding_inputs(songs, f"{model}@{max_length}", text)
     target = f"{cache_path}/model_key={_folder(model, max_length)}"
     if force_recompute:
         missing = inputs
     else:
-        missing = inputs.join(read_cache(spark, target).select(key), key, "left_anti")
-    fresh = generate_embeddings(missing, embed_factory, batch_size=batch_size, max_length=max_length)
-    fresh.write.mode("overwrite" if force_recompute else "append").parquet(target)
-    stored = read_cache(spark, target).dropDuplicates(key)
+        missing = inputs.join(read_cache(spark, target, schema).select(key), key, "left_anti")
+    if force_recompute or not missing.isEmpty():
+        missing = missing.dropDuplicates(key)
+        fresh = generate_embeddings(missing, embed_factory, batch_size=batch_size, max_length=max_length)
+        fresh.write.mode("overwrite" if force_recompute else "append").parquet(target)
+    stored = read_cache(spark, target, schema)
     return inputs.drop("text").join(stored, key).select("song_id", "content_hash", "vector")
 
 

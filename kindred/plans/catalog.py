@@ -16,6 +16,7 @@ from kindred.functions import text as tx
 from kindred.functions.text import compute_once
 from kindred.operators import compare, dedupe, filters, latent, pairs, project, seeds, stats, terms
 from kindred.operators.blocks import all_neighbours
+from kindred.operators.embed import read_cache
 from kindred.operators.lemmas import lemmatize
 from kindred.operators.topk import top_k
 from kindred.plans import corpus, inputs
@@ -33,7 +34,7 @@ MATCHED_SAMPLE = 400
 LSA_FIT = 200
 #: A sweep compares cuts to a quarter, half and all of what was fitted; lists come from half of it.
 SWEEP = (4, 2, 1)
-MODELS = ["tfidf", "tf", "chorus"]
+MODELS = ["tfidf", "tf", "chorus", "embedding"]
 
 _FITTED: dict[tuple, object] = {}
 
@@ -140,7 +141,7 @@ def seed_table(spark, sf_dir):
 
 @_fitted
 def model_lists(spark, sf_dir):
-    models = [m(spark, sf_dir) for m in (tfidf_model, tf_model, chorus_model)]
+    models = [m(spark, sf_dir) for m in (tfidf_model, tf_model, chorus_model, embedding_model)]
     lists, attempts = rec.compare_models(models, seed_table(spark, sf_dir), K)
     return save_stage(lists, "model-lists"), save_stage(attempts, "model-attempts")
 
@@ -462,10 +463,17 @@ def pca_2d(spark, sf_dir):
 
 @query
 def embed_cache(spark, sf_dir):
-    """The second run finds every vector in the cache"""
-    embedding_model(spark, sf_dir)
-    m = embedding_model(spark, sf_dir)
-    return m.vectors.select("song_id", F.size("vector").alias("dims"))
+    """Rows embedded by a first run, a second, and one with changed and missing texts"""
+    songs, path = clean_songs(spark, sf_dir), stage_path(spark, "counted-cache")
+    text = F.when(F.col("song_id") % 29 == 0, None).when(F.col("song_id") % 31 == 0, F.concat("processed_lyrics", F.lit(" x")))
+    changed = songs.withColumn("processed_lyrics", text.otherwise(F.col("processed_lyrics")))
+    runs, before = [], 0
+    for run, table in enumerate((songs, songs, changed), start=1):
+        m = rec.build_embedding(table, _letter_embedder(), path, model="counted")
+        stored = read_cache(spark, f"{path}/model_key=counted-256").count()
+        runs.append((run, m.vectors.count(), stored - before))
+        before = stored
+    return spark.createDataFrame(runs, "run int, songs long, embedded long")
 
 
 @query
@@ -485,6 +493,23 @@ def four_model_table(spark, sf_dir):
     return compare.rank_table(lists, attempts, MODELS, K)
 
 
+@query
+def four_recommenders(spark, sf_dir):
+    """The table over TF-IDF, LSA, chorus and embedding; LSA has no SQL form"""
+    full = lsa_model(spark, sf_dir)
+    lsa = rec.lsa_at(full, max(1, rec.components_of(full) // 2))
+    models = [tfidf_model(spark, sf_dir), lsa, chorus_model(spark, sf_dir), embedding_model(spark, sf_dir)]
+    lists, attempts = rec.compare_models(models, seed_table(spark, sf_dir), K)
+    return compare.rank_table(save_stage(lists, "four-lists"), attempts, [m.name for m in models], K)
+
+
+@query
+def every_song_topk(spark, sf_dir):
+    """Every song is a seed"""
+    m = tfidf_model(spark, sf_dir)
+    return top_k(m.vectors, m.songs.select(F.col("song_id").alias("seed_id"), "song_id"), 5)
+
+
 @query
 def side_by_side(spark, sf_dir):
     """J10"""

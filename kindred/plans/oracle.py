@@ -18,6 +18,8 @@ def _quoted(items) -> str:
     return ", ".join("'" + str(i).replace("'", "''") + "'" for i in items)
 
 
+#: Names and sizes are written out here, so that a cut in the code under test shows.
+MODELS = ["tfidf", "tf", "chorus", "embedding"]
 _STOP = f"[{_quoted(wl.STOP_WORDS)}]"
 _NARROW = "(?i)" + "|".join(wl.METADATA_NARROW)
 _WIDE = "(?i)" + "|".join(
@@ -128,7 +130,7 @@ def _model(name: str, corpus: str, idf: bool = True) -> str:
 {p}_counts AS (
   SELECT term, count(*) AS corpus_count, count(DISTINCT song_id) AS doc_count FROM {p}_grams GROUP BY term),
 {p}_top AS (
-  SELECT * FROM {p}_counts WHERE doc_count >= 2 ORDER BY corpus_count DESC, term LIMIT {wl.MAX_FEATURES}),
+  SELECT * FROM {p}_counts WHERE doc_count >= 2 ORDER BY corpus_count DESC, term LIMIT 10000),
 {p}_vocab AS (
   SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_id,
     ln((1 + (SELECT count(*) FROM {corpus})) / (1 + doc_count)) + 1 AS idf FROM {p}_top),
@@ -161,9 +163,15 @@ def _lists(name: str, corpus: str) -> str:
     row_number() OVER (PARTITION BY f.seed_id ORDER BY coalesce(s.similarity, 0) DESC, c.seq) AS rank
   FROM {p}_found f JOIN {corpus} c ON c.song_id <> f.song_id
   LEFT JOIN {p}_scored s ON s.seed_id = f.seed_id AND s.song_id = c.song_id
-  QUALIFY rank <= {cat.K})"""
+  QUALIFY rank <= 10)"""
 
 
+_EMBEDDED = """embedding_raw AS (
+  SELECT song_id, ('0x' || substring(md5(w), 1, 2))::INT % 32 AS term_id, count(*) AS w
+  FROM (SELECT song_id, unnest(list_slice(tokens, 1, 256)) AS w FROM corpus) GROUP BY ALL),
+embedding_weights AS (
+  SELECT song_id, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY song_id)) AS weight FROM embedding_raw)"""
+
 _MODELS = ",\n".join(
     [
         _TFIDF,
@@ -176,14 +184,18 @@ _MODELS = ",\n".join(
         _CHORUS,
         _model("chorus", "chorus_kept"),
         _SEEDS,
+        _EMBEDDED,
         _lists("tfidf", "corpus"),
         _lists("tf", "corpus"),
         _lists("chorus", "chorus_kept"),
-        """lists AS (SELECT * FROM tfidf_lists UNION ALL SELECT * FROM tf_lists UNION ALL SELECT * FROM chorus_lists)""",
+        _lists("embedding", "corpus"),
+        """lists AS (SELECT * FROM tfidf_lists UNION ALL SELECT * FROM tf_lists UNION ALL SELECT * FROM chorus_lists
+  UNION ALL SELECT * FROM embedding_lists)""",
         """attempts AS (
   SELECT 'tfidf' AS model, seed_id, seed_id IN (SELECT seed_id FROM tfidf_found) AS found FROM seeds
   UNION ALL SELECT 'tf', seed_id, seed_id IN (SELECT seed_id FROM tf_found) FROM seeds
-  UNION ALL SELECT 'chorus', seed_id, seed_id IN (SELECT seed_id FROM chorus_found) FROM seeds)""",
+  UNION ALL SELECT 'chorus', seed_id, seed_id IN (SELECT seed_id FROM chorus_found) FROM seeds
+  UNION ALL SELECT 'embedding', seed_id, seed_id IN (SELECT seed_id FROM embedding_found) FROM seeds)""",
         """shared_counts AS (
   SELECT a.seed_id, a.model AS model_a, b.model AS model_b,
     (SELECT count(*) FROM lists x JOIN lists y ON x.seed_id = y.seed_id AND x.track_name = y.track_name
@@ -204,7 +216,7 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
-def _sample(table: str, key: str = "song_id", n: int = cat.SAMPLE) -> str:
+def _sample(table: str, key: str = "song_id", n: int = 500) -> str:
     return f"SELECT * FROM {table} ORDER BY md5(concat_ws('|', {key}::VARCHAR, '42')), {key} LIMIT {n}"
 
 
@@ -246,11 +258,6 @@ _COSINE = """CASE WHEN a.norm > 0 AND b.norm > 0
   THEN round(list_dot_product(a.vector, b.vector) / (a.norm * b.norm), 6) ELSE 0 END"""
 
 # Word counts of the first 256 tokens, hashed to 32 entries.
-_EMBEDDED = """embedding_raw AS (
-  SELECT song_id, ('0x' || substring(md5(w), 1, 2))::INT % 32 AS term_id, count(*) AS w
-  FROM (SELECT song_id, unnest(list_slice(tokens, 1, 256)) AS w FROM corpus) GROUP BY ALL),
-embedding_weights AS (
-  SELECT song_id, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY song_id)) AS weight FROM embedding_raw)"""
 
 _ITEMS = """items AS (
   SELECT doc_id::VARCHAR AS track_id, 'T' || (doc_id // 40) AS track_name,
@@ -392,7 +399,7 @@ FROM chorus_kept WHERE lower(track_name) = 't2' AND lower(artist) = 'src4' ORDER
             f"""SELECT (row_number() OVER (ORDER BY similarity DESC, song_a, song_b))::INT AS rank, song_a, song_b, similarity FROM (
   SELECT a.song_id AS song_a, b.song_id AS song_b, round(sum(a.weight * b.weight), 6) AS similarity
   FROM tfidf_weights a JOIN tfidf_weights b ON a.term_id = b.term_id AND a.song_id < b.song_id GROUP BY ALL
-  ORDER BY similarity DESC, song_a, song_b LIMIT {cat.PAIRS})""",
+  ORDER BY similarity DESC, song_a, song_b LIMIT 15)""",
         ),
         "text_neighbours": _with(
             f"""{_TFIDF},
@@ -441,7 +448,7 @@ FROM chorus_kept""",
                     _model("chorus", "chorus_kept"),
                     """shared AS (SELECT track_name, artist, concat_ws('|', track_name, artist) AS song_key FROM (
   SELECT track_name, artist FROM corpus INTERSECT SELECT track_name, artist FROM chorus_kept))""",
-                    f"picked AS ({_sample('shared', 'song_key', cat.MATCHED_SAMPLE)})",
+                    f"picked AS ({_sample('shared', 'song_key', 400)})",
                     "full_sample AS (SELECT song_id, seq FROM corpus JOIN picked USING (track_name, artist))",
                     "chorus_sample AS (SELECT song_id, seq FROM chorus_kept JOIN picked USING (track_name, artist))",
                     _text_pairs("tfidf__pairs", "full_sample"),
@@ -457,7 +464,7 @@ FROM chorus_kept""",
             f"""SELECT seed_id, rank::INT AS rank, song_id, similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, song_id) AS rank FROM (
     SELECT s.seed_id, b.song_id, {_COSINE} AS similarity
-    FROM seeds s JOIN unit a USING (song_id) JOIN unit b ON b.song_id <> a.song_id)) WHERE rank <= {cat.K}""",
+    FROM seeds s JOIN unit a USING (song_id) JOIN unit b ON b.song_id <> a.song_id)) WHERE rank <= 10""",
         ),
         "dense_neighbours": _with(
             _UNIT,
@@ -476,7 +483,23 @@ pairs AS (SELECT {_COSINE} AS similarity FROM picked a JOIN picked b ON a.seq <
   SELECT label, coalesce(quality, 0) AS mask, unnest(embedding::DOUBLE[]) AS value,
     generate_subscripts(embedding, 1) AS dim FROM embeddings LEFT JOIN labels ON doc_id = vec_id)
 GROUP BY label, dim""",
-        "embed_cache": _with(",\n".join([_HEADED, _CLEAN, _CORPUS]), "SELECT song_id, 32 AS dims FROM corpus"),
+        "embed_cache": _with(
+            ",\n".join([_HEADED, _CLEAN, _CORPUS]),
+            """SELECT run, count(*) AS songs, CASE run WHEN 1 THEN count(*) WHEN 2 THEN 0
+  ELSE count(*) FILTER (song_id % 29 = 0 OR song_id % 31 = 0) END AS embedded
+FROM corpus, range(1, 4) r(run) GROUP BY run""",
+        ),
+        "every_song_topk": _with(
+            f"""{_TFIDF}, every_scored AS (
+  SELECT a.song_id AS seed_id, b.song_id, round(sum(a.weight * b.weight), 6) AS similarity
+  FROM tfidf_weights a JOIN tfidf_weights b USING (term_id) WHERE a.song_id <> b.song_id GROUP BY ALL),
+every_ranked AS (
+  SELECT x.song_id AS seed_id, y.song_id, coalesce(s.similarity, 0) AS similarity,
+    row_number() OVER (PARTITION BY x.song_id ORDER BY coalesce(s.similarity, 0) DESC, y.seq) AS rank
+  FROM corpus x JOIN corpus y ON x.song_id <> y.song_id
+  LEFT JOIN every_scored s ON s.seed_id = x.song_id AND s.song_id = y.song_id QUALIFY rank <= 5)""",
+            "SELECT seed_id, rank::INT AS rank, song_id, similarity FROM every_ranked",
+        ),
         "embedding_topk": _with(
             ",\n".join([_HEADED, _CLEAN, _CORPUS, _EMBEDDED, _SEEDS, _lists("embedding", "corpus")]),
             "SELECT seed_id, rank::INT AS rank, song_id, similarity FROM embedding_lists",
@@ -486,9 +509,9 @@ GROUP BY label, dim""",
             "SELECT s.seed_id, g.rank::INT AS rank, "
             + ", ".join(
                 f"coalesce(max(l.track_name || ' / ' || l.artist) FILTER (l.model = '{m}'), '[not found]') AS {m}"
-                for m in cat.MODELS
+                for m in MODELS
             )
-            + f""" FROM seeds s CROSS JOIN range(1, {cat.K + 1}) g(rank)
+            + f""" FROM seeds s CROSS JOIN range(1, 11) g(rank)
 LEFT JOIN lists l ON l.seed_id = s.seed_id AND l.rank = g.rank GROUP BY s.seed_id, g.rank""",
         ),
         "side_by_side": _with(
@@ -502,7 +525,7 @@ FROM tfidf_lists a FULL JOIN chorus_lists b ON a.seed_id = b.seed_id AND a.rank
         "overlap_matrix": _with(
             _MODELS,
             "SELECT seed_id, model_a, "
-            + ", ".join(f"max(jaccard) FILTER (model_b = '{m}') AS {m}" for m in cat.MODELS)
+            + ", ".join(f"max(jaccard) FILTER (model_b = '{m}') AS {m}" for m in MODELS)
             + " FROM jaccards GROUP BY seed_id, model_a",
         ),
         "model_unique": _with(
