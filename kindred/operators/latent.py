@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.sources.shared import save_stage
@@ -133,6 +133,31 @@ def unit_vectors(scores: DataFrame, dims: int | None = None) -> DataFrame:
     ).drop("_norm")
 
 
+def project_songs(vectors: DataFrame, right: np.ndarray) -> DataFrame:
+    """``song_id, seq, vector``: the score of each song on given components (terms x components)."""
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    return vectors.select("song_id", "seq", "term_ids", "weights").mapInArrow(
+        _projector(right, CHUNK_ROWS), f"song_id {kinds['song_id']}, seq {kinds['seq']}, vector array<double>"
+    )
+
+
+def component_table(spark: SparkSession, right: np.ndarray) -> DataFrame:
+    """``topic, term_id, loading`` of given components."""
+    width, k = right.shape
+    ends = pa.array(np.arange(width + 1) * k, pa.int32())
+    loadings = spark.createDataFrame(
+        pa.table(
+            {
+                "term_id": pa.array(np.arange(width), pa.int32()),
+                "row": pa.ListArray.from_arrays(ends, pa.array(right.ravel())),
+            }
+        )
+    )
+    return loadings.select("term_id", F.posexplode("row").alias("_pos", "loading")).select(
+        (F.col("_pos") + 1).alias("topic"), "term_id", "loading"
+    )
+
+
 def fit_latent(
     vectors: DataFrame,
     *,
@@ -163,23 +188,8 @@ def fit_latent(
     peak = right[np.abs(right).argmax(axis=0), np.arange(right.shape[1])]
     right = right * np.where(peak < 0, -1.0, 1.0)
 
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    scores = vectors.select("song_id", "seq", "term_ids", "weights").mapInArrow(
-        _projector(right, CHUNK_ROWS), f"song_id {kinds['song_id']}, seq {kinds['seq']}, vector array<double>"
-    )
-    scores = save_stage(scores, "latent-scores")
-    ends = pa.array(np.arange(width + 1) * n_components, pa.int32())
-    loadings = spark.createDataFrame(
-        pa.table(
-            {
-                "term_id": pa.array(np.arange(width), pa.int32()),
-                "row": pa.ListArray.from_arrays(ends, pa.array(right.ravel())),
-            }
-        )
-    )
-    components = loadings.select("term_id", F.posexplode("row").alias("_pos", "loading")).select(
-        (F.col("_pos") + 1).alias("topic"), "term_id", "loading"
-    )
+    scores = save_stage(project_songs(vectors, right), "latent-scores")
+    components = component_table(spark, right)
     return LatentModel(
         vectors=unit_vectors(scores),
         scores=scores,

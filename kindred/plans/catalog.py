@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -608,6 +609,47 @@ def lsa_sweep(spark, sf_dir):
     return compare.overlap(save_stage(lists, "sweep"), attempts)
 
 
+# The operators that use a fit, over a component table that SQL can compute too.
+
+
+@_fitted
+def given_model(spark, sf_dir):
+    """Eight components whose loadings follow from the numbers of term and topic."""
+    base = tfidf_model(spark, sf_dir)
+    term = np.arange(base.vocabulary.count())[:, None]
+    right = (term * 37 + np.arange(1, 9)[None, :] * 101) % 1000 / 1000 - 0.5
+    scores = save_stage(latent.project_songs(base.vectors, right), "given-scores")
+    extra = {"scores": scores, "components": latent.component_table(spark, right)}
+    return rec.Recommender("given", base.songs, latent.unit_vectors(scores), base.vocabulary, extra)
+
+
+@query
+def given_topk(spark, sf_dir):
+    """M2, J4"""
+    lists, _ = given_model(spark, sf_dir).recommend_many(seed_table(spark, sf_dir), K)
+    return lists.select("seed_id", "rank", "song_id", "similarity")
+
+
+@query
+def given_topics(spark, sf_dir):
+    """M5a, W2"""
+    m = given_model(spark, sf_dir)
+    return latent.topic_terms(m.extra["components"], m.vocabulary, n_topics=8, n_terms=8)
+
+
+@query
+def given_song_topics(spark, sf_dir):
+    """M2, M5b"""
+    return latent.song_topics(given_model(spark, sf_dir).vectors, 5)
+
+
+@query
+def given_variance(spark, sf_dir):
+    """M3, M4, W4"""
+    v = latent.explained_variance(given_model(spark, sf_dir).extra["scores"], tfidf_model(spark, sf_dir).vectors)
+    return v.select("component", _r6("ratio").alias("ratio"), _r6("cumulative").alias("cumulative"))
+
+
 # ------------------------------------------------------------------ sources
 
 

@@ -172,6 +172,17 @@ _EMBEDDED = """embedding_raw AS (
 embedding_weights AS (
   SELECT song_id, term_id, w / sqrt(sum(w * w) OVER (PARTITION BY song_id)) AS weight FROM embedding_raw)"""
 
+_GIVEN = """loadings AS (
+  SELECT term_id, term, t::INT AS topic, ((term_id * 37 + t * 101) % 1000) / 1000.0::DOUBLE - 0.5 AS loading
+  FROM tfidf_vocab, range(1, 9) r(t)),
+given_scores AS (
+  SELECT c.song_id, t::INT AS term_id, coalesce(sum(w.weight * l.loading), 0) AS score
+  FROM corpus c CROSS JOIN range(1, 9) r(t) LEFT JOIN tfidf_weights w ON w.song_id = c.song_id
+  LEFT JOIN loadings l ON l.term_id = w.term_id AND l.topic = t GROUP BY ALL),
+given_weights AS (
+  SELECT song_id, term_id, CASE WHEN n > 0 THEN score / n ELSE score END AS weight
+  FROM (SELECT *, sqrt(sum(score * score) OVER (PARTITION BY song_id)) AS n FROM given_scores))"""
+
 _MODELS = ",\n".join(
     [
         _TFIDF,
@@ -488,6 +499,27 @@ GROUP BY label, dim""",
             """SELECT run, count(*) AS songs, CASE run WHEN 1 THEN count(*) WHEN 2 THEN 0
   ELSE count(*) FILTER (song_id % 29 = 0 OR song_id % 31 = 0) END AS embedded
 FROM corpus, range(1, 4) r(run) GROUP BY run""",
+        ),
+        "given_topk": _with(
+            ",\n".join([_TFIDF, _GIVEN, _SEEDS, _lists("given", "corpus")]),
+            "SELECT seed_id, rank::INT AS rank, song_id, similarity FROM given_lists",
+        ),
+        "given_topics": _with(
+            f"{_TFIDF},\n{_GIVEN}",
+            """SELECT topic, rank::INT AS rank, term, loading FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY loading DESC, term) AS rank FROM loadings) WHERE rank <= 8""",
+        ),
+        "given_song_topics": _with(
+            f"{_TFIDF},\n{_GIVEN}",
+            """SELECT song_id, rank::INT AS rank, term_id AS topic, round(weight, 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY -abs(weight), term_id) AS rank FROM given_weights) WHERE rank <= 5""",
+        ),
+        "given_variance": _with(
+            f"{_TFIDF},\n{_GIVEN}",
+            """SELECT component, round(v / total, 6) AS ratio, round(sum(v / total) OVER (ORDER BY component), 6) AS cumulative
+FROM (SELECT term_id AS component, var_pop(score) AS v FROM given_scores GROUP BY term_id),
+  (SELECT sum(ss / n - (s / n) * (s / n)) AS total FROM
+    (SELECT sum(weight) AS s, sum(weight * weight) AS ss FROM tfidf_weights GROUP BY term_id), (SELECT count(*)::DOUBLE AS n FROM corpus))""",
         ),
         "every_song_topk": _with(
             f"""{_TFIDF}, every_scored AS (
