@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from kindred.sources.shared import broadcast_if_bounded
 
-BROADCAST_SEEDS = 100_000
+def _called(songs: DataFrame, title: str, artist: str | None) -> DataFrame:
+    """Songs with this title and, unless it is empty, this artist, ignoring case."""
+    same = F.lower("track_name") == F.lower(F.lit(title))
+    return songs.where(same & (F.lower("artist") == F.lower(F.lit(artist)))) if artist else songs.where(same)
 
 
 def find_song(songs: DataFrame, title: str, artist: str | None = None, *, order: str = "seq") -> Row:
-    """First song with this title (and artist), ignoring case.
-
-    An empty artist means no artist filter.  Raises ``ValueError`` when there
-    is none.
-    """
-    matches = songs.where(F.lower("track_name") == F.lower(F.lit(title)))
-    if artist:
-        matches = matches.where(F.lower("artist") == F.lower(F.lit(artist)))
-    rows = matches.orderBy(order).limit(1).collect()
-    if not rows:
-        raise ValueError(f"Seed song '{title}' not found.")
-    return rows[0]
+    """First song with this title (and artist), ignoring case; ``ValueError`` when there is none."""
+    first = _called(songs, title, artist).orderBy(order).first()
+    if first is None:
+        raise ValueError(f"no song is called {title!r}" + (f" by {artist!r}" if artist else ""))
+    return first
 
 
 def match_seeds(songs: DataFrame, seeds: DataFrame, *, order: str = "seq") -> DataFrame:
@@ -30,18 +25,20 @@ def match_seeds(songs: DataFrame, seeds: DataFrame, *, order: str = "seq") -> Da
 
     ``seeds`` holds ``seed_id, seed_title, seed_artist``.  Every seed comes
     back once with ``found`` and, when found, ``song_id`` and ``seq`` of the
-    first match.
+    first match.  Songs are folded to the first of each title, and of each
+    title and artist, before they meet the seeds, so a title that many songs
+    share is one row.
     """
     wanted = seeds.select("seed_id", "seed_title", F.nullif("seed_artist", F.lit("")).alias("seed_artist"))
-    side, _ = broadcast_if_bounded(wanted, BROADCAST_SEEDS)
-    hits = songs.select("song_id", "track_name", "artist", order).join(
-        side,
-        (F.lower("track_name") == F.lower("seed_title"))
-        & (F.col("seed_artist").isNull() | (F.lower("artist") == F.lower("seed_artist"))),
+    keyed = songs.select(
+        F.lower("track_name").alias("_title"), F.lower("artist").alias("_artist"), F.struct(order, "song_id").alias("_song")
     )
-    rank = F.row_number().over(Window.partitionBy("seed_id").orderBy(order))
-    first = hits.withColumn("_rn", rank).where("_rn = 1").select("seed_id", "song_id", order)
-    return wanted.join(first, "seed_id", "left").withColumn("found", F.col("song_id").isNotNull())
+    parts = []
+    for given, keys in ((F.col("seed_artist").isNotNull(), ["_title", "_artist"]), (F.col("seed_artist").isNull(), ["_title"])):
+        first = keyed.groupBy(*keys).agg(F.min("_song").alias("_song"))
+        asked = wanted.where(given).withColumns({"_title": F.lower("seed_title"), "_artist": F.lower("seed_artist")})
+        parts.append(asked.join(first, keys, "left").select(*wanted.columns, "_song.song_id", f"_song.{order}"))
+    return parts[0].unionByName(parts[1]).withColumn("found", F.col("song_id").isNotNull())
 
 
 def inspect_song(
@@ -51,8 +48,5 @@ def inspect_song(
 
     ``fields`` maps a text column to the number of characters shown.
     """
-    matches = songs.where(F.lower("track_name") == F.lower(F.lit(title)))
-    if artist:
-        matches = matches.where(F.lower("artist") == F.lower(F.lit(artist)))
     shown = [F.substring(c, 1, n).alias(c) for c, n in fields.items()]
-    return matches.orderBy(order).limit(1).select("track_name", "artist", "token_count", *shown)
+    return _called(songs, title, artist).orderBy(order).limit(1).select("track_name", "artist", "token_count", *shown)
