@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.text import compute_once
+
 #: Fixed values of the base rules.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -118,10 +120,14 @@ def clean(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, least_left: int
     """The kept documents, without the lines above the limit; other columns pass through."""
     hits = line_hits(docs, most_documents).groupBy("row").agg(F.collect_set("line").alias("drop"))
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
-    marked = base(docs.select(_row().alias("row"), "text", whole)).join(hits, "row", "left")
+    # Verdicts are computed once: a filter on an ordinary column would run its expressions again.
+    marked = base(docs.select(_row().alias("row"), "text", whole))
+    marked = compute_once(marked, failed=F.col("base_failed"), total=F.col("n_words")).select("row", "text", "doc", "failed", "total")
+    marked = marked.filter(~F.col("failed")).join(hits, "row", "left")
     normal = lambda x: F.lower(F.trim(F.regexp_replace(x, SPACE, " ")))
     stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("drop", F.xxhash64(normal(x))))
-    cleaned = marked.withColumn("cut", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
-    cleaned = cleaned.withColumn("left", F.when(F.col("drop").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("cut")))))
-    kept = cleaned.filter(~F.col("base_failed") & (100 * F.col("left") >= least_left * F.col("n_words")))
+    cut = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    cleaned = compute_once(marked, cut=cut)
+    left = F.when(F.col("drop").isNull(), F.col("total")).otherwise(F.size(words(F.col("cut"))))
+    kept = cleaned.filter(100 * left >= least_left * F.col("total"))
     return kept.select(*[F.col("cut").alias("text") if c == "text" else F.col(f"doc.{c}").alias(c) for c in docs.columns])
