@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.sources.shared import broadcast_if_bounded
+from kindred.sources.shared import broadcast_if_bounded, save_stage
 
 BROADCAST_LEMMAS = 500_000
 SALTS = 32
@@ -25,7 +25,8 @@ def lemmatize(
         return df
     table = lemmas.groupBy("surface").agg(F.min("lemma").alias("lemma"))
     table, small = broadcast_if_bounded(table, BROADCAST_LEMMAS)
-    spread = df.repartition(key)
+    # Tokens and the other columns both start here: a stage spares what came before a second run.
+    spread = save_stage(df, "lemma-input").repartition(key)
     words = spread.select(key, F.posexplode(tokens).alias("pos", "token"))
     if small:
         found = words.join(table, F.col("token") == F.col("surface"), "left")

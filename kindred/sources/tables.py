@@ -55,7 +55,10 @@ def with_sequence(df: DataFrame, *order_by: str, name: str = "seq") -> DataFrame
     shuffle split a value that a large part of the table shares.  The number
     carries the range in its upper bits, so it increases in order without a
     single-task pass.  Write the result once and read it back before using it.
+    Without keys rows are numbered as they are read, and nothing is sorted.
     """
+    if not order_by:
+        return df.withColumn(name, F.monotonically_increasing_id())
     placed = df.withColumn("_row", F.monotonically_increasing_id())
     return placed.orderBy(*order_by, "_row").withColumn(name, F.monotonically_increasing_id()).drop("_row")
 
