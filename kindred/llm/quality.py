@@ -4,7 +4,14 @@ Base rules look at one text: its words, symbols, repeated lines and repeated wor
 method looks across documents: normalised lines are hashed, distinct documents are counted per host
 and line, lines above the limit are removed, and a document that loses most of its words is
 rejected.  Documents with the same text count once, since copies are another stage's work and would
-make every line of a copied article look like a footer.
+make every line of a copied article look like a footer.  ``clean``, which feeds that stage, counts near
+copies once as well; ``judge`` is fixed by its SQL to equal texts.
+
+Near copies of a host are found among the texts that hold a line above the limit.  Each text has a
+sketch, its ``SKETCH`` least hashes of four-word shingles.  The least text among those that share one
+of its ``KEYS`` least hashes is its leader if their sketches put the share of common shingles at
+``LEAST_COMMON`` percent or more (three standard errors below 0.8, the limit of the Jaccard join), and
+texts with the same leader count as one document.
 
 A row is identified by a hash of its id, host and text, so rows without id or with the same id keep
 their own verdicts.  Counting is partial before each shuffle; lines above the limit are matched with
@@ -20,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.text import compute_once
+from kindred.sources.shared import broadcast_if_bounded, save_stage
 
 #: Fixed values of the base rules.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -30,6 +38,9 @@ MOST_DOCUMENTS = 20
 #: A document is rejected when less than this percentage of its words remains.
 LEAST_LEFT = 30
 SALTS = 32
+#: Near copies: hashes in a sketch, those of them that texts meet by, and the least common percentage.
+SKETCH, KEYS, LEAST_COMMON = 64, 16, 65
+BROADCAST_TEXTS = 1_000_000
 FIGURES = ("word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -92,16 +103,66 @@ def _row() -> Column:
     return F.xxhash64("doc_id", "source", "text")
 
 
-def line_hits(docs: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
-    """(row, line, n_words) of the lines that are above the limit, once per place where they stand."""
-    found = docs.filter(F.col("text").isNotNull()).select(
-        _row().alias("row"), F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("unknown"), F.xxhash64("text").alias("same"), F.explode(lines(F.col("text"))).alias("line")
-    )
+def _text_keys() -> list[Column]:
+    return [F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("unknown"), F.xxhash64("text").alias("same")]
+
+
+def _with_lines(found: DataFrame, above: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose line is in ``above``."""
+    key = ["host", "unknown", "line"]
+    salted = above.select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return found.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*key, "salt"]).drop("salt")
+
+
+def _sketches(docs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(host, unknown, same, sketch) of the given texts, each once per host; no text is shuffled."""
+    given, small = broadcast_if_bounded(texts, most)
+    whole = docs.filter(F.col("text").isNotNull()).select(*_text_keys(), "text")
+    if small:
+        whole = whole.join(given, "same", "left_semi")
+    cut = whole.select("host", "unknown", "same", F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)).alias("h"))
+    cut = _paired(_paired(cut, 1), 2)
+    complete = F.slice("h", F.lit(1), F.greatest(F.size("h") - 3, F.lit(0)))
+    cut = compute_once(cut, sketch=F.slice(F.sort_array(F.array_distinct(complete)), 1, SKETCH)).drop("h")
+    if not small:
+        cut = cut.join(given, "same", "left_semi")
+    return cut.dropDuplicates(["host", "unknown", "same"])
+
+
+def _leaders(sketches: DataFrame) -> DataFrame:
+    """(host, unknown, same, leader) of the texts that are near copies of a lesser one."""
+    host = ["host", "unknown"]
+    keys = sketches.select(*host, "same", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
+    met = keys.groupBy(*host, "key").agg(F.min("same").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lambda df: df.withColumn("salt", F.pmod("same", F.lit(SALTS)).cast("int"))
+    pairs = salted(keys).join(met.hint("merge"), [*host, "key", "salt"]).filter("leader < same").select(*host, "same", "leader").distinct()
+    first = sketches.select(*host, F.col("same").alias("leader"), F.col("sketch").alias("other")).join(pairs.select(*host, "leader").distinct(), [*host, "leader"], "left_semi")
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sides = salted(pairs.join(sketches, [*host, "same"])).join(first.hint("merge"), [*host, "leader", "salt"])
+    least = F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH)
+    common = F.size(F.array_intersect(least, F.array_intersect("sketch", "other")))
+    return sides.filter(100 * common >= LEAST_COMMON * F.size(least)).groupBy(*host, "same").agg(F.min("leader").alias("leader"))
+
+
+def line_hits(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, fold: bool = False, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
+    """(row, line, n_words) of the lines that are above the limit, once per place where they stand.
+
+    With ``fold``, near copies count as one document.
+    """
+    found = docs.filter(F.col("text").isNotNull()).select(_row().alias("row"), *_text_keys(), F.explode(lines(F.col("text"))).alias("line"))
     found = found.select("row", "host", "unknown", "same", F.xxhash64("line").alias("line"), F.size(F.split("line", " ")).alias("n_words"))
     key = ["host", "unknown", "line"]
     above = found.groupBy(*key).agg(F.countDistinct("same").alias("n")).filter(F.col("n") > most_documents)
-    salted = above.select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return found.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*key, "salt"]).select("row", "line", "n_words")
+    hits = _with_lines(found, above)
+    if fold:
+        # Folding only lowers a count, so lines and texts that are not in these hits are settled.
+        hits = save_stage(hits, "quality-lines")
+        sketches = save_stage(_sketches(docs, hits.select("same").distinct(), broadcast_texts), "quality-sketches")
+        each = hits.select(*key, "same").distinct().join(_leaders(sketches), ["host", "unknown", "same"], "left")
+        groups = each.groupBy(*key).agg(F.countDistinct(F.coalesce("leader", "same")).alias("n"))
+        hits = _with_lines(hits, groups.filter(F.col("n") > most_documents))
+    return hits.select("row", "line", "n_words")
 
 
 def judge(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, least_left: int = LEAST_LEFT) -> DataFrame:
@@ -118,7 +179,7 @@ def judge(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, least_left: int
 
 def clean(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, least_left: int = LEAST_LEFT) -> DataFrame:
     """The kept documents, without the lines above the limit; other columns pass through."""
-    hits = line_hits(docs, most_documents).groupBy("row").agg(F.collect_set("line").alias("drop"))
+    hits = line_hits(docs, most_documents, fold=True).groupBy("row").agg(F.collect_set("line").alias("drop"))
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
     # Verdicts are computed once: a filter on an ordinary column would run its expressions again.
     marked = base(docs.select(_row().alias("row"), "text", whole))
