@@ -1,10 +1,11 @@
 """Secret scan with structural confirmation.
 
 Three base patterns (assigned values, access ids, long hex runs) are always reported.  Beyond them,
-runs of base64 or hex are decoded, and one is reported only when its bytes have the structure of a
-key or token: nested DER lengths that close exactly around integers or an algorithm id, an SSH key's
+runs of base64 or hex are decoded, also joined over line breaks where lines have one width but for the
+first and the last, and one is reported only when its bytes have the structure of a key or token: nested DER lengths that close exactly around integers or an algorithm id, an SSH key's
 length-prefixed fields, a signed token whose header names an algorithm, an armoured private key
-whose body is such a key, or a text that itself holds a base secret.
+whose body is such a key, or a UTF-8 text of printable characters and white space that itself holds a
+secret.
 
 Positions are code points, the end exclusive.  Defined results: a null or empty text has no spans;
 spans of different kinds may overlap and are all kept, in order of start and then of kind; rows that
@@ -40,6 +41,9 @@ SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.(
 ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 #: Runs that may be encoded bytes: at least 24 characters, which is 12 bytes of hex or 18 of base64.
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+#: Such a run with what follows it line by line, and its lines.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[^\s=]+={0,2}")
 HEX_ONLY = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 SSH_NAMES = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-")
 DEPTH = 2
@@ -134,13 +138,47 @@ def _confirm(data: bytes, depth: int) -> str | None:
         return "der"
     if is_ssh_key(data):
         return "ssh"
-    if depth and data.isascii():
-        inside = data.decode("ascii")
-        if inside.isprintable() and find_spans(inside, depth - 1):
+    if depth:
+        try:
+            inside = data.decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+        if "".join(inside.split()).isprintable() and find_spans(inside, depth - 1):
             return "encoded"
     return None
 
 
+def _encoded_kind(run: str, depth: int) -> str | None:
+    """The kind of a run by what it decodes to; None if that is no secret."""
+    readings = [bytes.fromhex(run)] if HEX_ONLY.fullmatch(run) else []
+    if (data := _unpack64(run)) is not None:
+        readings.append(data)
+    return next((k for data in readings if (k := _confirm(data, depth))), None)
+
+
+def _wrapped(text: str, depth: int) -> list[tuple[int, str, int]]:
+    """Spans of runs over several lines; each line is decoded in at most five joins."""
+    found = []
+    for m in WRAPPED.finditer(text):
+        lines = [(m.start() + x.start(), x[0]) for x in LINE.finditer(m[0])]
+        first = 0
+        while first + 1 < len(lines):
+            width, last = len(lines[first + 1][1]), first + 2
+            while last < len(lines) and len(lines[last][1]) == width:
+                last += 1
+            ends = [last + 1, last] if last < len(lines) and len(lines[last][1]) < width else [last]
+            following = last
+            tried = [(a, b, "".join(x for _, x in lines[a:b])) for a in (first, first + 1) for b in ends if b - a > 1]
+            # A word on the line below makes no whole group of four; such joins come after all others.
+            for a, b, run in sorted([*tried, (first, first + 1, lines[first][1])], key=lambda x: len(x[2]) % 4 != 0):
+                if kind := _encoded_kind(run, depth):
+                    found.append((lines[a][0], kind, lines[b - 1][0] + len(lines[b - 1][1])))
+                    following = b
+                    break
+            first = following
+    return found
+
+
 def find_spans(text: str | None, depth: int = DEPTH) -> list[tuple[int, str, int]]:
     """All spans of a text, in order of start and then of kind."""
     if not text:
@@ -160,14 +198,10 @@ def find_spans(text: str | None, depth: int = DEPTH) -> list[tuple[int, str, int
             if data and (is_der_key(data) or is_ssh_key(data)):
                 found.append((m.start(), "armour", m.end()))
     for m in ENCODED.finditer(text):
-        run = m[0]
-        readings = [bytes.fromhex(run)] if HEX_ONLY.fullmatch(run) else []
-        if (data := _unpack64(run)) is not None:
-            readings.append(data)
-        kind = next((k for data in readings if (k := _confirm(data, depth))), None)
-        if kind:
+        if kind := _encoded_kind(m[0], depth):
             found.append((m.start(), kind, m.end()))
-    return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
+    found += _wrapped(text, depth)
+    return sorted(set(found), key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
 def mask(text: str | None, spans: list[tuple[int, str, int]]) -> str | None:

@@ -37,6 +37,34 @@ def test_structures_are_confirmed():
     assert kinds(base64.b64encode(b"user=x password=abcdefabcdefxyz").decode()) == ["encoded"]
 
 
+def folded(data, width, newline="\n"):
+    run = base64.b64encode(data).decode()
+    return newline.join(run[k : k + width] for k in range(0, len(run), width))
+
+
+def test_encoded_texts_of_several_lines():
+    body = folded(WRAPPED, 64)
+    pem = f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\n"
+    config = "user=jürgen\r\n\tpassword: abcdefabcdefxyz1\nport=5432\n" + "# filler\n" * 12
+    for inside in ("password: abcdefabcdefxyz1\n", config, pem):
+        assert kinds(base64.b64encode(inside.encode()).decode()) == ["encoded"], inside
+        text = f"see\n{folded(inside.encode(), 76)}\nend"
+        assert secrets.mask(text, secrets.find_spans(text)) == "see\n[secret]\nend"
+    assert kinds(base64.b64encode("jürgen wrote a few plain lines\nand no more\n".encode()).decode()) == []
+
+
+def test_keys_wrapped_over_lines():
+    for data, kind in ((KEY, "der"), (WRAPPED, "der"), (SSH, "ssh")):
+        for width in (32, 40, 64):
+            for newline in ("\n", "\r\n", " \n  "):
+                run = folded(data, width, newline)
+                text = f"key: {run}\nend\n{run}"
+                spans = [s for s in secrets.find_spans(text) if "\n" in text[s[0] : s[2]]]
+                if newline in run:
+                    assert spans == [(5, kind, 5 + len(run)), (len(text) - len(run), kind, len(text))]
+    assert kinds(folded(KEY[:-1], 64)) == [] and kinds("\n".join(["longwordoflettersandmoreofit"] * 50)) == []
+
+
 def test_broken_structures_are_not():
     assert kinds(base64.b64encode(KEY[:-1]).decode()) == []
     assert kinds(base64.b64encode(bytes(range(60))).decode()) == []
