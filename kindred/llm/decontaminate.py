@@ -4,8 +4,10 @@ Numbers, names and units become typed placeholders, so that a question whose par
 has the same template.  Every window of a benchmark item's template is hashed; a text is cut into
 windows of that width end to end, so any shared run of ``2 * WIDTH - 1`` tokens holds a whole window
 of the text, whatever the offset.  Windows meet in a hash join.  Each hit fixes an alignment of the
-item with the text, along which the longest run of equal template tokens is taken, and the values in
-its slots must be consistent: one value of the item always stands for one value in the text.
+item with the text, along which every run of equal template tokens is judged, and the values in its
+slots must be consistent: one value of the item always stands for one value in the text.  A run whose
+numbers or units conflict is cut into its longest stretches without conflict, each judged by itself; a
+run whose names conflict is no match.
 
 The window hashes of the benchmark are broadcast only after counting that they are few; beyond that
 they are joined by a shuffle of narrow rows.  Hits are grouped by text, item and offset, so neither a
@@ -87,28 +89,44 @@ def _aligned(found: DataFrame) -> DataFrame:
     return cut.groupBy("row", "doc_id", "item_id", "shift", "item", "n").agg(F.first("part").alias("part"))
 
 
+def _stretches(run: Column, slots: Column) -> Column:
+    """[from, to) of the longest stretches of a run in which no value of the item stands for two values."""
+    clash = lambda s: F.filter(slots, lambda t: (t["k"] < s["k"]) & (t["a"] == s["a"]) & (t["b"] != s["b"]))
+    cuts = F.filter(F.transform(slots, lambda s: F.struct(s["k"].alias("k"), F.array_max(F.transform(clash(s), lambda t: t["k"])).alias("last"))), lambda c: c["last"].isNotNull())
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    piece = lambda a, b: F.array(F.struct(a.alias("from"), b.alias("to")))
+
+    def step(s, c):
+        later = c["last"] >= s["from"]
+        return F.struct(F.when(later, c["last"] + 1).otherwise(s["from"]).alias("from"), F.when(later, F.concat(s["out"], piece(s["from"], c["k"]))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(cuts, F.struct(F.lit(0).alias("from"), none.alias("out")), step, lambda s: F.concat(s["out"], piece(s["from"], F.size(run))))
+
+
 def _judged(aligned: DataFrame, run: int) -> DataFrame:
     kind = lambda t: F.when(t.rlike(rf"^[{NAME}{UNIT}]"), F.substring(t, 1, 1)).when(t.rlike(r"^\p{Nd}"), NUMBER).otherwise(t)
     width = F.least(F.size("item"), F.size("part"))
     sides = F.zip_with(
         F.slice("item", F.lit(1), width), F.slice("part", F.lit(1), width), lambda a, b: F.struct(a.alias("a"), b.alias("b"), (kind(a) == kind(b)).alias("same"))
     )
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("end"), F.lit(0).alias("k"))
+    need = F.least(F.lit(run), F.col("n"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("k"), F.array().cast("array<struct<from:int,size:int>>").alias("out"))
+    ended = lambda s: F.when(s["now"] >= need, F.concat(s["out"], F.array(F.struct((s["k"] - s["now"]).alias("from"), s["now"].alias("size"))))).otherwise(s["out"])
 
     def step(s, x):
-        now = F.when(x["same"], s["now"] + 1).otherwise(0)
-        longer = now > s["best"]
-        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"), F.when(longer, s["k"] + 1).otherwise(s["end"]).alias("end"), (s["k"] + 1).alias("k"))
-
-    ran = aligned.withColumn("sides", sides).withColumn("r", F.aggregate("sides", start, step))
-    ran = ran.select("doc_id", "row", "item_id", "n", F.slice("sides", F.col("r.end") - F.col("r.best") + 1, F.col("r.best")).alias("run"))
-    slots = F.filter("run", lambda x: x["a"].rlike(rf"^[{NAME}{UNIT}\p{{Nd}}]"))
-    ran = ran.withColumn("slots", F.transform(slots, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    ran = ran.withColumn("pairs", F.array_distinct("slots"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-    long_enough = (F.size("run") >= F.least(F.lit(run), F.col("n"))) & (F.size("run") - F.size("slots") >= LITERAL)
-    return ran.filter(consistent & long_enough).select(
-        "row", "doc_id", "item_id", F.size("run").alias("n_tokens"), F.size("slots").alias("n_slots"),
+        return F.struct(F.when(x["same"], s["now"] + 1).otherwise(0).alias("now"), (s["k"] + 1).alias("k"), F.when(x["same"], s["out"]).otherwise(ended(s)).alias("out"))
+
+    ran = aligned.withColumn("sides", sides).withColumn("r", F.explode(F.aggregate("sides", start, step, ended)))
+    ran = ran.select("doc_id", "row", "item_id", "n", F.slice("sides", F.col("r.from") + 1, F.col("r.size")).alias("run"))
+    values = F.transform("run", lambda x, k: F.struct(k.alias("k"), x["a"].alias("a"), x["b"].alias("b")))
+    ran = ran.withColumn("slots", F.filter(values, lambda x: x["a"].rlike(rf"^[{NAME}{UNIT}\p{{Nd}}]")))
+    names = F.transform(F.filter("slots", lambda x: x["a"].startswith(NAME)), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    ran = ran.withColumn("names", F.array_distinct(names))
+    ran = ran.filter(F.size("names") == F.size(F.array_distinct(F.transform("names", lambda x: x["a"]))))
+    ran = ran.withColumn("piece", F.explode(_stretches(F.col("run"), F.col("slots"))))
+    ran = ran.withColumn("slots", F.filter("slots", lambda x: (x["k"] >= F.col("piece.from")) & (x["k"] < F.col("piece.to")))).withColumn("n_tokens", F.col("piece.to") - F.col("piece.from"))
+    return ran.filter((F.col("n_tokens") >= need) & (F.col("n_tokens") - F.size("slots") >= LITERAL)).select(
+        "row", "doc_id", "item_id", "n_tokens", F.size("slots").alias("n_slots"),
         F.size(F.filter("slots", lambda x: x["a"] != x["b"])).alias("n_changed"),
     )
 

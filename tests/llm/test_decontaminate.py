@@ -31,6 +31,23 @@ def test_changed_parameters_are_caught_if_consistent(spark):
     assert found(spark, texts, broadcast_windows=0) == got
 
 
+def test_stretches_beside_a_changed_value_and_every_run_are_judged(spark):
+    a, b = LONG.split()[:14], "no boat was ever seen to leave the quiet bay before seven bells had rung".split()
+    twice = " ".join([*a, "5", *b, "5", *a[:4]])
+    other = "a man of 7 coins and 7 pears or 7 plums or 7 figs or 7 nuts"
+    runs = f"{other} x {' '.join(a)}"
+    texts = [
+        twice.replace("5", "6", 1), twice.replace(" 5 ", " 6 ").replace("6", "5", 1), twice,
+        " ".join([*a[:6], "5", *b[:5], "6"]),
+        f"{other.replace('7 figs', '8 figs')} y {' '.join(a)}",
+    ]
+    got = found(spark, texts, (twice, runs, " ".join([*a[:6], "5", *b[:5], "5"])))
+    assert {k for k in got if k[1] == 0} == {(0, 0), (1, 0), (2, 0), (4, 0)} and got[(2, 0)] == 0
+    assert (4, 1) in got and (3, 2) not in got
+    n = {(r.doc_id, r.item_id): r.n_tokens for r in decontaminate.matches(spark.createDataFrame([(1, texts[1], None)], SCHEMA), spark.createDataFrame([(0, twice)], "item_id long, text string")).collect()}
+    assert n == {(1, 0): 14 + 1 + 15}
+
+
 def test_short_items_and_odd_tables(spark):
     items = ("the quick brown fox leaps over", "too short", "", None)
     assert found(spark, ["see, the quick brown fox leaps over it", "the quick brown fox"], items) == {(0, 0): 0}
