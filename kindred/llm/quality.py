@@ -114,24 +114,28 @@ def _with_lines(found: DataFrame, above: DataFrame) -> DataFrame:
     return found.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*key, "salt"]).drop("salt")
 
 
+def sketched(df: DataFrame) -> DataFrame:
+    """Replace ``text`` by its sketch, which is empty for a text of less than four words."""
+    hashes = F.transform(words(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.xxhash64(w))
+    cut = _paired(_paired(df.withColumn("h", hashes).drop("text"), 1), 2)
+    complete = F.slice("h", F.lit(1), F.greatest(F.size("h") - 3, F.lit(0)))
+    return compute_once(cut, sketch=F.slice(F.sort_array(F.array_distinct(complete)), 1, SKETCH)).drop("h")
+
+
 def _sketches(docs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     """(host, unknown, same, sketch) of the given texts, each once per host; no text is shuffled."""
     given, small = broadcast_if_bounded(texts, most)
     whole = docs.filter(F.col("text").isNotNull()).select(*_text_keys(), "text")
     if small:
         whole = whole.join(given, "same", "left_semi")
-    cut = whole.select("host", "unknown", "same", F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)).alias("h"))
-    cut = _paired(_paired(cut, 1), 2)
-    complete = F.slice("h", F.lit(1), F.greatest(F.size("h") - 3, F.lit(0)))
-    cut = compute_once(cut, sketch=F.slice(F.sort_array(F.array_distinct(complete)), 1, SKETCH)).drop("h")
+    cut = sketched(whole)
     if not small:
         cut = cut.join(given, "same", "left_semi")
     return cut.dropDuplicates(["host", "unknown", "same"])
 
 
-def _leaders(sketches: DataFrame) -> DataFrame:
-    """(host, unknown, same, leader) of the texts that are near copies of a lesser one."""
-    host = ["host", "unknown"]
+def leaders(sketches: DataFrame, host: list[str]) -> DataFrame:
+    """(*host, same, leader) of the texts that are near copies of a lesser one with equal ``host`` columns."""
     keys = sketches.select(*host, "same", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
     met = keys.groupBy(*host, "key").agg(F.min("same").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -159,7 +163,7 @@ def line_hits(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, fold: bool
         # Folding only lowers a count, so lines and texts that are not in these hits are settled.
         hits = save_stage(hits, "quality-lines")
         sketches = save_stage(_sketches(docs, hits.select("same").distinct(), broadcast_texts), "quality-sketches")
-        each = hits.select(*key, "same").distinct().join(_leaders(sketches), ["host", "unknown", "same"], "left")
+        each = hits.select(*key, "same").distinct().join(leaders(sketches, ["host", "unknown"]), ["host", "unknown", "same"], "left")
         groups = each.groupBy(*key).agg(F.countDistinct(F.coalesce("leader", "same")).alias("n"))
         hits = _with_lines(hits, groups.filter(F.col("n") > most_documents))
     return hits.select("row", "line", "n_words")

@@ -8,7 +8,8 @@ counts less, a threat counts with a target.  A document's evidence is the weight
 clauses; a logistic curve fitted to labelled documents turns it into a score.
 
 What is learned comes from the training rows only: for whole words and word stems (first letters),
-the documents of either label that hold them are counted over all training rows by a shuffle; those
+the documents of either label that hold them are counted over all training rows, each group of near
+copies once, by a shuffle; those
 that labels tell apart beyond doubt become the lexicon, at most ``LEXICON`` of them, which is small
 enough to broadcast.  The curve is fitted on a sample of at most ``FIT_ROWS`` labelled rows, taken by
 hash.  Labels, language, source and id are never inputs of a score.
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kindred.llm import quality
 from kindred.sources.shared import broadcast_if_bounded, save_stage
 
 #: Documented bounds of what is learned.
@@ -151,14 +153,15 @@ def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, toxic) of labelled training rows to learn from.
 
     A document that is labelled twice is toxic if one label says so.  Copies would make any word of a
-    copied document look like evidence: of the rows that share the least hash of their long words, as
-    near copies do, one of each label is kept.  No text is shuffled.
+    copied document look like evidence: of texts of one label that are equal or near copies, found by
+    sketches of their shingles as the quality rules do, one is kept.  No text is shuffled.
     """
     toxic = labels.filter("doc_id is not null and toxic is not null").filter(_in_train()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    long_words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 8)
-    same = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
-    rows = _labelled(docs, toxic).select("doc_id", "toxic", same.alias("same"))
-    return save_stage(rows.groupBy("same", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "toxic-rows")
+    texts = _labelled(docs, toxic).select("doc_id", "toxic", F.xxhash64("text").alias("same"), "text")
+    rows = save_stage(quality.sketched(texts), "toxic-sketches")
+    led = quality.leaders(rows.select("toxic", "same", "sketch").dropDuplicates(["toxic", "same"]), ["toxic"])
+    folded = rows.join(led, ["toxic", "same"], "left").groupBy(F.coalesce("leader", "same").alias("same"), "toxic")
+    return save_stage(folded.agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct(), "toxic-rows")
 
 
 def _labelled(docs: DataFrame, toxic: DataFrame) -> DataFrame:

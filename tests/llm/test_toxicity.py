@@ -44,6 +44,18 @@ def test_composition_equals_the_plain_definition():
     assert toxicity.compose(long) == pytest.approx(slow(long)) == 1.0
 
 
+def test_only_copies_are_folded_before_learning(spark):
+    own = lambda k: " ".join(["everyone", *[f"w{k}x{j}" for j in range(60)]])
+    copy = [f"copied{j}" for j in range(120)]
+    rows = [(k, own(k % 200)) for k in range(400)] + [(1000 + k, " ".join([*copy[: k % 120], f"new{k}", *copy[k % 120 + 1 :]])) for k in range(200)]
+    docs = spark.createDataFrame([*rows, (5000, None), (5001, "everyone")], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    learned = {r.doc_id: r.toxic for r in toxicity.train_rows(docs, labels).collect()}
+    train = {r.doc_id for r in docs.filter(toxicity._in_train()).collect()}
+    assert {k % 200 for k in learned if k < 1000} == {k % 200 for k in train if k < 1000} and len([k for k in learned if k < 1000]) == len({k % 200 for k in train if k < 1000})
+    assert sorted(learned[k] for k in learned if 1000 <= k < 5000) == [0, 1] and {k for k in learned if k >= 5000} == {k for k in train if k >= 5000}
+
+
 def test_without_labels_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5.0), (1, None, 5.0), (None, "moron", 1.0), (3, "", 1.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
