@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, brown_lm, chat, chosen_path, decontaminate, html, quality, secrets, toxicity, warc
+from kindred.llm import bpe, brown_lm, chat, chosen_path, decontaminate, html, merkle, quality, secrets, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -156,5 +156,73 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM f
 """
 
-QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_jaccard_join": op8_jaccard_join, "op9_html": op9_html, "op10_secrets": op10_secrets}
-ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tampered = F.when(chosen, F.translate("text", capitals, capitals.lower()))
+    done = merkle.of_documents(docs, tampered)
+    folded = merkle.fold(F.coalesce("presented", "leaf"), "path")
+    return done.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text("path"), 256).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _tree_sql(name: str, leaves: str, levels: int = 6) -> str:
+    """Levels of a tree of 16 over ``leaves`` (g, i, h), its tops, and the siblings of every leaf by level."""
+    parts = [f"{name}0 AS MATERIALIZED (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {leaves})"]
+    for k in range(levels):
+        parts.append(f"""{name}r{k} AS MATERIALIZED (
+  SELECT g, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, i // 16
+), {name}s{k} AS MATERIALIZED (
+  SELECT g, i, coalesce(string_agg(h, '' ORDER BY i) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+    coalesce(string_agg(h, '' ORDER BY i) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a, n > 1 AS more
+  FROM {name}{k} WINDOW w AS (PARTITION BY g, i // 16 ORDER BY i)
+), {name}{k + 1} AS MATERIALIZED (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {name}r{k})""")
+    return ",\n".join(parts)
+
+
+def _up_sql(name: str, row: str, group: str, place: str, levels: int = 6) -> tuple[str, str, str]:
+    """Joins to the siblings of each level, the proof text, and the siblings as structs."""
+    joins = " ".join(
+        f"JOIN {name}s{k} AS {name}{row}{k} ON {name}{row}{k}.g IS NOT DISTINCT FROM {group} AND {name}{row}{k}.i = {place} // {16**k}" for k in range(levels)
+    )
+    proof = " || ".join(f"{name}{row}{k}.b || {name}{row}{k}.a" for k in range(levels))
+    steps = ", ".join(f"struct_pack(b := {name}{row}{k}.b, a := {name}{row}{k}.a, more := {name}{row}{k}.more)" for k in range(levels))
+    return joins, proof, steps
+
+
+def _op11_sql() -> str:
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}) || ':' || {0} END"
+    meta = " || ".join(field.format(c) for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)"))
+    joins, proof, steps = _up_sql("t", "x", "o.source", "o.i")
+    joins_up, proof_up, steps_up = _up_sql("u", "y", "0", "q.i")
+    crc = (
+        "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+        "lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), "
+        "lambda c, op: CASE WHEN op >= 0 THEN xor(c, op) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)"
+    )
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT *, {meta} AS meta, xor({crc}, 4294967295) % 5 = 0 AS chosen,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), l AS MATERIALIZED (
+  SELECT doc_id, source, sha256(meta || {field.format("text")}) AS leaf,
+    CASE WHEN chosen AND text IS NOT NULL THEN sha256(meta || {field.format("low")}) END AS other FROM d
+), o AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l
+), t AS (SELECT source AS g, i, leaf AS h FROM o), {_tree_sql("t", "t")}, q AS MATERIALIZED (
+  SELECT g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i FROM t6
+), u AS (SELECT 0 AS g, i, h FROM q), {_tree_sql("u", "u")}, p AS (
+  SELECT o.*, q.h AS subroot, (SELECT h FROM u6) AS root, {proof} || {proof_up} AS proof, [{steps}, {steps_up}] AS steps
+  FROM o JOIN q ON q.g IS NOT DISTINCT FROM o.source {joins} {joins_up}
+), f AS (
+  SELECT *, list_reduce(list_prepend(struct_pack(b := '', a := coalesce(other, leaf), more := true), steps),
+    lambda x, s: CASE WHEN s.more THEN struct_pack(b := '', a := sha256(s.b || x.a || s.a), more := true) ELSE x END).a AS folded_root FROM p
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_jaccard_join": op8_jaccard_join, "op9_html": op9_html, "op10_secrets": op10_secrets, "op11_merkle": op11_merkle}
+ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL, "op11_merkle": _op11_sql()}
