@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import bpe, brown_lm, chat, chosen_path, decontaminate, html, merkle, quality, secrets, toxicity, warc
+from kindred.llm import bpe, brown_lm, centroids, chat, chosen_path, decontaminate, html, merkle, pii, quality, secrets, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -224,5 +224,50 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root,
 """
 
 
-QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_jaccard_join": op8_jaccard_join, "op9_html": op9_html, "op10_secrets": op10_secrets, "op11_merkle": op11_merkle}
-ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL, "op11_merkle": _op11_sql()}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, found = centroids.cluster(centroids.integers(_table(spark, sf_dir, "embeddings")))
+    told = F.broadcast(centroids.summary(state, found))
+    return state.join(told, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _op12_sql(rounds: int = 3) -> str:
+    parts = ["""k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '-')), x) - 1 AS c, x FROM k
+  QUALIFY c < 16
+)"""]
+    for t in range(rounds + 1):
+        parts.append(f"""a{t} AS MATERIALIZED (
+  SELECT r, vec_id, v, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT k.r, k.vec_id, k.x AS v, c.c, list_sum(list_transform(list_zip(k.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM k, c{t} AS c
+  ) GROUP BY r, vec_id, v
+)""")
+        if t < rounds:
+            parts.append(f"""c{t + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.x, c.x) AS x FROM c{t} AS c LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY j) AS x
+    FROM (SELECT c, j, sum(v[j]) AS s, count(*) AS n FROM a{t}, unnest(range(1, 65)) AS t(j) GROUP BY c, j) GROUP BY c
+  ) AS m USING (c)
+)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c ON a.c = c.c
+"""
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(pii.of_kind("spans", kind)).cast("long")
+    return spans.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(F.encode(pii.listed(pii.of_kind("spans", *pii.BASE_KINDS)), "UTF-8"), 256).alias("base_sha256"),
+        pii.listed("spans").alias("spans"),
+    )
+
+
+QUERIES = {"op1_brown_lm": op1_brown_lm, "op2_decontaminate": op2_decontaminate, "op3_toxicity": op3_toxicity, "op4_bpe": op4_bpe, "op5_warc": op5_warc, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_jaccard_join": op8_jaccard_join, "op9_html": op9_html, "op10_secrets": op10_secrets, "op11_merkle": op11_merkle, "op12_centroids": op12_centroids, "op13_pii": op13_pii}
+ORACLE_SQL = {"op6_quality": OP6_SQL, "op7_chat": OP7_SQL, "op11_merkle": _op11_sql(), "op12_centroids": _op12_sql()}
