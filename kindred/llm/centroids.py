@@ -120,9 +120,8 @@ def cluster(vectors: DataFrame, key: str = "vec_id", *, k: int = CENTROIDS, roun
 
 def summary(state: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``cluster, cluster_inertia, inertia, centroid_sha256``: a row for each centroid that has vectors."""
-    told = [(i, hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centroids)]
-    hashes = state.sparkSession.createDataFrame(told, "cluster int, centroid_sha256 string")
-    own = state.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    whole = own.agg(F.sum("cluster_inertia").alias("inertia"))
-    # A row a centroid on either side.
-    return own.join(F.broadcast(hashes), "cluster").join(F.broadcast(whole), F.col("cluster") >= 0)
+    sums = state.groupBy("cluster").agg(F.sum("distance").alias("own")).collect()  # a row a centroid
+    whole = sum(r.own for r in sums)
+    digest = lambda c: hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()
+    rows = [(r.cluster, r.own, whole, digest(centroids[r.cluster])) for r in sums]
+    return state.sparkSession.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
