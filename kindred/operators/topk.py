@@ -10,18 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.operators.blocks import blocked_top_k
 from kindred.operators.matrices import SPARSE, best_columns, rounder, unit_matrix, vector_columns
-from kindred.operators.terms import postings
-from kindred.sources.shared import broadcast_if_bounded, save_stage
+from kindred.operators.neighbours import search
 
 DIGITS = 6
-#: Seeds whose vectors one pass carries, and seeds that are answered by passes at all.
+#: Seeds whose vectors travel to the songs; more of them are dealt into the songs' cells.
 SCAN_SEEDS = 512
-SCANNED_SEEDS = 16_384
-BROADCAST_SEEDS = 20_000
-BROADCAST_POSTINGS = 2_000_000
-SALTS = 64
 CHUNK_ROWS = 256
 
 
@@ -31,60 +25,8 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return ranked.select("seed_id", "rank", "song_id", "seq", "similarity")
 
 
-def top_by_terms(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """Many seeds over sparse vectors: a join of postings on the term.
-
-    Only songs that share a term with a seed produce rows, summed per task
-    before the shuffle.  Songs with score zero still fill a short list: a seed
-    with fewer than k positive scores finds its fillers among the first 2k+1
-    songs, so those are added to every seed with score zero and the corpus is
-    never paired with the seeds.
-    """
-    wanted = seeds.select("seed_id", F.col("song_id").alias("seed_song"))
-    few, _ = broadcast_if_bounded(wanted, BROADCAST_SEEDS)
-    of_seeds = vectors.join(few, F.col("song_id") == F.col("seed_song")).select(
-        "seed_id", "seed_song", "term_ids", "weights"
-    )
-    of_seeds = postings(save_stage(of_seeds, "seed-vectors"), "seed_id", "seed_song").withColumnRenamed(
-        "weight", "seed_weight"
-    )
-    of_seeds, small = broadcast_if_bounded(of_seeds, BROADCAST_POSTINGS)
-    every = postings(vectors)
-    if small:
-        pairs = every.join(of_seeds, "term_id")
-    else:
-        # A term in a third of all songs is one hot key: spread its songs over
-        # salts and give each salt its own copy of the seeds' postings.
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        pairs = every.withColumn("_salt", F.pmod(F.xxhash64("song_id"), F.lit(SALTS)).cast("int")).join(
-            of_seeds.withColumn("_salt", salts), ["term_id", "_salt"]
-        )
-    scored = (
-        pairs.where(F.col("song_id") != F.col("seed_song"))
-        .groupBy("seed_id", "song_id", "seq")
-        .agg(F.round(F.sum(F.col("weight") * F.col("seed_weight")), DIGITS).alias("similarity"))
-    )
-    top = _best(scored.where("similarity > 0"), k).drop("rank")
-    # A filler with a positive score is either in the list already, and the
-    # larger score wins, or it is behind k better songs.
-    merged = top.unionByName(_fillers(wanted, vectors, k)).groupBy("seed_id", "song_id", "seq").agg(
-        F.max("similarity").alias("similarity")
-    )
-    return _best(merged, k).drop("seq")
-
-
-def _fillers(seeds: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    first = vectors.select("seq", "song_id").orderBy("seq").limit(2 * k + 1)
-    each = first.agg(F.collect_list(F.struct("seq", "song_id"))).scalar()
-    return (
-        seeds.select("seed_id", "seed_song", F.explode(each).alias("_f"))
-        .where(F.col("_f.song_id") != F.col("seed_song"))
-        .select("seed_id", "_f.song_id", "_f.seq", F.lit(0.0).alias("similarity"))
-    )
-
-
 def top_by_scan(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """Up to SCANNED_SEEDS seeds: a pass over the corpus per SCAN_SEEDS of them.
+    """Up to SCAN_SEEDS seeds: one pass over the corpus.
 
     The seeds' vectors travel to the tasks, where a batch of songs is one
     matrix product.  Songs never move; the only shuffle carries k rows per
@@ -92,19 +34,16 @@ def top_by_scan(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """
     cols = vector_columns(vectors)
     wanted = F.broadcast(seeds.select("seed_id", F.col("song_id").alias("seed_song")))
-    # SCANNED_SEEDS rows at most.
+    # SCAN_SEEDS rows at most.
     rows = vectors.join(wanted, F.col("song_id") == F.col("seed_song")).select("seed_id", "song_id", *cols).toArrow()
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     seed = seeds.schema["seed_id"].dataType.simpleString()
     schema = f"seed_id {seed}, song_id {kind['song_id']}, seq {kind['seq']}, similarity double"
     if not rows.num_rows:
         return _best(vectors.sparkSession.createDataFrame([], schema), k).drop("seq")
-    songs, scored = vectors.select("song_id", "seq", *cols), None
-    for at in range(0, rows.num_rows, SCAN_SEEDS):
-        group = rows.slice(at, SCAN_SEEDS).combine_chunks()
-        product = _sparse_product(group) if cols == SPARSE else _dense_product(group)
-        part = songs.mapInArrow(_scanner(group, product, k), schema)
-        scored = part if scored is None else scored.unionByName(part)
+    group = rows.combine_chunks()
+    product = _sparse_product(group) if cols == SPARSE else _dense_product(group)
+    scored = vectors.select("song_id", "seq", *cols).mapInArrow(_scanner(group, product, k), schema)
     return _best(scored, k).drop("seq")
 
 
@@ -202,17 +141,21 @@ def _scanner(seeds, prepare, k: int):
     return scan
 
 
+def top_by_cells(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """Any number of seeds: each distinct song is searched once, in the cells that can answer it."""
+    found, _ = search(vectors, k, asking=seeds.select("song_id"))
+    wanted = seeds.select("seed_id", F.col("song_id").alias("seed_song"))
+    lists = wanted.join(found, F.col("seed_song") == F.col("song_id"))
+    return lists.select("seed_id", "rank", F.col("neighbour").alias("song_id"), "similarity")
+
+
 def top_k(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """``seed_id, rank, song_id, similarity`` for either kind of vector.
 
     ``seeds`` holds ``seed_id, song_id``.  Both tables are read more than
-    once: pass saved ones.  Beyond SCANNED_SEEDS seeds are joined on their
-    terms (sparse) or multiplied block by block (dense); scores and ranks are
-    the same by every route.
+    once: pass saved ones.  A few seeds are answered by one scan that moves no
+    song, any larger number through the songs' cells; scores and ranks are the
+    same either way, and neither emits more than k rows per seed and task.
     """
-    if seeds.limit(SCANNED_SEEDS + 1).count() <= SCANNED_SEEDS:
-        return top_by_scan(vectors, seeds, k)
-    if vector_columns(vectors) == SPARSE:
-        return top_by_terms(vectors, seeds, k)
-    own = vectors.join(seeds.select("seed_id", "song_id"), "song_id").select("seed_id", "song_id", "vector")
-    return blocked_top_k(own, vectors, k)
+    few = seeds.limit(SCAN_SEEDS + 1).count() <= SCAN_SEEDS
+    return top_by_scan(vectors, seeds, k) if few else top_by_cells(vectors, seeds, k)

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from kindred.functions import text as tx
 from kindred.functions.text import compute_once
 from kindred.operators import compare, dedupe, filters, latent, pairs, project, seeds, stats, terms
-from kindred.operators.blocks import all_neighbours
 from kindred.operators.embed import read_cache
 from kindred.operators.lemmas import lemmatize
+from kindred.operators.neighbours import all_neighbours
 from kindred.operators.topk import top_k
 from kindred.plans import corpus, inputs
 from kindred.plans import recommenders as rec

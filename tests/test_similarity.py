@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import blocks, pairs, terms, topk
+from kindred.operators import neighbours, pairs, terms, topk
 from kindred.sources.shared import save_stage
 
 
@@ -84,14 +84,12 @@ def test_term_vector_plan_has_one_shuffle(fitted):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("way", ["scan", "broadcast postings", "salted postings"])
+@pytest.mark.parametrize("way", ["scan", "cells"])
 def test_top_k_sparse(fitted, spark, monkeypatch, way):
     *_, vectors, names, idf, x = fitted
     monkeypatch.setattr(topk, "CHUNK_ROWS", 7)
     if way != "scan":
-        monkeypatch.setattr(topk, "SCANNED_SEEDS", 0)
-    if way == "salted postings":
-        monkeypatch.setattr(topk, "BROADCAST_POSTINGS", 0)
+        monkeypatch.setattr(topk, "SCAN_SEEDS", 0)
     wanted = [0, 5, 7, len(x) - 1, len(x) - 3]
     seeds = spark.createDataFrame([(f"s{i}", i) for i in wanted], "seed_id string, song_id long")
     got = topk.top_k(vectors, seeds, 12).orderBy("seed_id", "rank").collect()
@@ -122,9 +120,13 @@ def test_short_corpus_gives_fewer_rows(spark):
     assert [(r["rank"], r["song_id"], r["similarity"]) for r in got] == [(1, 2, 1.0), (2, 3, 0.0)]
 
 
-def test_all_neighbours_sparse(fitted):
+@pytest.mark.parametrize("cell_rows", [7, 30, 1_000])
+def test_all_neighbours_sparse(fitted, monkeypatch, cell_rows):
+    monkeypatch.setattr(neighbours, "FAN", 4)
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 10)
+    monkeypatch.setattr(neighbours, "HOT_CLASS", 6)
     *_, vectors, names, idf, x = fitted
-    got = blocks.all_neighbours(vectors, 4, block_rows=17).orderBy("seed_id", "rank").collect()
+    got = neighbours.all_neighbours(vectors, 4, cell_rows=cell_rows).orderBy("seed_id", "rank").collect()
     for i in range(len(x)):
         assert [(r["song_id"], r["similarity"]) for r in got if r["seed_id"] == i] == brute_top(x, i, 4)
 
@@ -146,7 +148,7 @@ def dense(spark):
 def test_top_k_dense(dense, spark, monkeypatch, small):
     df, x = dense
     if not small:
-        monkeypatch.setattr(topk, "SCANNED_SEEDS", 0)
+        monkeypatch.setattr(topk, "SCAN_SEEDS", 0)
     wanted = [3, 7, 8]
     seeds = spark.createDataFrame([(i, i) for i in wanted], "seed_id long, song_id long")
     got = topk.top_k(df, seeds, 6).orderBy("seed_id", "rank").collect()
@@ -154,9 +156,11 @@ def test_top_k_dense(dense, spark, monkeypatch, small):
         assert [(r["song_id"], r["similarity"]) for r in got if r["seed_id"] == i] == brute_top(x, i, 6)
 
 
-def test_all_neighbours_dense(dense):
+@pytest.mark.parametrize("cell_rows", [5, 20, 1_000])
+def test_all_neighbours_dense(dense, monkeypatch, cell_rows):
     df, x = dense
-    got = blocks.all_neighbours(df, 3, block_rows=20).orderBy("seed_id", "rank").collect()
+    monkeypatch.setattr(neighbours, "FAN", 3)
+    got = neighbours.all_neighbours(df, 3, cell_rows=cell_rows).orderBy("seed_id", "rank").collect()
     for i in range(len(x)):
         assert [(r["song_id"], r["similarity"]) for r in got if r["seed_id"] == i] == brute_top(x, i, 3)
 
@@ -223,7 +227,7 @@ def test_halves_are_rounded_as_spark_does(spark):
     assert rounder(6)(np.array(values)).tolist() == wanted
 
 
-def test_many_seeds_in_groups_equal_one_group(spark, monkeypatch):
+def test_many_seeds_equal_one_scan(spark, monkeypatch):
     from kindred.operators import topk
 
     rows = [(k, k, [float((k * 7 + j * 3) % 11) - 5 for j in range(4)]) for k in range(40)]
@@ -232,5 +236,52 @@ def test_many_seeds_in_groups_equal_one_group(spark, monkeypatch):
     whole = sorted(map(tuple, topk.top_k(vectors, seeds, 3).collect()))
     monkeypatch.setattr(topk, "SCAN_SEEDS", 7)
     assert sorted(map(tuple, topk.top_k(vectors, seeds, 3).collect())) == whole
-    monkeypatch.setattr(topk, "SCANNED_SEEDS", 5)
-    assert sorted(map(tuple, topk.top_k(vectors, seeds, 3).select(*topk.top_k(vectors, seeds, 3).columns).collect())) == whole
+
+
+def clustered(spark, n, per_group=20, width=16):
+    """Vectors in tight groups whose number grows with the table."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(n // per_group, width))
+    x = np.repeat(centres, per_group, axis=0) + 0.02 * rng.normal(size=(n, width))
+    df = spark.createDataFrame([(i, i, [float(v) for v in r]) for i, r in enumerate(x)], "song_id long, seq long, vector array<double>")
+    return save_stage(df.repartition(4), "clustered"), x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def test_a_song_meets_only_cells_that_can_hold_a_neighbour(spark):
+    """Of some twenty or some hundred cells a song enters a few, and the rest would not have changed its list."""
+    copies = []
+    for n in (800, 3200):
+        df, x = clustered(spark, n)
+        found, work = neighbours.search(df, 5, cell_rows=80)
+        steps = {r["step"]: r for r in work.collect()}
+        copies.append(steps["other cells"]["queries"] / n)
+        pairs_met = sum(r["pairs"] for r in steps.values())
+        assert pairs_met < 0.3 * n * n
+        if n == 800:
+            rows = found.orderBy("song_id", "rank").collect()
+            for i in range(n):
+                assert [(r["neighbour"], r["similarity"]) for r in rows if r["song_id"] == i] == brute_top(x, i, 5)
+    assert max(copies) < 3, copies
+
+
+def test_a_third_of_all_songs_with_one_vector(spark):
+    rows = [(i, 1000 - i, [1, 2] if i % 3 == 0 else [i % 7 + 3, i % 11 + 20], [0.6, 0.8]) for i in range(300)]
+    df = spark.createDataFrame(rows, "song_id long, seq long, term_ids array<int>, weights array<double>")
+    vectors = save_stage(df.select("song_id", "seq", F.expr("cast(term_ids as array<int>)").alias("term_ids"), "weights"), "third")
+    found, work = neighbours.search(vectors, 4, cell_rows=20)
+    assert sum(r["queries"] for r in work.where("step = 'own cell'").collect()) == 1 + len({(i % 7, i % 11) for i in range(300) if i % 3})
+    x = np.zeros((300, 40))
+    for i, _, t, w in rows:
+        x[i, t] = w
+    sims, got = np.round(x @ x.T, 6), {}
+    for r in found.collect():
+        got.setdefault(r["song_id"], {})[r["rank"]] = (r["neighbour"], r["similarity"])
+    for i in range(300):
+        order = sorted((j for j in range(300) if j != i), key=lambda j: (-sims[i, j], -j))[:4]
+        assert [got[i][k] for k in (1, 2, 3, 4)] == [(j, pytest.approx(sims[i, j], abs=2e-6)) for j in order]
+
+
+def test_neighbours_of_nothing_and_of_one(spark):
+    kind = "song_id long, seq long, vector array<double>"
+    assert neighbours.all_neighbours(spark.createDataFrame([], kind), 3).count() == 0
+    assert neighbours.all_neighbours(spark.createDataFrame([(1, 1, [1.0])], kind), 3).count() == 0
