@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
-The distinct pieces of a partition's texts are laid out one after another as symbols.  An index
+The distinct pieces of a partition's texts are laid out one after another as symbols, those of one
+chunk of text at a time; pieces that an earlier chunk of the partition had keep their ids.  An index
 maps every adjacent pair to all the positions where it stands; a heap holds the ranks of the pairs
 that occur.  The lowest rank is taken, all its positions are merged at once, and the lists of the
 neighbouring pairs are updated.  A merge never creates a pair of a lower rank than its own, because
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,16 +29,43 @@ from pyspark.sql import functions as F
 #: Fixed value of the public tokenizer: the splitting pattern of byte-level BPE, with \s written out
 #: as the white space that Unicode defines (Python's own \s has four control characters more).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
 #: Characters of text that are cut into pieces before the index over them is built.
 CHUNK_CHARS = 24 << 20
+#: Distinct pieces of a partition whose ids are kept; beyond, they are found anew.
+KEPT_PIECES = 1 << 20
+
+
+def _pattern(letter: str, number: str, space: str) -> str:
+    """The splitting pattern over the members of three character classes."""
+    return (
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+"
+        rf"| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+    )
+
+
+PIECES = regex.compile(_pattern(r"\p{L}", r"\p{N}", SPACE))
+
+
+def _latin_pieces() -> re.Pattern:
+    """The same for texts of Latin-1 characters, with their classes written out, which is faster."""
+    members = [re.escape("".join(c for c in map(chr, range(256)) if regex.fullmatch(rf"[{k}]", c))) for k in (r"\p{L}", r"\p{N}", SPACE)]
+    return re.compile(_pattern(*members))
+
+
+LATIN_PIECES = _latin_pieces()
+
+
+def split(text: str) -> list[str]:
+    """The pieces of a text, which merges never cross."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return PIECES.findall(text)
+    return LATIN_PIECES.findall(text)
 
 
 def byte_letters() -> list[str]:
-    """The printable character that stands for each byte value in a byte-level vocabulary."""
+    """Fixed value of byte-level vocabularies: the printable character that stands for each byte value."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
     letters = [""] * 256
@@ -56,7 +86,6 @@ class Vocabulary:
         self.by_key = np.argsort(keys, kind="stable")
         self.keys = keys[self.by_key]
         self.letters = np.array(byte_ids, np.int32)
-        self.pieces = regex.compile(PIECES)
         longest_first = sorted(added, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, longest_first))) if added else None
 
@@ -181,39 +210,60 @@ def _segments(text: str, vocabulary: Vocabulary):
     yield text[start:], None
 
 
-def _encode_chunk(texts: list[str], vocabulary: Vocabulary) -> list[bytes]:
-    number, find = _Numbering(), vocabulary.pieces.findall
-    numbered = []
-    for text in texts:
-        row = []
-        for segment, added in _segments(text, vocabulary):
-            row += map(number.__getitem__, find(segment))
-            if added is not None:
-                row.append(number[added])
-        numbered.append(np.array(row, np.int64))
-    ids, starts = merge_all([p.encode() if isinstance(p, str) else p for p in number], vocabulary)
-    lengths = np.diff(starts)
-    out = []
-    for row in numbered:
-        n = lengths[row]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(row) else 0
-        out.append(ids[np.repeat(starts[:-1][row] - ends + n, n) + np.arange(total)].tobytes())
-    return out
+class PieceIds:
+    """Ids of the distinct pieces that a partition has shown so far."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = _Numbering()
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        """Merge the pieces that were numbered since the last time."""
+        fresh = list(self.number)[len(self.starts) - 1 :]
+        ids, starts = merge_all([p.encode() if isinstance(p, str) else p for p in fresh], self.vocabulary)
+        self.starts = np.concatenate([self.starts, starts[1:] + len(self.ids)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        if len(self.number) > KEPT_PIECES:
+            self.forget()
+        number, numbered = self.number, []
+        for text in texts:
+            row = []
+            for segment, added in _segments(text, self.vocabulary):
+                row += map(number.__getitem__, split(segment))
+                if added is not None:
+                    row.append(number[added])
+            numbered.append(np.array(row, np.int64))
+        self._learn()
+        lengths, out = np.diff(self.starts), []
+        for row in numbered:
+            n = lengths[row]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(row) else 0
+            out.append(self.ids[np.repeat(self.starts[row] - ends + n, n) + np.arange(total)].tobytes())
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids (little-endian unsigned 32-bit) of every text."""
+        out: list[bytes] = []
+        chunk, chars = [], 0
+        for text in texts:
+            text = text or ""
+            if chunk and chars + len(text) > CHUNK_CHARS:
+                out += self._chunk(chunk)
+                chunk, chars = [], 0
+            chunk.append(text)
+            chars += len(text)
+        return out + self._chunk(chunk)
 
 
 def encode_texts(texts: list[str | None], vocabulary: Vocabulary) -> list[bytes]:
-    """Packed ids (little-endian unsigned 32-bit) of every text."""
-    out: list[bytes] = []
-    chunk, chars = [], 0
-    for text in texts:
-        text = text or ""
-        if chunk and chars + len(text) > CHUNK_CHARS:
-            out += _encode_chunk(chunk, vocabulary)
-            chunk, chars = [], 0
-        chunk.append(text)
-        chars += len(text)
-    return out + _encode_chunk(chunk, vocabulary)
+    return PieceIds(vocabulary).encode(texts)
 
 
 def decode_ids(packed: bytes, vocabulary: Vocabulary) -> str:
@@ -231,8 +281,10 @@ def encode(df: DataFrame, shared, text: str = "text", ids: str = "ids", n_tokens
     """Add ``ids`` (packed little-endian unsigned 32-bit) and their number."""
 
     @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode_texts(list(texts), shared.value))
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = PieceIds(shared.value)
+        for texts in batches:
+            yield pd.Series(known.encode(list(texts)), dtype=object)
 
     return df.withColumn(ids, packed(F.col(text))).withColumn(n_tokens, (F.octet_length(ids) / 4).cast("long"))
 

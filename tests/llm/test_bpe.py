@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -7,7 +8,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from kindred.llm import bpe  # noqa: E402
+from kindred.llm import bpe, queries  # noqa: E402
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -54,3 +55,31 @@ def test_columns_nulls_and_empty_tables(spark, vocabulary):
     assert sorted((str(r.doc_id), r.n_tokens, r.decoded) for r in got.collect()) == [("1", 0, ""), ("2", 2, "a b"), ("2", 2, "a b"), ("None", 0, "")]
     assert got.columns == ["doc_id", "text", "ids", "n_tokens", "decoded"]
     assert bpe.encode(df.filter(F.lit(False)), shared).collect() == []
+
+
+def test_latin_texts_split_like_all_others():
+    texts = ["".join(f"a{chr(c)}b {chr(c)}  {chr(d)}1{chr(c)}" for c in range(256)) for d in range(0, 256, 5)] + [f" {chr(c)}{chr(d)} " for c in range(256) for d in range(256)]
+    assert all(bpe.split(t) == bpe.PIECES.findall(t) for t in texts)
+
+
+def test_pieces_of_earlier_chunks_are_kept_or_forgotten(vocabulary, monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "gamma" * 3, "δέλτα", "<|endoftext|>"]) for _ in range(rnd.randrange(30))) for _ in range(200)]
+    want = bpe.encode_texts(texts, vocabulary)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 90)
+    assert bpe.encode_texts(texts, vocabulary) == want
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 3)
+    assert bpe.encode_texts(texts, vocabulary) == want
+
+
+def test_query_equals_the_library(spark, sf_dir):
+    library = Tokenizer.from_file(PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op4_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        packed = b"".join(k.to_bytes(4, "little") for k in ids)
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(packed).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
