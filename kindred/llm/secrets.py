@@ -41,8 +41,9 @@ SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.(
 ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 #: Runs that may be encoded bytes: at least 24 characters, which is 12 bytes of hex or 18 of base64.
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-#: Such a run with what follows it line by line, and its lines.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{24,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: Such a run with what follows it line by line, and its lines.  It begins where a run begins and gives
+#: no character back, so a run that no line follows is read once.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 LINE = re.compile(r"[^\s=]+={0,2}")
 HEX_ONLY = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 SSH_NAMES = (b"ssh-rsa", b"ssh-ed25519", b"ssh-dss", b"ecdsa-sha2-")

@@ -1,3 +1,4 @@
+import time
 import base64
 import hashlib
 import json
@@ -109,3 +110,25 @@ def test_rows_and_columns(spark):
     assert [len(r.spans) for r in got] == [0, 0, 0, 1] and got[3].spans[0].asDict() == {"kind": "assign", "start": 0, "end": 21}
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == [None, None, "", "[secret]"]
     assert secrets.scan(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("piece", ["a", "aB/", "password=", "eyJ", "a" * 30 + " ", "a" * 30 + " \n", "a" * 24 + "\n  ", "-----BEGIN PRIVATE KEY-----"])
+def test_work_is_linear(piece):
+    """A text of eight times the length takes about eight times as long, up to 1 MB."""
+
+    def seconds(n):
+        text, best = piece * (n // len(piece)), []
+        for _ in range(3):
+            start = time.perf_counter()
+            secrets.find_spans(text)
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    small, large = seconds(125_000), seconds(1_000_000)
+    assert large < 2 and large < 20 * small + 0.05
+
+
+def test_a_data_uri_is_read_once():
+    start = time.perf_counter()
+    secrets.find_spans("data:image/png;base64," + "iVBORw0KGgo" * 40_000 + "=")
+    assert time.perf_counter() - start < 2
