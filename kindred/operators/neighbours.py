@@ -39,13 +39,13 @@ ROOT = 0
 KEY = ["_k1", "_k2"]
 
 
-def _keyed(vectors: DataFrame) -> DataFrame:
+def keyed_vectors(vectors: DataFrame) -> DataFrame:
     """Add a 128-bit key of the vector."""
     cols = vector_columns(vectors)
     return vectors.select("song_id", "seq", *cols, F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(11), *cols).alias("_k2"))
 
 
-def _chunked(df: DataFrame, by: str, rows: int) -> tuple[DataFrame, DataFrame]:
+def chunked(df: DataFrame, by: str, rows: int) -> tuple[DataFrame, DataFrame]:
     """Deal the rows of each ``by`` into chunks of some ``rows``; also returns ``by, _chunks``."""
     sizes = df.groupBy(by).agg((F.floor((F.count(F.lit(1)) - 1) / rows) + 1).cast("int").alias("_chunks"))
     many = sizes.where("_chunks > 1").withColumnRenamed(by, "_by")
@@ -53,7 +53,7 @@ def _chunked(df: DataFrame, by: str, rows: int) -> tuple[DataFrame, DataFrame]:
     return dealt.drop("_by", "_chunks"), sizes
 
 
-def _copied(df: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+def copied(df: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
     """One copy of the rows of ``by`` for each of its chunks."""
     sizes = sizes.withColumnRenamed(by, "_by")
     return df.join(sizes, F.col(by) == F.col("_by")).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_by", "_chunks")
@@ -74,8 +74,11 @@ def _pooled(rows: DataFrame, levels: list[str], least: int) -> DataFrame:
     return found.withColumn(cell, F.when(F.col("_few").isNotNull(), F.col(parent) * (FAN + 1)).otherwise(F.col(cell))).drop("_few")
 
 
-def _grown(rows: DataFrame, cols: tuple[str, ...], cell_rows: int, keep: int) -> tuple[DataFrame, list[str]]:
-    """Add the cells of each level and ``_leaf``, whose size is bounded; returns the way down to a leaf."""
+def grown_cells(rows: DataFrame, cols: tuple[str, ...], cell_rows: int, least: int = 0) -> tuple[DataFrame, list[str]]:
+    """Add the cells of each level and ``_leaf``, whose size is bounded; returns the way down to a leaf.
+
+    Cells of fewer than ``least`` rows are put together.
+    """
     rows, levels = rows.withColumn("_c0", F.lit(ROOT).cast("bigint")), ["_c0"]
     for _ in range(LEVELS):
         cell = levels[-1]
@@ -87,17 +90,18 @@ def _grown(rows: DataFrame, cols: tuple[str, ...], cell_rows: int, keep: int) ->
         order = Window.partitionBy(cell).orderBy(F.xxhash64(F.lit(5), "_k1", "_k2"), "seq")
         ranked = rows.select(cell, "seq", *cols, *KEY).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= FAN)
         pivots = save_stage(ranked.join(large, cell).where(F.col("_rn") <= wanted).select(cell, "_rn", *cols), "pivots")
-        dealt, chunks = _chunked(rows, cell, CHUNK_ROWS)
-        pivots = _copied(pivots, chunks, cell)
+        dealt, chunks = chunked(rows, cell, CHUNK_ROWS)
+        pivots = copied(pivots, chunks, cell)
         child = f"_c{len(levels)}"
         names = [*rows.columns]
         placed = dealt.groupBy(cell, "_chunk").cogroup(pivots.groupBy(cell, "_chunk")).applyInArrow(
             _assigner(cols, cell, child, names, FAN), f"{_schema(rows, *names)}, {child} bigint"
         )
         levels = [*levels, child]
-        rows = _pooled(save_stage(placed, "cells"), levels, 2 * keep)
+        rows = save_stage(placed, "cells")
+        rows = _pooled(rows, levels, least) if least else rows
     # What no pivot could split, such as a crowd of nearly equal vectors, is dealt evenly.
-    dealt, _ = _chunked(rows, levels[-1], 2 * cell_rows)
+    dealt, _ = chunked(rows, levels[-1], 2 * cell_rows)
     leaf = F.col(levels[-1]) * F.lit(1 << 24) + F.col("_chunk")
     # Leaves hang below the parents of the last cells, most of which are one leaf.
     return save_stage(dealt.withColumn("_leaf", leaf).drop("_chunk"), "leaves"), [*(levels[:-1] or levels), "_leaf"]
@@ -125,6 +129,12 @@ def _assigner(cols, cell: str, child: str, names: list[str], fan: int):
     return assign
 
 
+def leaf_bounds(own: DataFrame, rows: DataFrame, levels: list[str]) -> DataFrame:
+    """The bounds of every leaf, with the cells above it."""
+    cols = _bound_columns(vector_columns(rows))
+    return own.where("_floor is null").select("_leaf", *cols).join(rows.select(*levels).distinct(), "_leaf")
+
+
 def _bound_columns(cols) -> list[str]:
     return ["_ids", "_tops"] if cols == SPARSE else ["_centre", "_radius"]
 
@@ -215,7 +225,7 @@ def _best_of(cols, keep: int):
     return search
 
 
-def _own_cell(cols, keep: int, song: str):
+def own_cells(cols, keep: int, song: str):
     """Per leaf: its bounds, and for each query in it the list it finds there and the floor that follows."""
     search, (of_members, _) = _best_of(cols, keep), _bounder(cols)
     lowest = 0.0 if cols == SPARSE else -2.0
@@ -307,7 +317,7 @@ def _router(cols, parent: str, child: str, names: list[str]):
     return run
 
 
-def _routed(queries: DataFrame, bounds: DataFrame, levels: list[str], cols) -> DataFrame:
+def routed(queries: DataFrame, bounds: DataFrame, levels: list[str], cols) -> DataFrame:
     """Queries with a ``_leaf`` that may hold a better neighbour; their own leaf is left out."""
     _, of_cells = _bounder(cols)
     bound_cols = _bound_columns(cols)
@@ -318,8 +328,8 @@ def _routed(queries: DataFrame, bounds: DataFrame, levels: list[str], cols) -> D
         if child != levels[-1]:
             merge = _merger(of_cells, parent, child, bound_cols)
             below = below.groupBy(parent, child).applyInArrow(merge, f"{parent} bigint, {child} bigint, {_bound_schema(cols)}")
-        dealt, chunks = _chunked(sent, parent, CHUNK_ROWS)
-        cells = _copied(below, chunks, parent)
+        dealt, chunks = chunked(sent, parent, CHUNK_ROWS)
+        cells = copied(below, chunks, parent)
         sent = dealt.groupBy(parent, "_chunk").cogroup(cells.groupBy(parent, "_chunk")).applyInArrow(
             _router(cols, parent, child, names), f"{_schema(queries, *names)}, {child} bigint"
         )
@@ -375,7 +385,7 @@ def search(vectors: DataFrame, k: int, *, asking: DataFrame | None = None, cell_
     they were sent to.  ``vectors`` is read more than once: pass a saved table.
     """
     cols, keep = vector_columns(vectors), k + 1
-    keyed = _keyed(vectors.withColumn("seq", F.col("seq").cast("bigint")))
+    keyed = keyed_vectors(vectors.withColumn("seq", F.col("seq").cast("bigint")))
     song = vectors.schema["song_id"].dataType.simpleString()
     alike = Window.partitionBy(*KEY, *cols).orderBy("seq")
     rows = keyed.withColumn("_rn", F.row_number().over(alike)).where(F.col("_rn") <= keep)
@@ -387,11 +397,11 @@ def search(vectors: DataFrame, k: int, *, asking: DataFrame | None = None, cell_
         rows = rows.join(classes, KEY, "left").withColumn("_query", first & F.coalesce("_asked", F.lit(False))).drop("_asked")
     rows = save_stage(rows.drop("_rn"), "neighbour-rows")
 
-    rows, levels = _grown(rows, cols, cell_rows, keep)
-    run, schema = _own_cell(cols, keep, song)
+    rows, levels = grown_cells(rows, cols, cell_rows, 2 * keep)
+    run, schema = own_cells(cols, keep, song)
     own = save_stage(rows.groupBy("_leaf").applyInArrow(run, schema), "own-cells")
     asked = own.where("_floor is not null")
-    bounds = own.where("_floor is null").select("_leaf", *_bound_columns(cols)).join(rows.select(*levels).distinct(), "_leaf")
+    bounds = leaf_bounds(own, rows, levels)
     lists = asked.select(*KEY, F.inline("_found"))
     work = own.groupBy(F.lit("own cell").alias("step")).agg(
         F.count("_floor").alias("queries"), F.sum(F.when(F.col("_floor").isNotNull(), F.col("_members").cast("bigint")).otherwise(0)).alias("pairs")
@@ -400,9 +410,9 @@ def search(vectors: DataFrame, k: int, *, asking: DataFrame | None = None, cell_
         floors = asked.select(*[F.col(c).alias(f"{c}q") for c in KEY], "_floor", F.col("_leaf").alias("_own"))
         same = (F.col("_k1") == F.col("_k1q")) & (F.col("_k2") == F.col("_k2q"))
         queries = rows.where("_query").select("song_id", "seq", *cols, *KEY).join(floors, same).drop("_k1q", "_k2q")
-        sent = _routed(queries, bounds, levels, cols)
-        dealt, chunks = _chunked(sent, "_leaf", CHUNK_ROWS)
-        members = _copied(rows.select("song_id", "seq", *cols, "_leaf"), chunks, "_leaf")
+        sent = routed(queries, bounds, levels, cols)
+        dealt, chunks = chunked(sent, "_leaf", CHUNK_ROWS)
+        members = copied(rows.select("song_id", "seq", *cols, "_leaf"), chunks, "_leaf")
         more = dealt.groupBy("_leaf", "_chunk").cogroup(members.groupBy("_leaf", "_chunk")).applyInArrow(
             _met(cols, keep), f"_k1 bigint, _k2 bigint, song_id {song}, seq bigint, similarity double"
         )

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators import neighbours
 from kindred.operators.matrices import SPARSE, row_scorer, vector_columns
-from kindred.operators.terms import postings
 from kindred.sources.shared import save_stage
 
 DIGITS = 6
-SHARD_ROWS = 2_000
 SAMPLE_CHUNK = 128
 
 
@@ -69,8 +67,8 @@ def _pair_lister(sparse: bool, chunks: int):
     return score
 
 
-def most_similar_pairs(vectors: DataFrame, k: int = 15) -> DataFrame:
-    """The k most similar pairs of sparse vectors: ``rank, song_a, song_b, similarity``.
+def most_similar_pairs(vectors: DataFrame, k: int = 15, *, cell_rows: int = neighbours.CELL_ROWS) -> DataFrame:
+    """The k most similar pairs: ``rank, song_a, song_b, similarity``, for either kind of vector.
 
     Pairs are ordered by score, then by the ``seq`` of both songs (``song_a``
     has the lower one).  Exact, without comparing everything:
@@ -78,244 +76,110 @@ def most_similar_pairs(vectors: DataFrame, k: int = 15) -> DataFrame:
     1. Songs with one and the same vector are interchangeable, so only the
        first k+1 of them can be in the answer.  This folds hot groups of copies
        inside the map tasks.
-    2. Scoring songs that sit next to each other when sorted by their heaviest
-       terms gives a lower bound t for the k-th best score.
-    3. Two unit vectors that reach t share a term among those that come, in
-       order of rarity, before either vector's remaining length falls below t
-       (prefix filtering, Bayardo et al. 2007).  Songs meet only on those terms.
-    4. Terms are packed into shards of bounded size; a term that is too common
-       for one shard is cut into blocks and each pair of blocks is a task.  A
-       task scores the songs of one term at a time and returns its k best pairs.
+    2. The best pairs inside the cells of the neighbour search are scored
+       first.  The k-th of them all is a floor under the answer.
+    3. A song is sent only into cells whose bound reaches that floor, and of
+       two cells only from the first to the second.  A task returns its k best
+       pairs, however many reach the floor.
     """
+    cols = vector_columns(vectors)
     n = vectors.count()
-    songs = vectors.select("song_id", "seq", "term_ids", "weights").where(F.size("term_ids") > 0)
-    alike = Window.partitionBy(F.xxhash64("term_ids", "weights"), "term_ids", "weights").orderBy("seq")
-    songs = songs.withColumn("_rn", F.row_number().over(alike)).where(F.col("_rn") <= k + 1).drop("_rn")
-    songs = save_stage(songs, "pair-songs")
-
-    bound = _lower_bound(songs, k)
-    counts = {r["term_id"]: r["n"] for r in postings(songs).groupBy("term_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rarity = np.full(max(counts, default=0) + 1, np.iinfo("int64").max)
-    for i, term in enumerate(sorted(counts, key=lambda t: (counts[t], t))):
-        rarity[term] = i
+    rows = neighbours.keyed_vectors(vectors.withColumn("seq", F.col("seq").cast("bigint")))
+    if cols == SPARSE:
+        rows = rows.where(F.size("term_ids") > 0)
+    alike = Window.partitionBy(*neighbours.KEY, *cols).orderBy("seq")
+    rows = rows.withColumn("_rn", F.row_number().over(alike)).where(F.col("_rn") <= k + 1)
+    rows = save_stage(rows.drop("_rn").withColumn("_query", F.lit(False)), "pair-songs")
+    rows, levels = neighbours.grown_cells(rows, cols, cell_rows)
 
     song = vectors.schema["song_id"].dataType.simpleString()
-    seq = vectors.schema["seq"].dataType.simpleString()
-    row = f"song_id {song}, seq {seq}, term_ids array<int>, weights array<double>"
-    prefixes = songs.mapInArrow(_prefix_marker(rarity, bound), f"{row}, prefix array<int>")
-    prefixes = save_stage(prefixes, "pair-prefixes")
-    load = {
-        r["t"]: r["n"]
-        for r in prefixes.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    shard_of, blocks_of = _pack(load)
-    met = _deal(prefixes, shard_of, blocks_of)
-    scored = met.groupBy("_shard", "_bi", "_bj").applyInArrow(
-        _shard_scorer(bound, k), f"song_a {song}, song_b {song}, seq_a {seq}, seq_b {seq}, similarity double"
-    )
-    best = scored.distinct().orderBy(F.desc("similarity"), "seq_a", "seq_b").limit(k)
-    best = save_stage(best, "pair-best")
-    if best.count() < min(k, n * (n - 1) // 2):
+    schema = f"song_a {song}, song_b {song}, seq_a bigint, seq_b bigint, similarity double"
+    order = [F.desc("similarity"), "seq_a", "seq_b"]
+    lowest = 0.0 if cols == SPARSE else -2.0
+    inside = rows.groupBy("_leaf").applyInArrow(_best_inside(cols, k, lowest), schema)
+    best = save_stage(inside.orderBy(*order).limit(k), "pair-best")
+    found = best.agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("floor")).first()
+    floor = found["floor"] if found["n"] == k else lowest
+
+    run, kind = neighbours.own_cells(cols, k + 1, song)
+    own = save_stage(rows.groupBy("_leaf").applyInArrow(run, kind), "pair-bounds")
+    if own.select("_leaf").distinct().limit(2).count() > 1:
+        queries = rows.select("song_id", "seq", *cols, *neighbours.KEY, F.lit(floor).alias("_floor"), F.col("_leaf").alias("_own"))
+        sent = neighbours.routed(queries, neighbours.leaf_bounds(own, rows, levels), levels, cols).where("_own < _leaf")
+        dealt, chunks = neighbours.chunked(sent, "_leaf", neighbours.CHUNK_ROWS)
+        members = neighbours.copied(rows.select("song_id", "seq", *cols, "_leaf"), chunks, "_leaf")
+        across = dealt.groupBy("_leaf", "_chunk").cogroup(members.groupBy("_leaf", "_chunk")).applyInArrow(
+            _best_across(cols, k, floor), schema
+        )
+        best = save_stage(best.unionByName(across).orderBy(*order).limit(k), "pair-best")
+    if cols == SPARSE and best.count() < min(k, n * (n - 1) // 2):
         best = best.unionByName(_zero_pairs(vectors, best, k))
-    rank = F.row_number().over(Window.orderBy(F.desc("similarity"), "seq_a", "seq_b"))
+    # k rows, or those and as many pairs at zero
+    rank = F.row_number().over(Window.orderBy(*order))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("rank", "song_a", "song_b", "similarity")
 
 
-def _lower_bound(songs: DataFrame, k: int) -> float:
-    """A score that at least k pairs reach, less the rounding step; 0 if unknown."""
-    heavy = F.slice(
-        F.sort_array(
-            F.transform(
-                F.arrays_zip(F.col("term_ids").alias("t"), F.col("weights").alias("w")),
-                lambda p: F.struct((-p["w"]).alias("w"), p["t"].alias("t")),
-            )
-        ),
-        1,
-        3,
-    )
-    signed = songs.withColumn("_sig", F.xxhash64(heavy["t"]))
-    few = Window.partitionBy("_sig").orderBy("seq")
-    signed = signed.withColumn("_rn", F.row_number().over(few)).where(F.col("_rn") <= k + 1)
-    near = (
-        signed.repartition("_sig")
-        .sortWithinPartitions("_sig", "seq")
-        .select("term_ids", "weights")
-        .mapInArrow(_adjacent_scorer(k), "similarity double")
-    )
-    top = near.orderBy(F.desc("similarity")).limit(k).collect()
-    if len(top) < k:
-        return 0.0
-    return max(0.0, round(top[-1]["similarity"], DIGITS) - 0.5 * 10.0**-DIGITS - 1e-9)
-
+def _pair_finder(cols, k: int, floor: float):
+    scores, sparse = row_scorer(cols == SPARSE, DIGITS), cols == SPARSE
 
-def _adjacent_scorer(k: int):
-    def score(batches):
+    def find(table, left, right, within: bool):
+        """The k best pairs of a row of ``left`` and one of ``right``, as an Arrow table."""
         import numpy as np
         import pyarrow as pa
 
-        best = []
-        before = None
-        for batch in batches:
-            for ids, weights in zip(batch.column("term_ids"), batch.column("weights")):
-                here = (np.asarray(ids.values), np.asarray(weights.values))
-                if before is not None:
-                    _, a, b = np.intersect1d(before[0], here[0], assume_unique=True, return_indices=True)
-                    best.append(float(before[1][a] @ here[1][b]))
-                before = here
-            best = sorted(best, reverse=True)[:k]
-        yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64())], ["similarity"])
+        seqs = table.column("seq").to_numpy()
+        best = (np.zeros(0), np.zeros(0, "int64"), np.zeros(0, "int64"))
+        for chunk, sims in scores(table, left, right):
+            ok = sims >= floor
+            if sparse:
+                ok &= sims > 0
+            if within:
+                ok &= right[None, :] > chunk[:, None]
+            i, j = np.nonzero(ok)
+            if len(i) > k:  # of ties at the end all stay until they are put in order
+                least = np.partition(sims[i, j], len(i) - k)[len(i) - k]
+                i, j = np.nonzero(ok & (sims >= least))
+            a, b = chunk[i], right[j]
+            swap = seqs[a] > seqs[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            value, a, b = (np.concatenate(p) for p in zip(best, (sims[i, j], a, b)))
+            take = np.lexsort((seqs[b], seqs[a], -value))[:k]
+            best = value[take], a[take], b[take]
+        value, a, b = best
+        ids = table.column("song_id")
+        return pa.table(
+            [ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(seqs[a]), pa.array(seqs[b]), pa.array(value)],
+            names=["song_a", "song_b", "seq_a", "seq_b", "similarity"],
+        )
 
-    return score
+    return find
 
 
-def _prefix_marker(rarity, bound: float):
-    floor = bound * bound - 1e-9
+def _best_inside(cols, k: int, floor: float):
+    find = _pair_finder(cols, k, floor)
 
-    def mark(batches):
+    def run(table):
         import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            prefixes = []
-            for ids, weights in zip(batch.column("term_ids"), batch.column("weights")):
-                t = np.asarray(ids.values)
-                w = np.asarray(weights.values)
-                order = np.argsort(rarity[t])
-                squares = w[order] ** 2
-                left = squares.sum() - np.concatenate(([0.0], np.cumsum(squares)[:-1]))
-                prefixes.append(t[order][left >= floor])
-            lists = pa.array(prefixes, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "prefix"])
-
-    return mark
-
-
-def _pack(load: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
-    """Terms to shards of at most SHARD_ROWS rows; blocks for terms above that."""
-    shard_of, blocks_of = {}, {}
-    shard, filled = 0, 0
-    for term in sorted(load, key=lambda t: (load[t], t)):
-        rows = load[term]
-        if rows < 2:
-            continue  # nobody to meet
-        if filled and filled + rows > SHARD_ROWS:
-            shard, filled = shard + 1, 0
-        shard_of[term] = shard
-        filled += rows
-        if rows > SHARD_ROWS:
-            blocks_of[shard] = math.ceil(rows / SHARD_ROWS)
-            shard, filled = shard + 1, 0
-    return shard_of, blocks_of
-
-
-def _deal(prefixes: DataFrame, shard_of: dict[int, int], blocks_of: dict[int, int]) -> DataFrame:
-    """Send each song once to every shard, and there to every block pair, it belongs to."""
-    row = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prefixes.schema.fields)
-    sent = prefixes.mapInArrow(
-        _shard_finder(shard_of, blocks_of), f"{row}, shards array<int>, blocks array<int>, shared array<array<int>>"
-    )
-    one = sent.select(
-        "song_id",
-        "seq",
-        "term_ids",
-        "weights",
-        F.inline(
-            F.arrays_zip(
-                F.col("shards").alias("_shard"), F.col("blocks").alias("_blocks"), F.col("shared").alias("_terms")
-            )
-        ),
-    )
-    own = F.pmod(F.xxhash64("song_id"), F.col("_blocks")).cast("int")
-    dealt = one.withColumn("_own", own).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    )
-    return dealt.select(
-        "_shard",
-        F.least("_own", "_other").alias("_bi"),
-        F.greatest("_own", "_other").alias("_bj"),
-        "_own",
-        "_terms",
-        "song_id",
-        "seq",
-        "term_ids",
-        "weights",
-    )
-
-
-def _shard_finder(shard_of: dict[int, int], blocks_of: dict[int, int]):
-    """Shards of each song's prefix with the terms it has there; both tables are bounded by the vocabulary."""
 
-    def find(batches):
-        import pyarrow as pa
-
-        kind = pa.list_(pa.int32())
-        for batch in batches:
-            found = []
-            for prefix in batch.column("prefix").to_pylist():
-                here = {}
-                for term in prefix:
-                    if term in shard_of:
-                        here.setdefault(shard_of[term], []).append(term)
-                found.append(here)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array([list(here) for here in found], kind),
-                    pa.array([[blocks_of.get(s, 1) for s in here] for here in found], kind),
-                    pa.array([list(here.values()) for here in found], pa.list_(kind)),
-                ],
-                [*batch.schema.names, "shards", "blocks", "shared"],
-            )
+        every = np.arange(table.num_rows)
+        return find(table, every, every, True)
 
-    return find
+    return run
 
 
-def _shard_scorer(bound: float, k: int):
-    scores = row_scorer(sparse=True, digits=DIGITS)
+def _best_across(cols, k: int, floor: float):
+    find = _pair_finder(cols, k, floor)
+    names = ["song_id", "seq", *cols]
 
-    def score(table):
+    def run(left, right):
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by("seq")
-        n = table.num_rows
-        across = table.column("_bi")[0].as_py() != table.column("_bj")[0].as_py()
-        own = table.column("_own").to_numpy()
-        lists = table.column("_terms").combine_chunks()
-        holder = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-        terms = lists.flatten().to_numpy()
-        order = np.argsort(terms, kind="stable")
-        meetings = np.split(holder[order], np.flatnonzero(np.diff(terms[order])) + 1)
-
-        best = (np.zeros(0), np.zeros(0, "int64"), np.zeros(0, "int64"))
-        for rows in meetings:
-            if len(rows) < 2:
-                continue
-            for chunk, sims in scores(table, rows, rows):
-                ok = (sims > 0) & (sims >= bound) & (rows[None, :] > chunk[:, None])
-                if across:  # pairs within one block belong to that block's own task
-                    ok &= own[chunk][:, None] != own[rows][None, :]
-                a, b = np.nonzero(ok)
-                if not len(a):
-                    continue
-                value, first, second = (np.concatenate(p) for p in zip(best, (sims[a, b], chunk[a], rows[b])))
-                # Songs may meet on several terms; a pair counts once.
-                _, once = np.unique(first * n + second, return_index=True)
-                take = once[np.lexsort((second[once], first[once], -value[once]))[:k]]
-                best = (value[take], first[take], second[take])
-        value, first, second = best
-        ids, seqs = table.column("song_id"), table.column("seq")
-        return pa.table(
-            {
-                "song_a": ids.take(pa.array(first)),
-                "song_b": ids.take(pa.array(second)),
-                "seq_a": seqs.take(pa.array(first)),
-                "seq_b": seqs.take(pa.array(second)),
-                "similarity": pa.array(value),
-            }
-        )
+        both = pa.concat_tables([left.select(names), right.select(names)])
+        n, m = (left.num_rows, right.num_rows) if left.num_rows and right.num_rows else (0, 0)
+        return find(both, np.arange(n), n + np.arange(m), False)
 
-    return score
+    return run
 
 
 def _zero_pairs(vectors: DataFrame, found: DataFrame, k: int) -> DataFrame:

@@ -1,9 +1,9 @@
-import time
 import base64
 import hashlib
 import json
 import random
 import re
+import time
 
 import pytest
 

@@ -172,14 +172,41 @@ def brute_pairs(x, k):
     return [(a, b, pytest.approx(sims[a, b], abs=2e-6)) for a, b in every[:k]]
 
 
-@pytest.mark.parametrize("k, shard_rows", [(15, 2_000), (15, 7), (300, 2_000), (400, 25)])
-def test_most_similar_pairs(fitted, monkeypatch, k, shard_rows):
+@pytest.mark.parametrize("k, cell_rows", [(15, 1_000), (15, 7), (300, 1_000), (400, 12)])
+def test_most_similar_pairs(fitted, monkeypatch, k, cell_rows):
     *_, vectors, names, idf, x = fitted
-    monkeypatch.setattr(pairs, "SHARD_ROWS", shard_rows)
-    got = pairs.most_similar_pairs(vectors, k).orderBy("rank").collect()
+    monkeypatch.setattr(neighbours, "FAN", 6)
+    got = pairs.most_similar_pairs(vectors, k, cell_rows=cell_rows).orderBy("rank").collect()
     assert [(r["song_a"], r["song_b"], r["similarity"]) for r in got] == brute_pairs(x, k)
 
 
+def test_most_similar_pairs_of_dense_vectors(dense):
+    df, x = dense
+    got = pairs.most_similar_pairs(df, 20, cell_rows=6).orderBy("rank").collect()
+    assert [(r["song_a"], r["song_b"], r["similarity"]) for r in got] == brute_pairs(x, 20)
+
+
+def test_pairs_send_songs_into_few_cells(spark, monkeypatch):
+    """Groups without shared terms and no near copies: less is sent than to every other cell."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        terms_of = sorted(rng.choice(40, 12, replace=False) + 40 * (i % 15))
+        w = rng.random(12)
+        rows.append((i, i, [int(t) for t in terms_of], [float(v) for v in w / np.sqrt((w * w).sum())]))
+    df = save_stage(spark.createDataFrame(rows, "song_id long, seq long, term_ids array<int>, weights array<double>"), "groups")
+    sent = []
+    routed = neighbours.routed
+    monkeypatch.setattr(neighbours, "routed", lambda *a: sent.append(routed(*a)) or sent[-1])
+    got = pairs.most_similar_pairs(df, 10, cell_rows=30).orderBy("rank").collect()
+    x = np.zeros((600, 600))
+    for i, _, t, w in rows:
+        x[i, t] = w
+    assert [(r["song_a"], r["song_b"], r["similarity"]) for r in got] == brute_pairs(x, 10)
+    cells = sent[0].select("_leaf").distinct().count()
+    assert cells > 10 and sent[0].count() < 600 * cells / 4, (cells, sent[0].count())
+
+
 def test_most_similar_pairs_fills_with_zero_pairs(spark):
     rows = [(i, i, [i], [1.0]) for i in range(5)] + [(5, 5, [0], [1.0])]
     df = spark.createDataFrame(rows, "song_id long, seq long, term_ids array<int>, weights array<double>")
