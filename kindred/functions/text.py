@@ -219,24 +219,37 @@ def section_blocks(col: Column | str) -> Column:
     return F.filter(blocks, lambda b: b["text"] != "")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def chorus_of_blocks(blocks: Column | str) -> Column:
     """Text of the chorus-like blocks: labels in first-seen order, then blocks.
 
-    NULL when no block has such a label.
+    NULL when no block has such a label.  Blocks are sorted once by label and place, so the blocks of a
+    label lie side by side and the work does not grow with labels times blocks.
     """
-    b = _c(blocks)
     wanted = "|".join(wl.CHORUS_LABELS)
-    labels = F.array_distinct(
-        F.transform(F.filter(b, lambda x: x["label"].rlike(wanted)), lambda x: x["label"])
-    )
-    per_label = F.transform(
-        labels,
-        lambda name: F.array_join(
-            F.transform(F.filter(b, lambda x: x["label"] == name), lambda x: x["text"]), "\n"
-        ),
-    )
+    chosen = F.filter(_c(blocks), lambda x: x["label"].rlike(wanted))
+    by_label = F.array_sort(F.transform(chosen, lambda x: F.struct(x["label"].alias("label"), x["block_ix"].alias("ix"), x["text"].alias("text"))))
+
+    def joined(s):
+        first = lambda x, i: (i == 0) | (F.get(s, i - 1)["label"] != x["label"])
+        placed = F.transform(s, lambda x, i: F.struct(x["ix"].alias("ix"), i.alias("at"), first(x, i).alias("first")))
+
+        def told(heads):
+            def text(h, k):
+                last = F.coalesce(F.get(heads, k + 1)["at"], F.size(s)) - 1
+                lines = F.transform(F.sequence(h["at"], last), lambda i: F.get(s, i)["text"])
+                return F.struct(h["ix"].alias("ix"), F.array_join(lines, "\n").alias("text"))
+
+            return F.array_join(F.transform(F.array_sort(F.transform(heads, text)), lambda t: t["text"]), "\n")
+
+        return _bound(F.filter(placed, lambda p: p["first"]), told)
+
     # No block text is empty, so an empty result means no such block.
-    return F.nullif(F.array_join(per_label, "\n"), F.lit(""))
+    return F.nullif(_bound(by_label, joined), F.lit(""))
 
 
 def chorus_text(col: Column | str) -> Column:

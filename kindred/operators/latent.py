@@ -1,11 +1,13 @@
 """Latent semantic vectors: truncated SVD of the term matrix.
 
 The term matrix A has one row per song and as many columns as the vocabulary
-has terms (10,000 at most).  A randomized range finder (Halko, Martinsson and
-Tropp 2011) runs on the short side: each pass computes A'(AQ) for a
-vocabulary x (k + oversampling) matrix Q, a few megabytes whatever the number
-of songs.  Tasks add up their share over all their rows and the shares are
-summed by a shuffle on the vocabulary row, so only Q itself reaches the driver.
+has terms (10,000 at most).  A block Krylov method with thick restarts runs on
+the short side: each pass computes A'(AQ) for a narrow vocabulary x block
+matrix Q, a few megabytes whatever the number of songs, and widens the basis
+by what is new in it.  Passes end when the residual of every wanted component
+is small, so their number follows the spectrum.  Tasks add up their share over
+all their rows and the shares are summed by a shuffle on the vocabulary row, so
+only Q itself reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 from kindred.sources.shared import save_stage
 
 COMPONENTS = 100
-OVERSAMPLES = 10
-ITERATIONS = 5
+#: Largest |A'Av - s^2 v| / s^2 of a component, and passes after which the fit is given up.
+TOLERANCE = 0.01
+MOST_PASSES = 200
+LEAST_BLOCK = 16
+#: Stored entries that are multiplied at a time.
+CHUNK_ENTRIES = 16_384
 CHUNK_ROWS = 256
 BLOCK_TERMS = 128
 
@@ -32,13 +38,15 @@ BLOCK_TERMS = 128
 class LatentModel:
     """``vectors``: song_id, seq, vector (unit length, one entry per topic);
     ``scores``: the same before normalisation; ``components``: topic, term_id,
-    loading; ``singular_values``: one per topic."""
+    loading; ``singular_values``: one per topic; ``residuals``: component, sigma, residual, orthogonality."""
 
     vectors: DataFrame
     scores: DataFrame
     components: DataFrame
     singular_values: np.ndarray
     right: np.ndarray
+    residuals: DataFrame
+    passes: int
 
 
 def _gram_pass(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
@@ -49,7 +57,7 @@ def _gram_pass(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
     """
     summed = (
         vectors.select("term_ids", "weights")
-        .mapInArrow(_gram_share(q, CHUNK_ROWS, BLOCK_TERMS), "block int, share array<double>")
+        .mapInArrow(_gram_share(q, CHUNK_ENTRIES, BLOCK_TERMS), "block int, share array<double>")
         .groupBy("block")
         .agg(vector_to_array(Summarizer.sum(array_to_vector("share"))).alias("rows"))
     )
@@ -62,29 +70,33 @@ def _gram_pass(vectors: DataFrame, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gram_share(q: np.ndarray, chunk_rows: int, block_terms: int):
-    """One task's A'(AQ), a few songs at a time.
-
-    A chunk of songs is laid out densely in one buffer that is used again and
-    again: at vocabulary widths two dense products beat gathering rows of Q.
-    """
+def _gram_share(q: np.ndarray, chunk_entries: int, block_terms: int):
+    """One task's A'(AQ) over the stored entries of its songs, some thousands at a time."""
 
     def share(batches):
         import numpy as np
         import pyarrow as pa
 
         total = np.zeros_like(q)
-        buffer = np.zeros((chunk_rows, len(q)))
         for batch in batches:
-            for at in range(0, batch.num_rows, chunk_rows):
-                part = batch.slice(at, chunk_rows)
-                lists = part.column("term_ids")
-                row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                term = lists.flatten().to_numpy()
-                buffer[row, term] = part.column("weights").flatten().to_numpy()
-                here = buffer[: part.num_rows]
-                total += here.T @ (here @ q)
-                buffer[row, term] = 0
+            ends = batch.column("term_ids").offsets.to_numpy()
+            ends = ends - ends[0]
+            terms = batch.column("term_ids").flatten().to_numpy()
+            weights = batch.column("weights").flatten().to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + chunk_entries, "right")) - 1)
+                lengths = np.diff(ends[at : to + 1])
+                term, weight = terms[ends[at] : ends[to]], weights[ends[at] : ends[to], None]
+                at = to
+                if not len(term):
+                    continue
+                lengths = lengths[lengths > 0]
+                song = np.repeat(np.arange(len(lengths)), lengths)
+                products = np.add.reduceat(weight * q[term], np.cumsum(lengths) - lengths, axis=0)
+                order = np.argsort(term, kind="stable")
+                own, first = np.unique(term[order], return_index=True)
+                total[own] += np.add.reduceat(weight[order] * products[song[order]], first, axis=0)
         for block, start in enumerate(range(0, len(total), block_terms)):
             flat = pa.array(total[start : start + block_terms].ravel())
             ends = pa.array([0, len(flat)], pa.int32())
@@ -158,11 +170,52 @@ def component_table(spark: SparkSession, right: np.ndarray) -> DataFrame:
     )
 
 
+def _fresh(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what is in ``block`` and not in ``basis``; it may have fewer columns."""
+    scale = np.linalg.norm(block)
+    for _ in range(2):
+        block = block - basis @ (basis.T @ block)
+    left, sizes, _ = np.linalg.svd(block, full_matrices=False)
+    left = left[:, sizes > 1e-10 * max(scale, 1e-300)]
+    # Rounding leaves traces of the basis in small columns.
+    return np.linalg.qr(left - basis @ (basis.T @ left))[0] if left.shape[1] else left
+
+
+def _leading(gram_pass, width: int, k: int, tolerance: float, seed: int):
+    """The k leading eigenpairs of ``gram_pass``'s matrix: values, vectors, residuals and passes."""
+    block = min(width, max(LEAST_BLOCK, -(-k // 3)))
+    fresh = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, block)))[0]
+    basis, image, small = fresh[:, :0], fresh[:, :0], np.zeros((0, 0))
+    for passes in range(1, MOST_PASSES + 1):
+        found = gram_pass(fresh)
+        basis, image = np.hstack([basis, fresh]), np.hstack([image, found])
+        cross, old = basis.T @ found, len(small)
+        small = np.block([[small, cross[:old]], [cross[:old].T, (cross[old:] + cross[old:].T) / 2]])
+        if len(small) < k and (more := _fresh(found, basis)).shape[1]:
+            fresh = more
+            continue
+        values, turn = np.linalg.eigh(small)
+        order = np.argsort(-values)
+        values, turn = values[order], turn[:, order]
+        best = basis @ turn[:, :k]
+        residual = np.linalg.norm(image @ turn[:, :k] - best * values[:k], axis=0)
+        fresh = _fresh(found, basis)
+        floor = np.maximum(values[:k], 1e-12 * max(values[0], 1e-300))
+        if basis.shape[1] >= k and ((residual <= tolerance * floor).all() or not fresh.shape[1]):
+            return values[:k], best, residual / floor, passes
+        if not fresh.shape[1]:  # the start lay in too small a space that the matrix does not leave
+            fresh = _fresh(np.random.default_rng(seed + passes).normal(size=(width, block)), basis)
+        if basis.shape[1] > 4 * (k + block):  # go on from the best directions alone
+            kept = turn[:, : 2 * k + block]
+            basis, image, small = basis @ kept, image @ kept, np.diag(values[: kept.shape[1]])
+    raise RuntimeError(f"no convergence in {MOST_PASSES} passes")
+
+
 def fit_latent(
     vectors: DataFrame,
     *,
     n_components: int = COMPONENTS,
-    iterations: int = ITERATIONS,
+    tolerance: float = TOLERANCE,
     seed: int = 42,
 ) -> LatentModel:
     """Truncated SVD of a saved term-vector table, not centred.
@@ -175,27 +228,24 @@ def fit_latent(
     width = (size[0] if size[0] is not None else -1) + 1
     if n_components > min(width, size[1]):
         raise ValueError(f"n_components={n_components} exceeds {min(width, size[1])}")
-    # As many shares as tasks can run at once: a task sums all its rows first.
-    packed = vectors.coalesce(spark.sparkContext.defaultParallelism)
-    guess = np.random.default_rng(seed).normal(size=(width, min(width, n_components + OVERSAMPLES)))
-    q, _ = np.linalg.qr(guess)
-    for _ in range(iterations + 1):
-        q, _ = np.linalg.qr(_gram_pass(packed, q))
-    gram = q.T @ _gram_pass(packed, q)
-    values, turn = np.linalg.eigh((gram + gram.T) / 2)
-    order = np.argsort(-values)[:n_components]
-    right = q @ turn[:, order]
+    # A task sums all its rows before it sends its share, so their number is that of shuffle tasks.
+    packed = vectors.coalesce(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    values, right, residual, passes = _leading(lambda q: _gram_pass(packed, q), width, n_components, tolerance, seed)
     peak = right[np.abs(right).argmax(axis=0), np.arange(right.shape[1])]
     right = right * np.where(peak < 0, -1.0, 1.0)
+    sigma = np.sqrt(np.maximum(values, 0))
+    apart = np.abs(right.T @ right - np.eye(n_components)).max(axis=1)
+    told = [(i + 1, *map(float, row)) for i, row in enumerate(zip(sigma, residual, apart, strict=True))]
 
     scores = save_stage(project_songs(vectors, right), "latent-scores")
-    components = component_table(spark, right)
     return LatentModel(
         vectors=unit_vectors(scores),
         scores=scores,
-        components=components,
-        singular_values=np.sqrt(np.maximum(values[order], 0)),
+        components=component_table(spark, right),
+        singular_values=sigma,
         right=right,
+        residuals=spark.createDataFrame(told, "component int, sigma double, residual double, orthogonality double"),
+        passes=passes,
     )
 
 

@@ -105,10 +105,10 @@ def build_chorus(chorus_songs: DataFrame, *, name: str = "chorus", **options) ->
 
 
 def build_lsa(
-    tfidf: Recommender, *, n_components: int = latent.COMPONENTS, name: str = "lsa", iterations: int = latent.ITERATIONS
+    tfidf: Recommender, *, n_components: int = latent.COMPONENTS, name: str = "lsa", tolerance: float = latent.TOLERANCE
 ) -> Recommender:
     """Latent semantic vectors on top of a fitted TF-IDF model."""
-    model = latent.fit_latent(tfidf.vectors, n_components=n_components, iterations=iterations)
+    model = latent.fit_latent(tfidf.vectors, n_components=n_components, tolerance=tolerance)
     return Recommender(name, tfidf.songs, model.vectors, tfidf.vocabulary, {"latent": model, "tfidf": tfidf})
 
 

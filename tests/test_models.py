@@ -30,7 +30,7 @@ def test_svd_matches_full_decomposition(tfidf, monkeypatch):
     monkeypatch.setattr(latent, "CHUNK_ROWS", 7)
     ids, x = dense_matrix(tfidf)
     u, s, vt = np.linalg.svd(x, full_matrices=False)
-    model = latent.fit_latent(tfidf.vectors, n_components=8, iterations=30)
+    model = latent.fit_latent(tfidf.vectors, n_components=8, tolerance=1e-7)
     assert model.singular_values == pytest.approx(s[:8], rel=1e-6)
     for j in range(8):
         assert abs(vt[j] @ model.right[:, j]) == pytest.approx(1, abs=1e-5)
@@ -69,8 +69,8 @@ def test_svd_matches_full_decomposition(tfidf, monkeypatch):
 
 
 def test_svd_does_not_depend_on_partitions(tfidf):
-    one = latent.fit_latent(tfidf.vectors.repartition(1), n_components=5)
-    many = latent.fit_latent(tfidf.vectors.repartition(13), n_components=5)
+    one = latent.fit_latent(tfidf.vectors.repartition(1), n_components=5, tolerance=1e-6)
+    many = latent.fit_latent(tfidf.vectors.repartition(13), n_components=5, tolerance=1e-6)
     assert one.singular_values == pytest.approx(many.singular_values)
     with pytest.raises(ValueError):
         latent.fit_latent(tfidf.vectors, n_components=10_000)
@@ -190,3 +190,40 @@ def test_recommend_and_compare(tfidf, spark):
     assert len(both) == 10
     square = compare.overlap_matrix(compare.overlap(lists, attempts), ["tfidf", "tf"]).collect()
     assert len(square) == 6
+
+
+def test_krylov_passes_follow_the_spectrum_and_restart():
+    rng = np.random.default_rng(2)
+    base = np.linalg.qr(rng.normal(size=(300, 300)))[0]
+    for values, few in ((np.r_[1000.0, 400.0, 200.0, np.full(297, 1.0)], True), (np.linspace(0.5, 1.5, 300), False)):
+        g = base @ np.diag(np.sort(values)[::-1]) @ base.T
+        found, vectors, residual, passes = latent._leading(lambda q: g @ q, 300, 3, 1e-4, 1)
+        assert found == pytest.approx(np.sort(values)[::-1][:3], rel=1e-4) and residual.max() <= 1e-4
+        assert np.abs(vectors.T @ vectors - np.eye(3)).max() < 1e-10
+        assert (passes <= 4) == few
+    singular = base[:, :2] @ base[:, :2].T  # two directions of one value, nothing else
+    found, vectors, residual, _ = latent._leading(lambda q: singular @ q, 300, 5, 1e-6, 1)
+    assert found == pytest.approx([1, 1, 0, 0, 0], abs=1e-9)
+    with pytest.raises(RuntimeError):
+        latent._leading(lambda q: rng.normal(size=q.shape), 300, 3, 1e-12, 1)
+
+
+def test_residuals_are_those_of_the_matrix(spark):
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((60, 40)) < 0.2, rng.random((60, 40)), 0)
+    rows = [(i, i, np.flatnonzero(r).tolist(), r[r > 0].tolist()) for i, r in enumerate(x)]
+    df = save_stage(spark.createDataFrame(rows, "song_id long, seq long, term_ids array<int>, weights array<double>"), "sparse-rows")
+    model = latent.fit_latent(df, n_components=4, tolerance=1e-3)
+    x = x[:, : model.right.shape[0]]
+    for r in model.residuals.collect():
+        v = model.right[:, r.component - 1]
+        assert r.residual == pytest.approx(np.linalg.norm(x.T @ (x @ v) - r.sigma**2 * v) / r.sigma**2, abs=1e-8)
+        assert r.residual <= 1e-3 and r.orthogonality < 1e-10
+
+
+def test_covariance_with_large_means(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 4)) + [1e6, -1e6, 0, 5]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "song_id long, vector array<double>").repartition(7)
+    n, mean, covariance = project.moments(df)
+    assert n == 200 and mean == pytest.approx(x.mean(0)) and covariance == pytest.approx(np.cov(x.T), rel=1e-8, abs=1e-9)

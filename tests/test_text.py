@@ -1,5 +1,7 @@
 """Hand-worked cases for every text expression."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,16 @@ def test_chorus(spark, raw, chorus):
 )
 def test_section_blocks(spark, raw, blocks):
     assert [[(b["label"], b["text"]) for b in row] for row in run(spark, tx.section_blocks, raw)] == [blocks]
+
+
+def test_chorus_order_is_linear_in_labels(spark):
+    """20,000 labels in one row, each with two blocks: first-seen order of labels, then of blocks."""
+    n = 20_000
+    blocks = [(i + 1, f"chorus {(i * 7919) % n}" if i < n else f"chorus {i - n}", f"t{i}") for i in range(2 * n)]
+    df = spark.createDataFrame([(blocks,)], "b array<struct<block_ix:int,label:string,text:string>>").repartition(1)
+    df.count()
+    start = time.perf_counter()
+    got = df.select(tx.chorus_of_blocks("b")).first()[0].split("\n")
+    assert time.perf_counter() - start < 10
+    place = {label: i for i, (_, label, _) in reversed(list(enumerate(blocks)))}
+    assert got == [t for _, label, t in sorted(blocks, key=lambda b: (place[b[1]], b[0]))]
