@@ -7,6 +7,7 @@ and sees ``batch_size`` texts at a time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.dedupe import text_key
 
-
+VERSIONS = "version bigint, part string"
 
 def _cache_schema(songs: DataFrame) -> str:
     """Ids keep the type they have in the corpus."""
@@ -23,7 +24,6 @@ def _cache_schema(songs: DataFrame) -> str:
     return f"song_id {kind}, content_hash string, model string, vector array<float>"
 
 
-
 def embedding_inputs(songs: DataFrame, model: str, text: str = "processed_lyrics") -> DataFrame:
     """``song_id, text, content_hash, model``; a missing text counts as empty."""
     filled = F.coalesce(F.col(text), F.lit(""))
@@ -55,15 +55,31 @@ def generate_embeddings(
     return inputs.mapInArrow(run, _cache_schema(inputs))
 
 
-def read_cache(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The cache table, or an empty one where nothing was written yet."""
-    schema = schema or "song_id bigint, content_hash string, model string, vector array<float>"
+def _parts(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The latest version of a cache and its part folders; version 0 has none."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        rows = spark.read.schema(VERSIONS).parquet(f"{path}/versions").collect()  # a row per part and version
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        return 0, []
+    last = max(r.version for r in rows)
+    return last, sorted({r.part for r in rows if r.version == last})
+
+
+def _publish(spark: SparkSession, path: str, version: int, parts: list[str]) -> None:
+    """Make parts the current version: one file that appears whole or not at all."""
+    table = spark.createDataFrame([(version, part) for part in parts], VERSIONS)
+    table.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def read_cache(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The current version of a model's cache, or an empty table where nothing was published yet."""
+    schema = schema or "song_id bigint, content_hash string, model string, vector array<float>"
+    _, parts = _parts(spark, path)
+    if not parts:
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{part}" for part in parts])
 
 
 def cached_embeddings(
@@ -80,21 +96,28 @@ def cached_embeddings(
     """Vectors of all songs, embedding only what the cache lacks.
 
     A cached row counts only for the same song, text, model and length limit.
-    New rows are appended to the model's folder below ``cache_path``; a forced
-    run overwrites that folder and no other model's.
+    Each run writes part folders of its own below the model's folder in
+    ``cache_path`` and publishes them as a new version when they are complete,
+    so a run that fails leaves the version before it.  A forced run embeds all
+    its songs anew and keeps the vectors of all others.  One run writes a
+    model's cache at a time.
     """
     spark = songs.sparkSession
     key, schema = ["song_id", "content_hash", "model"], _cache_schema(songs)
     inputs = embedding_inputs(songs, f"{model}@{max_length}", text)
     target = f"{cache_path}/model_key={_folder(model, max_length)}"
-    if force_recompute:
-        missing = inputs
-    else:
-        missing = inputs.join(read_cache(spark, target, schema).select(key), key, "left_anti")
+    version, parts = _parts(spark, target)
+    known = read_cache(spark, target, schema)
+    missing = inputs if force_recompute else inputs.join(known.select(key), key, "left_anti")
     if force_recompute or not missing.isEmpty():
         missing = missing.dropDuplicates(key)
+        run = uuid.uuid4().hex[:12]
         fresh = generate_embeddings(missing, embed_factory, batch_size=batch_size, max_length=max_length)
-        fresh.write.mode("overwrite" if force_recompute else "append").parquet(target)
+        fresh.write.parquet(f"{target}/part-{run}")
+        if force_recompute and parts:
+            known.join(inputs.select(key), key, "left_anti").write.parquet(f"{target}/kept-{run}")
+            parts = [f"kept-{run}"]
+        _publish(spark, target, version + 1, [*parts, f"part-{run}"])
     stored = read_cache(spark, target, schema)
     return inputs.drop("text").join(stored, key).select("song_id", "content_hash", "vector")
 

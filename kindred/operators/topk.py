@@ -47,6 +47,55 @@ def top_by_scan(vectors: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return _best(scored, k).drop("seq")
 
 
+def top_k_at_cuts(scores: DataFrame, seeds: DataFrame, k: int, cuts: list[int]) -> DataFrame:
+    """Lists over the first ``c`` entries of dense score vectors, for every ``c`` of ``cuts``, in one scan.
+
+    Products and squared lengths are carried on from one cut to the next, so all cuts together cost one
+    product over the longest of them.  Returns ``cut, seed_id, rank, song_id, similarity``; up to
+    SCAN_SEEDS seeds.
+    """
+    cuts = sorted(set(cuts))
+    wanted = F.broadcast(seeds.select("seed_id", F.col("song_id").alias("seed_song")).limit(SCAN_SEEDS + 1))
+    rows = scores.join(wanted, F.col("song_id") == F.col("seed_song")).select(F.struct(F.lit(0).alias("cut"), "seed_id").alias("seed_id"), "song_id", "vector")
+    if rows.count() > SCAN_SEEDS:
+        raise ValueError(f"more than {SCAN_SEEDS} seeds")
+    rows = rows.select(F.explode(F.array(*[F.lit(c) for c in cuts])).alias("cut"), "*")
+    rows = rows.select(F.struct("cut", "seed_id.seed_id").alias("seed_id"), "song_id", "vector").orderBy("seed_id.cut", "song_id", "seed_id.seed_id")
+    kind = {f.name: f.dataType.simpleString() for f in scores.schema.fields}
+    schema = f"seed_id {rows.schema['seed_id'].dataType.simpleString()}, song_id {kind['song_id']}, seq {kind['seq']}, similarity double"
+    few = rows.toArrow().combine_chunks()  # SCAN_SEEDS rows a cut at most
+    if not few.num_rows:
+        return _best(scores.sparkSession.createDataFrame([], schema), k).select("seed_id.cut", "seed_id.seed_id", "rank", "song_id", "similarity")
+    scored = scores.select("song_id", "seq", "vector").mapInArrow(_scanner(few, _cut_product(few, cuts), k), schema)
+    return _best(scored, k).select("seed_id.cut", "seed_id.seed_id", "rank", "song_id", "similarity")
+
+
+def _cut_product(seeds, cuts: list[int]):
+    def prepare():
+        import numpy as np
+
+        def matrix(table):
+            return table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(table.num_rows, -1)
+
+        q = matrix(seeds)[: seeds.num_rows // len(cuts)]  # each cut has the same seeds in the same order
+
+        def product(table):
+            x = matrix(table)
+            dot, own, other = np.zeros((len(x), len(q))), np.zeros(len(x)), np.zeros(len(q))
+            at, out = 0, []
+            for cut in cuts:
+                dot = dot + x[:, at:cut] @ q[:, at:cut].T
+                own, other = own + (x[:, at:cut] ** 2).sum(axis=1), other + (q[:, at:cut] ** 2).sum(axis=1)
+                size = np.sqrt(own)[:, None] * np.sqrt(other)[None, :]
+                out.append(np.divide(dot, size, out=np.zeros_like(dot), where=size > 0))
+                at = cut
+            return np.hstack(out)
+
+        return product
+
+    return prepare
+
+
 def _dense_product(seeds):
     read = unit_matrix()
 

@@ -35,6 +35,9 @@ MATCHED_SAMPLE = 400
 LSA_FIT = 200
 #: A sweep compares cuts to a quarter, half and all of what was fitted; lists come from half of it.
 SWEEP = (4, 2, 1)
+GIVEN_CUTS = [2, 4, 8]
+GIVEN_SHARES = (1e-6, 1e-3, 0.9)
+LEADING = 3
 MODELS = ["tfidf", "tf", "chorus", "embedding"]
 
 _FITTED: dict[tuple, object] = {}
@@ -464,13 +467,15 @@ def pca_2d(spark, sf_dir):
 
 @query
 def embed_cache(spark, sf_dir):
-    """Rows embedded by a first run, a second, and one with changed and missing texts"""
+    """Rows added to the cache by a first run, a second, one with changed and missing texts,
+    a forced one over half of the songs, and one that needs the other half"""
     songs, path = clean_songs(spark, sf_dir), stage_path(spark, "counted-cache")
     text = F.when(F.col("song_id") % 29 == 0, None).when(F.col("song_id") % 31 == 0, F.concat("processed_lyrics", F.lit(" x")))
     changed = songs.withColumn("processed_lyrics", text.otherwise(F.col("processed_lyrics")))
     runs, before = [], 0
-    for run, table in enumerate((songs, songs, changed), start=1):
-        m = rec.build_embedding(table, _letter_embedder(), path, model="counted")
+    half = songs.where("song_id % 2 = 0")
+    for run, table in enumerate((songs, songs, changed, half, songs), start=1):
+        m = rec.build_embedding(table, _letter_embedder(), path, model="counted", force_recompute=run == 4)
         stored = read_cache(spark, f"{path}/model_key=counted-256").count()
         runs.append((run, m.vectors.count(), stored - before))
         before = stored
@@ -496,10 +501,8 @@ def four_model_table(spark, sf_dir):
 
 @query
 def four_recommenders(spark, sf_dir):
-    """The table over TF-IDF, LSA, chorus and embedding; LSA has no SQL form"""
-    full = lsa_model(spark, sf_dir)
-    lsa = rec.lsa_at(full, max(1, rec.components_of(full) // 2))
-    models = [tfidf_model(spark, sf_dir), lsa, chorus_model(spark, sf_dir), embedding_model(spark, sf_dir)]
+    """The table over TF-IDF, latent vectors (of the given components), chorus and embedding"""
+    models = [m(spark, sf_dir) for m in (tfidf_model, given_model, chorus_model, embedding_model)]
     lists, attempts = rec.compare_models(models, seed_table(spark, sf_dir), K)
     return compare.rank_table(save_stage(lists, "four-lists"), attempts, [m.name for m in models], K)
 
@@ -604,8 +607,7 @@ def lsa_components_needed(spark, sf_dir):
 def lsa_sweep(spark, sf_dir):
     """M5d, A9: top lists of one fit cut to fewer components"""
     full = lsa_model(spark, sf_dir)
-    cuts = [rec.lsa_at(full, max(1, rec.components_of(full) // n)) for n in SWEEP]
-    lists, attempts = rec.compare_models(cuts, seed_table(spark, sf_dir), K)
+    lists, attempts = rec.sweep(full, seed_table(spark, sf_dir), K, [max(1, rec.components_of(full) // n) for n in SWEEP])
     return compare.overlap(save_stage(lists, "sweep"), attempts)
 
 
@@ -650,6 +652,41 @@ def given_variance(spark, sf_dir):
     return v.select("component", _r6("ratio").alias("ratio"), _r6("cumulative").alias("cumulative"))
 
 
+@query
+def given_components_needed(spark, sf_dir):
+    """M4: the first component count that reaches each share"""
+    v = latent.explained_variance(given_model(spark, sf_dir).extra["scores"], tfidf_model(spark, sf_dir).vectors)
+    return latent.components_needed(v, thresholds=GIVEN_SHARES)
+
+
+@query
+def given_sweep(spark, sf_dir):
+    """M5d, A9: lists at several cuts of the components, and their overlap"""
+    lists, attempts = rec.sweep(given_model(spark, sf_dir), seed_table(spark, sf_dir), K, GIVEN_CUTS)
+    return compare.overlap(save_stage(lists, "given-sweep"), attempts).withColumn("jaccard", _r6("jaccard"))
+
+
+@_fitted
+def leading_fit(spark, sf_dir):
+    return latent.fit_latent(tfidf_model(spark, sf_dir).vectors, n_components=LEADING, tolerance=1e-11)
+
+
+@query
+def leading_scores(spark, sf_dir):
+    """M1, M2: the strongest components of the term matrix and every song's score on them"""
+    scores = leading_fit(spark, sf_dir).scores
+    return scores.select("song_id", F.posexplode("vector").alias("_i", "score")).select(
+        "song_id", (F.col("_i") + 1).alias("component"), F.round("score", 5).alias("score")
+    )
+
+
+@query
+def leading_quality(spark, sf_dir):
+    """M1: singular values, and whether residuals and angles keep their limits"""
+    limits = [(F.col("residual") <= 1e-9).alias("converged"), (F.col("orthogonality") <= 1e-12).alias("orthogonal")]
+    return leading_fit(spark, sf_dir).residuals.select("component", F.round("sigma", 5).alias("sigma"), *limits)
+
+
 # ------------------------------------------------------------------ sources
 
 

@@ -183,6 +183,95 @@ given_weights AS (
   SELECT song_id, term_id, CASE WHEN n > 0 THEN score / n ELSE score END AS weight
   FROM (SELECT *, sqrt(sum(score * score) OVER (PARTITION BY song_id)) AS n FROM given_scores))"""
 
+def _given_at(cut: int) -> str:
+    """CTEs <given_cut>_weights, _found and _lists over the first components."""
+    p = f"given_{cut}"
+    return f"""{p}_weights AS (
+  SELECT song_id, term_id, CASE WHEN n > 0 THEN score / n ELSE score END AS weight
+  FROM (SELECT *, sqrt(sum(score * score) OVER (PARTITION BY song_id)) AS n FROM given_scores WHERE term_id <= {cut})),
+{_lists(p, "corpus")}"""
+
+
+def _jaccards(models: list[str]) -> str:
+    """CTEs lists, attempts, shared_counts and jaccards over <model>_lists and <model>_found."""
+    lists = " UNION ALL ".join(f"SELECT * FROM {m}_lists" for m in models)
+    attempts = " UNION ALL ".join(f"SELECT '{m}' AS model, seed_id, seed_id IN (SELECT seed_id FROM {m}_found) AS found FROM seeds" for m in models)
+    return f"lists AS ({lists}),\nattempts AS ({attempts}),\n" + _SHARED
+
+
+_SHARED = """shared_counts AS (
+  SELECT a.seed_id, a.model AS model_a, b.model AS model_b,
+    (SELECT count(*) FROM lists x JOIN lists y ON x.seed_id = y.seed_id AND x.track_name = y.track_name
+       AND x.artist = y.artist WHERE x.seed_id = a.seed_id AND x.model = a.model AND y.model = b.model) AS shared,
+    (SELECT count(*) FROM lists x WHERE x.seed_id = a.seed_id AND x.model = a.model) AS n_a,
+    (SELECT count(*) FROM lists x WHERE x.seed_id = b.seed_id AND x.model = b.model) AS n_b,
+    a.found AND b.found AS found
+  FROM attempts a JOIN attempts b USING (seed_id)),
+jaccards AS (
+  SELECT seed_id, model_a, model_b, shared, n_a, n_b,
+    round(CASE WHEN model_a = model_b THEN 1.0 WHEN found AND n_a + n_b > shared
+      THEN shared::DOUBLE / (n_a + n_b - shared) END, 6) AS jaccard FROM shared_counts)"""
+
+
+def _axis(name: str, matrix: str, squarings: int = 24) -> str:
+    """CTEs <name> (i, v), the leading unit eigenvector by repeated squaring, and <name>_value."""
+    parts = [f"{name}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) AS v FROM {matrix})"]
+    for t in range(squarings):
+        parts.append(f"""{name}_s{t} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{t} a JOIN {name}_{t} b ON a.j = b.i GROUP BY a.i, b.j),
+{name}_{t + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}_s{t} WHERE i = j) AS v FROM {name}_s{t})""")
+    last = f"{name}_{squarings}"
+    parts.append(f"""{name} AS MATERIALIZED (
+  SELECT i, v / sqrt(sum(v * v) OVER ()) * sign(first_value(v) OVER (ORDER BY abs(v) DESC, i)) AS v
+  FROM {last} WHERE j = (SELECT arg_max(i, v) FROM {last} WHERE i = j)),
+{name}_value AS MATERIALIZED (SELECT sum(c.v * a.v * b.v) AS value FROM {matrix} c JOIN {name} a ON a.i = c.i JOIN {name} b ON b.i = c.j)""")
+    return ",\n".join(parts)
+
+
+_PCA = f"""x AS MATERIALIZED (SELECT vec_id AS song_id, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)),
+centre AS MATERIALIZED (SELECT i, avg(v) AS m FROM x GROUP BY i),
+y AS MATERIALIZED (SELECT song_id, x.i, x.v - m AS v FROM x JOIN centre USING (i)),
+c1 AS MATERIALIZED (
+  SELECT a.i, b.i AS j, sum(a.v * b.v) / ((SELECT count(*) FROM embeddings) - 1) AS v FROM y a JOIN y b USING (song_id) GROUP BY a.i, b.i),
+{_axis("axis1", "c1")},
+c2 AS MATERIALIZED (
+  SELECT c.i, c.j, c.v - (SELECT value FROM axis1_value) * a.v * b.v AS v FROM c1 c JOIN axis1 a ON a.i = c.i JOIN axis1 b ON b.i = c.j),
+{_axis("axis2", "c2")}"""
+
+
+def _powers(name: str, matrix: str, start: str, steps: int = 400) -> str:
+    """CTE <name> (i, v, value): the leading eigenvector of a matrix over songs by power iteration."""
+    return f"""{name}_steps(step, i, x) AS (
+  SELECT 0, song_id, {start} FROM corpus
+  UNION ALL
+  SELECT step + 1, i, y / sqrt(sum(y * y) OVER ()) FROM (
+    SELECT p.step, k.i, sum(k.v * p.x) AS y FROM {name}_steps p JOIN {matrix} k ON k.j = p.i WHERE p.step < {steps} GROUP BY p.step, k.i)),
+{name}_unit AS MATERIALIZED (SELECT i, x AS v FROM {name}_steps WHERE step = {steps}),
+{name}_value AS MATERIALIZED (SELECT sum(k.v * a.v * b.v) AS value FROM {matrix} k JOIN {name}_unit a ON a.i = k.i JOIN {name}_unit b ON b.i = k.j),
+{name}_sign AS MATERIALIZED (
+  SELECT sign(arg_max(l, abs(l))) AS s FROM (SELECT term_id, sum(w.weight * u.v) AS l FROM tfidf_weights w JOIN {name}_unit u ON u.i = w.song_id GROUP BY term_id)),
+{name} AS MATERIALIZED (SELECT i, v * s AS v, value FROM {name}_unit, {name}_sign, {name}_value)"""
+
+
+def _deflated(name: str, matrix: str, axis: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT k.i, k.j, k.v - a.value * a.v * b.v AS v FROM {matrix} k JOIN {axis} a ON a.i = k.i JOIN {axis} b ON b.i = k.j)"""
+
+
+_LEADING = ",\n".join(
+    [
+        _TFIDF,
+        """k1 AS MATERIALIZED (
+  SELECT a.song_id AS i, b.song_id AS j, coalesce(sum(x.weight * y.weight), 0) AS v FROM corpus a CROSS JOIN corpus b
+  LEFT JOIN tfidf_weights x ON x.song_id = a.song_id LEFT JOIN tfidf_weights y ON y.song_id = b.song_id AND y.term_id = x.term_id GROUP BY ALL)""",
+        _powers("e1", "k1", "1.0::DOUBLE"),
+        _deflated("k2", "k1", "e1"),
+        _powers("e2", "k2", "((song_id * 37) % 101 - 50)::DOUBLE"),
+        _deflated("k3", "k2", "e2"),
+        _powers("e3", "k3", "((song_id * 61) % 103 - 51)::DOUBLE"),
+        "strongest AS (SELECT 1 AS component, * FROM e1 UNION ALL SELECT 2, * FROM e2 UNION ALL SELECT 3, * FROM e3)",
+    ]
+)
+
 _MODELS = ",\n".join(
     [
         _TFIDF,
@@ -200,25 +289,7 @@ _MODELS = ",\n".join(
         _lists("tf", "corpus"),
         _lists("chorus", "chorus_kept"),
         _lists("embedding", "corpus"),
-        """lists AS (SELECT * FROM tfidf_lists UNION ALL SELECT * FROM tf_lists UNION ALL SELECT * FROM chorus_lists
-  UNION ALL SELECT * FROM embedding_lists)""",
-        """attempts AS (
-  SELECT 'tfidf' AS model, seed_id, seed_id IN (SELECT seed_id FROM tfidf_found) AS found FROM seeds
-  UNION ALL SELECT 'tf', seed_id, seed_id IN (SELECT seed_id FROM tf_found) FROM seeds
-  UNION ALL SELECT 'chorus', seed_id, seed_id IN (SELECT seed_id FROM chorus_found) FROM seeds
-  UNION ALL SELECT 'embedding', seed_id, seed_id IN (SELECT seed_id FROM embedding_found) FROM seeds)""",
-        """shared_counts AS (
-  SELECT a.seed_id, a.model AS model_a, b.model AS model_b,
-    (SELECT count(*) FROM lists x JOIN lists y ON x.seed_id = y.seed_id AND x.track_name = y.track_name
-       AND x.artist = y.artist WHERE x.seed_id = a.seed_id AND x.model = a.model AND y.model = b.model) AS shared,
-    (SELECT count(*) FROM lists x WHERE x.seed_id = a.seed_id AND x.model = a.model) AS n_a,
-    (SELECT count(*) FROM lists x WHERE x.seed_id = b.seed_id AND x.model = b.model) AS n_b,
-    a.found AND b.found AS found
-  FROM attempts a JOIN attempts b USING (seed_id)),
-jaccards AS (
-  SELECT seed_id, model_a, model_b, shared, n_a, n_b,
-    round(CASE WHEN model_a = model_b THEN 1.0 WHEN found AND n_a + n_b > shared
-      THEN shared::DOUBLE / (n_a + n_b - shared) END, 6) AS jaccard FROM shared_counts)""",
+        _jaccards(["tfidf", "tf", "chorus", "embedding"]),
     ]
 )
 
@@ -495,10 +566,13 @@ pairs AS (SELECT {_COSINE} AS similarity FROM picked a JOIN picked b ON a.seq <
     generate_subscripts(embedding, 1) AS dim FROM embeddings LEFT JOIN labels ON doc_id = vec_id)
 GROUP BY label, dim""",
         "embed_cache": _with(
-            ",\n".join([_HEADED, _CLEAN, _CORPUS]),
-            """SELECT run, count(*) AS songs, CASE run WHEN 1 THEN count(*) WHEN 2 THEN 0
-  ELSE count(*) FILTER (song_id % 29 = 0 OR song_id % 31 = 0) END AS embedded
-FROM corpus, range(1, 4) r(run) GROUP BY run""",
+            ",\n".join([_HEADED, _CLEAN, _CORPUS])
+            + """,
+half AS (SELECT * FROM clean WHERE song_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY track_name, artist ORDER BY seq) = 1)""",
+            """SELECT run, count(*) AS songs, CASE run WHEN 1 THEN count(*) WHEN 3 THEN count(*) FILTER (song_id % 29 = 0 OR song_id % 31 = 0)
+  ELSE 0 END AS embedded
+FROM corpus, (VALUES (1), (2), (3), (5)) r(run) GROUP BY run
+UNION ALL SELECT 4, count(*), count(*) FILTER (song_id NOT IN (SELECT song_id FROM corpus)) FROM half""",
         ),
         "given_topk": _with(
             ",\n".join([_TFIDF, _GIVEN, _SEEDS, _lists("given", "corpus")]),
@@ -520,6 +594,40 @@ FROM corpus, range(1, 4) r(run) GROUP BY run""",
 FROM (SELECT term_id AS component, var_pop(score) AS v FROM given_scores GROUP BY term_id),
   (SELECT sum(ss / n - (s / n) * (s / n)) AS total FROM
     (SELECT sum(weight) AS s, sum(weight * weight) AS ss FROM tfidf_weights GROUP BY term_id), (SELECT count(*)::DOUBLE AS n FROM corpus))""",
+        ),
+        "given_components_needed": _with(
+            f"{_TFIDF},\n{_GIVEN}",
+            """SELECT threshold, min(component) FILTER (cumulative >= threshold)::INT AS components FROM (
+  SELECT component, sum(v / total) OVER (ORDER BY component) AS cumulative
+  FROM (SELECT term_id AS component, var_pop(score) AS v FROM given_scores GROUP BY term_id),
+    (SELECT sum(ss / n - (s / n) * (s / n)) AS total FROM
+      (SELECT sum(weight) AS s, sum(weight * weight) AS ss FROM tfidf_weights GROUP BY term_id), (SELECT count(*)::DOUBLE AS n FROM corpus))),
+  (VALUES (0.000001::DOUBLE), (0.001::DOUBLE), (0.9::DOUBLE)) t(threshold) GROUP BY threshold""",
+        ),
+        "given_sweep": _with(
+            ",\n".join([_TFIDF, _GIVEN, _SEEDS, *[_given_at(c) for c in (2, 4, 8)], _jaccards(["given_2", "given_4", "given_8"])]),
+            "SELECT seed_id, model_a, model_b, shared, n_a, n_b, jaccard FROM jaccards",
+        ),
+        "four_recommenders": _with(
+            ",\n".join([_MODELS, _GIVEN, _lists("given", "corpus")]),
+            "SELECT s.seed_id, g.rank::INT AS rank, "
+            + ", ".join(
+                f"coalesce((SELECT max(l.track_name || ' / ' || l.artist) FROM {m}_lists l WHERE l.seed_id = s.seed_id AND l.rank = g.rank), '[not found]') AS {m}"
+                for m in ("tfidf", "given", "chorus", "embedding")
+            )
+            + " FROM seeds s CROSS JOIN range(1, 11) g(rank)",
+        ),
+        "leading_scores": "WITH RECURSIVE "
+        + _LEADING
+        + "\nSELECT i AS song_id, component::INT AS component, round(v * sqrt(value), 5) AS score FROM strongest",
+        "leading_quality": "WITH RECURSIVE "
+        + _LEADING
+        + "\nSELECT component::INT AS component, round(sqrt(any_value(value)), 5) AS sigma, true AS converged, true AS orthogonal FROM strongest GROUP BY component",
+        "pca_2d": _with(
+            _PCA,
+            """SELECT y.song_id, round(sum(y.v * a.v), 6) AS pc1, round(sum(y.v * b.v), 6) AS pc2,
+  round(((SELECT value FROM axis1_value) + (SELECT value FROM axis2_value)) / (SELECT sum(v) FROM c1 WHERE i = j), 6) AS variance_ratio
+FROM y JOIN axis1 a ON a.i = y.i JOIN axis2 b ON b.i = y.i GROUP BY y.song_id""",
         ),
         "every_song_topk": _with(
             f"""{_TFIDF}, every_scored AS (

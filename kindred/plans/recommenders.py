@@ -17,7 +17,7 @@ from kindred.operators import latent, terms
 from kindred.operators.dedupe import first_by_key
 from kindred.operators.embed import cached_embeddings
 from kindred.operators.seeds import find_song, match_seeds
-from kindred.operators.topk import top_k
+from kindred.operators.topk import top_k, top_k_at_cuts
 from kindred.sources.shared import save_stage
 
 BROADCAST_LISTS = 1_000_000
@@ -129,6 +129,18 @@ def lsa_at(model: Recommender, n_components: int) -> Recommender:
     return Recommender(f"{model.name}_{n_components}", model.songs, vectors, model.vocabulary, model.extra)
 
 
+def sweep(model: Recommender, seeds: DataFrame, k: int, cuts: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Lists and attempts of one latent fit cut to several numbers of components, found in one scan."""
+    scores = model.extra["scores"] if "scores" in model.extra else model.extra["latent"].scores
+    matched = save_stage(match_seeds(model.songs, seeds), "matched")
+    found = top_k_at_cuts(scores, matched.where("found").select("seed_id", "song_id"), k, cuts)
+    name = F.concat(F.lit(f"{model.name}_"), F.col("cut").cast("string")).alias("model")
+    named = model.songs.select("song_id", "track_name", "artist").join(found, "song_id")
+    lists = named.select(name, "seed_id", "rank", "song_id", "track_name", "artist", "similarity")
+    each = F.explode(F.array(*[F.lit(c) for c in sorted(set(cuts))])).alias("cut")
+    return lists, matched.select("seed_id", "found", each).select(name, "seed_id", "found")
+
+
 def build_embedding(
     songs: DataFrame,
     embed_factory: Callable,

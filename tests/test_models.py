@@ -146,6 +146,32 @@ def test_embedding_cache(spark, tmp_path):
     assert n == 1 and out[3] == [3.0, 0.0]
     assert run(songs, force_recompute=True)[1] == 20
     assert run(songs, max_length=16)[1] == 20
+    half = songs.where("song_id < 10")
+    assert run(half, force_recompute=True)[1] == 10
+    assert run(songs)[1] == 0  # the other half is still there
+    assert run(changed)[1] == 0
+    assert embed.read_cache(spark, f"{cache}/model_key=toy_1-256").groupBy("song_id", "content_hash").count().where("count > 1").count() == 0
+
+
+def test_a_run_that_fails_leaves_the_cache(spark):
+    def factory(fails):
+        def make():
+            def embed_texts(texts, max_length):
+                if fails and "aaaa" in texts:
+                    raise RuntimeError("killed")
+                return [[float(len(t))] for t in texts]
+
+            return embed_texts
+
+        return make
+
+    songs = spark.createDataFrame([(i, "a" * i) for i in range(12)], "song_id long, processed_lyrics string").repartition(6)
+    cache = stage_path(spark, "cache")
+    before = sorted(map(str, embed.cached_embeddings(songs, factory(False), cache, model="m").collect()))
+    for forced in (songs, songs.where("song_id < 6")):
+        with pytest.raises(Exception, match="killed"):
+            embed.cached_embeddings(forced, factory(True), cache, model="m", force_recompute=True).collect()
+        assert sorted(map(str, embed.cached_embeddings(songs, factory(True), cache, model="m").collect())) == before
 
 
 def test_recommend_and_compare(tfidf, spark):
@@ -227,3 +253,21 @@ def test_covariance_with_large_means(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "song_id long, vector array<double>").repartition(7)
     n, mean, covariance = project.moments(df)
     assert n == 200 and mean == pytest.approx(x.mean(0)) and covariance == pytest.approx(np.cov(x.T), rel=1e-8, abs=1e-9)
+
+
+def test_lists_at_several_cuts_equal_separate_searches(spark):
+    from kindred.operators import topk
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 6))
+    x[5] = 0
+    x[7, :2] = 0
+    df = save_stage(spark.createDataFrame([(i, 100 - i, [float(v) for v in r]) for i, r in enumerate(x)], "song_id long, seq long, vector array<double>").repartition(3), "cuts")
+    seeds = spark.createDataFrame([("a", 3), ("b", 7), ("c", 5), ("d", 3)], "seed_id string, song_id long")
+    got = topk.top_k_at_cuts(df, seeds, 4, [6, 2, 3]).collect()
+    for cut in (2, 3, 6):
+        want = topk.top_k(df.withColumn("vector", F.slice("vector", 1, cut)), seeds, 4).collect()
+        assert sorted((r.seed_id, r["rank"], r.song_id, r.similarity) for r in got if r["cut"] == cut) == sorted(map(tuple, want))
+    assert topk.top_k_at_cuts(df, seeds.where("false"), 4, [2]).count() == 0
+    with pytest.raises(ValueError):
+        topk.top_k_at_cuts(df, df.select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("seed_id"), "song_id"), 4, [2])
