@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,9 +29,9 @@ from pyspark.sql import functions as F
 #: as the white space that Unicode defines (Python's own \s has four control characters more).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters of text that are cut into pieces before the index over them is built.
-CHUNK_CHARS = 24 << 20
+CHUNK_CHARS = 8 << 20
 #: Distinct pieces of a partition whose ids are kept; beyond, they are found anew.
-KEPT_PIECES = 1 << 20
+KEPT_PIECES = 1 << 18
 
 
 def _pattern(letter: str, number: str, space: str) -> str:
@@ -229,8 +228,6 @@ class PieceIds:
         self.ids = np.concatenate([self.ids, ids])
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
-        if len(self.number) > KEPT_PIECES:
-            self.forget()
         number, numbered = self.number, []
         for text in texts:
             row = []
@@ -246,6 +243,8 @@ class PieceIds:
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(row) else 0
             out.append(self.ids[np.repeat(self.starts[row] - ends + n, n) + np.arange(total)].tobytes())
+        if len(number) > KEPT_PIECES:
+            self.forget()
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -280,11 +279,13 @@ def share(spark: SparkSession, vocabulary: Vocabulary):
 def encode(df: DataFrame, shared, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
     """Add ``ids`` (packed little-endian unsigned 32-bit) and their number."""
 
+    known: list[PieceIds] = []  # each task gets an empty list of its own, as the function is read anew
+
     @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = PieceIds(shared.value)
-        for texts in batches:
-            yield pd.Series(known.encode(list(texts)), dtype=object)
+    def packed(texts: pd.Series) -> pd.Series:
+        if not known:
+            known.append(PieceIds(shared.value))
+        return pd.Series(known[0].encode(list(texts)), dtype=object)
 
     return df.withColumn(ids, packed(F.col(text))).withColumn(n_tokens, (F.octet_length(ids) / 4).cast("long"))
 
