@@ -57,7 +57,7 @@ def strip_space(col: Column | str) -> Column:
 def strip_footer(lowered: Column | str) -> Column:
     """Remove ``<digits>embed...`` from the last line of a lower-cased text."""
     c = _c(lowered)
-    footer = r"(?iud)\p{Nd}*embed.*$"
+    footer = r"(?iud)\p{Nd}*embed.*$"  # fixed value
     return F.when(c.contains("embed"), F.regexp_replace(c, footer, "")).otherwise(c)
 
 
@@ -67,7 +67,8 @@ def strip_brackets(col: Column | str, *, across_lines: bool = False) -> Column:
     Within one line by default (an empty ``[]`` goes too); ``across_lines``
     lets a bracket close on a later line but needs at least one character.
     """
-    return F.regexp_replace(_c(col), r"\[[^\]]+\]" if across_lines else r"(?d)\[.*?\]", "")
+    bracket = r"\[[^\]]+\]" if across_lines else r"(?d)\[.*?\]"  # fixed values
+    return F.regexp_replace(_c(col), bracket, "")
 
 
 def strip_punctuation(col: Column | str) -> Column:
@@ -205,7 +206,7 @@ def section_blocks(col: Column | str) -> Column:
     so the work is linear in the text and stays inside its row.
     """
     lines = F.regexp_replace(_c(col), _LINE_END, "\n")
-    header = rf"(?md)^{_LINE_SPACE}*\[([^\]\n]+)\].*$"
+    header = rf"(?md)^{_LINE_SPACE}*\[([^\]\n]+)\].*$"  # fixed value
     marked = F.regexp_replace(lines, header, f"{_BLOCK_MARK}$1{_LABEL_MARK}")
     headed = F.filter(F.split(marked, _BLOCK_MARK), lambda p, i: i > 0)
     blocks = F.transform(
