@@ -27,8 +27,20 @@ def test_changed_parameters_are_caught_if_consistent(spark):
         "",
     ]
     got = found(spark, texts)
-    assert set(got) == {(0, 0), (1, 0), (4, 1)} and got[(0, 0)] == 0 and got[(1, 0)] >= 3
-    assert found(spark, texts, broadcast_windows=0) == got
+    # The third text holds 18 verbatim words in a row behind the changed name.
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (4, 1)} and got[(0, 0)] == 0 and got[(1, 0)] >= 3 and got[(2, 0)] == 1
+    assert found(spark, texts, broadcast_windows=0) == got == found(spark, texts, broadcast_items=0) == found(spark, texts, broadcast_windows=0, broadcast_items=0)
+
+
+def test_names_that_conflict_cut_a_run_and_do_not_join_what_lies_beside(spark):
+    a, b = LONG.split()[:16], "no boat was ever seen to leave the quiet bay".split()
+    item = " ".join([*a, "Alice", *b, "and", "Alice"])
+    one = item.replace("Alice", "Robert", 1)
+    torn = " ".join([*a[:8], "Alice", *b[:6], "Alice", *a[8:12]])
+    texts = [item, one, item.replace("Alice", "Robert"), torn.replace("Alice", "Robert", 1)]
+    got = found(spark, texts, (item, torn))
+    assert {k[0] for k in got if k[1] == 0} == {0, 1, 2} and got[(2, 0)] == 2 and got[(0, 0)] == 0
+    assert (3, 1) in got and found(spark, [" ".join([*a[:8], "Robert", *b[:3], "Alice", *b[3:6]])], (" ".join([*a[:8], "Alice", *b[:3], "Alice", *b[3:6]]),)) == {}
 
 
 def test_stretches_beside_a_changed_value_and_every_run_are_judged(spark):
@@ -50,6 +62,8 @@ def test_stretches_beside_a_changed_value_and_every_run_are_judged(spark):
 
 def test_short_items_and_odd_tables(spark):
     items = ("the quick brown fox leaps over", "too short", "", None)
+    assert found(spark, ["Too short!", "this is too short", "too  SHORT", "too shorter", "short"], items) == {(0, 1): 0, (2, 1): 0}
+    assert found(spark, ["Ask Rome", "ask rome", "ask 5 km", "ask 6 km"], ("ask Rome", "Ask 5 km"), broadcast_windows=0) == {(0, 0): 0, (1, 0): 0, (2, 1): 0}
     assert found(spark, ["see, the quick brown fox leaps over it", "the quick brown fox"], items) == {(0, 0): 0}
     assert found(spark, ["some text of enough words to look at it twice"], ()) == {}
     assert found(spark, [], (Q,)) == {}
