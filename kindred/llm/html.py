@@ -11,16 +11,18 @@ read as browsers read them.  Scripts, styles and other raw text are never blocks
 
 Defined results: a null or empty html gives an empty text; a page without content gives an empty
 text; rows that repeat are read each by itself; other columns pass through and an output column
-replaces an input column of its name.  Work grows with the page's blocks: each has at most three
-edges, and the flow is searched along them.
+replaces an input column of its name.  An svg or math element without an end tag is passed over and
+the page goes on behind its opening tag.  Reading is linear in the page however deep its tags are
+nested: what the open tags say is carried from each tag to the next one inside it.  A block has at
+most three edges, and the flow is searched along them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
-from dataclasses import dataclass, field
+from collections import defaultdict, deque
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 #: Fixed values of the markup language: tags whose content is not markup, that have no content, that
 #: stand inside a line of text, and what an opening tag closes.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes", "svg", "math"}
+FOREIGN = {"svg", "math"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong "
@@ -45,6 +48,8 @@ BLOCK = set(
 )
 #: Within these, an opening li, td and so on doesn't close one further out.
 SCOPES = set("ul ol dl table article section div body html main aside nav header footer form".split())
+#: Blocks of these belong to what stands around them.
+LEAVES = set("p li td th h1 h2 h3 h4 h5 h6 blockquote pre".split())
 SECTIONS = set("article main section aside nav header footer form div table ul ol body".split())
 
 TAG = re.compile(r"<!--.*?(?:--!?>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(>|$)|<[!?/][^>]*(?:>|$)", re.S)
@@ -69,20 +74,39 @@ NEXT_EDGE, PARENT_EDGE = 0.6, 0.9
 
 
 @dataclass
-class Block:
-    text: str
-    linked: int
-    path: tuple
-    weight: float
+class Node:
+    """An open tag, with what it and the tags around it say together.
+
+    Boilerplate within content counts in full, content within boilerplate for a quarter; but an
+    article inside a mere nav or header tag, which was then left open, is an article.
+    """
+
+    tag: str = ""
+    weight: float = 0.0
+    number: int = 0
+    parent: Node | None = None
+
+    def __post_init__(self):
+        above = self.parent
+        total, named = (above.total, above.named) if above else (0.0, False)
+        if self.weight >= 5:
+            total = max(total, 0.0) + self.weight
+            named = named or self.tag not in ("nav", "header", "form")
+        elif self.tag in ("article", "main") and not named:
+            total = min(total, 0.0) + self.weight
+        else:
+            total += self.weight if total <= 0 else self.weight / 4
+        self.total, self.named = total, named
+        self.section = self.number if self.tag in SECTIONS else above.section if above else 0
+        #: The outermost tags around the node, itself included.
+        self.head = (*above.head, self.number) if above and len(above.head) < 2 else above.head if above else ()
 
 
 @dataclass
-class Node:
-    tag: str
-    names: frozenset = frozenset()
-    hidden: bool = False
-    weight: float = 0.0
-    number: int = field(default=0)
+class Block:
+    text: str
+    linked: int
+    node: Node
 
 
 def _node_weight(tag: str, names: frozenset, hidden: bool, top: bool) -> float:
@@ -102,33 +126,22 @@ def _node_weight(tag: str, names: frozenset, hidden: bool, top: bool) -> float:
     return max(tag_weight, name_weight) if max(tag_weight, name_weight) > 0 else min(tag_weight, name_weight)
 
 
-def _path_weight(path: tuple) -> float:
-    """What the open tags say together.
+class _Reader:
+    """Collects the blocks of one page.
 
-    Boilerplate within content counts in full, content within boilerplate for a quarter; but an
-    article inside a mere nav or header tag, which was then left open, is an article.
+    Of the tags inside a line only links matter, so only they are remembered, with the depth they were
+    opened at.  For each tag the places in the stack where it is open are kept, so no tag searches it.
     """
-    total, named = 0.0, False
-    for n in path:
-        if n.weight >= 5:
-            total = max(total, 0.0) + n.weight
-            named = named or n.tag not in ("nav", "header", "form")
-        elif n.tag in ("article", "main") and not named:
-            total = min(total, 0.0) + n.weight
-        else:
-            total += n.weight if total <= 0 else n.weight / 4
-    return total
-
-
-class _Reader:
-    """Collects the blocks of one page."""
 
     def __init__(self):
-        self.stack: list[Node] = [Node("")]
+        self.stack: list[Node] = [Node()]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = [0]
+        self.links: list[int] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.path: tuple = ()
+        self.node: Node | None = None
         self.numbers = 0
 
     def text(self, raw: str) -> None:
@@ -136,9 +149,8 @@ class _Reader:
             return
         text = entities.unescape(raw) if "&" in raw else raw
         if text.strip():
-            if not any(p.strip() for p in self.parts):
-                self.path = tuple(n for n in self.stack if n.tag not in INLINE)
-            if any(n.tag == "a" for n in self.stack):
+            self.node = self.node or self.stack[-1]
+            if self.links:
                 self.linked += len("".join(text.split()))
         self.parts.append(text)
 
@@ -146,54 +158,61 @@ class _Reader:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, self.linked, self.path, _path_weight(self.path)))
-            self.parts, self.linked = [], 0
+                self.blocks.append(Block(text, self.linked, self.node))
+            self.parts, self.linked, self.node = [], 0, None
+
+    def _cut(self, k: int) -> None:
+        """Close all tags from place ``k`` on, and the links opened within them."""
+        while len(self.stack) > k:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+        while self.links and self.links[-1] > k:
+            self.links.pop()
 
     def open(self, tag: str, attributes: str) -> None:
-        if tag not in INLINE:
-            self.flush()
-        if tag in BLOCK and any(n.tag == "p" for n in self.stack):
-            self._close_within("p")
+        if tag in INLINE:
+            if tag == "a":
+                self.links.append(len(self.stack))
+            return
+        self.flush()
+        if tag in BLOCK and self.places["p"]:
+            self._cut(self.places["p"][-1])
         if tag in CLOSES:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k].tag in CLOSES[tag]:
-                    del self.stack[k:]
-                    break
-                if self.stack[k].tag in SCOPES:
-                    break
+            last = max((self.places[t][-1] for t in CLOSES[tag] if self.places[t]), default=0)
+            if last > self.scopes[-1]:
+                self._cut(last)
         if tag in VOID:
             return
         found = NAMED.findall(attributes) if attributes else ()
         words = re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join("".join(f) for f in found)) if found else ""
         names = frozenset(WORD.findall(words.lower()))
         hidden = bool(attributes) and HIDDEN.search(attributes) is not None
-        top = not any(n.tag in ("article", "main", "section") for n in self.stack)
+        top = not any(self.places[t] for t in ("article", "main", "section"))
         self.numbers += 1
         weight = _node_weight(tag, names, hidden, top)
-        if tag in CONTENT_TAGS and any(n.tag == tag for n in self.stack):
+        if tag in CONTENT_TAGS and self.places[tag]:
             weight = max(weight, 0.0)  # an article within an article says nothing more
-        self.stack.append(Node(tag, names, hidden, weight, self.numbers))
+        self.places[tag].append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(Node(tag, weight, self.numbers, self.stack[-1]))
 
     def close(self, tag: str) -> None:
-        if tag not in INLINE:
-            self.flush()
-        self._close_within(tag)
-
-    def _close_within(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                if tag in INLINE:
-                    del self.stack[k]
-                else:
-                    # formatting that was left open goes on behind the block, as in browsers, but not links
-                    kept = [n for n in self.stack[k + 1 :] if n.tag in INLINE and n.tag != "a"]
-                    self.stack[k:] = kept
-                return
+        """Formatting that was left open goes on behind a block, as in browsers, but not links."""
+        if tag in INLINE:
+            if tag == "a" and self.links:
+                self.links.pop()
+            return
+        self.flush()
+        if self.places[tag]:
+            self._cut(self.places[tag][-1])
 
 
 def read_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
-    reader, at, low = _Reader(), 0, None
+    reader, at, low, endless = _Reader(), 0, None, set()
     while True:
         m = TAG.search(page, at)
         if not m:
@@ -209,13 +228,16 @@ def read_blocks(page: str) -> list[Block]:
         if m[1]:
             reader.close("p" if tag == "p" else tag)
         elif tag in RAW:
-            if m[3].endswith("/") and tag in ("svg", "math"):
+            if tag in FOREIGN and (m[3].endswith("/") or tag in endless):
                 continue
             if tag not in INLINE:
                 reader.flush()
             low = page.lower() if low is None else low
             low = low if len(low) == len(page) else re.sub("[A-Z]", lambda c: c[0].lower(), page)
             stop = low.find(f"</{tag}", at)
+            if stop < 0 and tag in FOREIGN:
+                endless.add(tag)
+                continue
             if stop < 0:
                 break
             stop = page.find(">", stop)
@@ -234,7 +256,7 @@ def classify(block: Block) -> float:
     """Log-odds of boilerplate."""
     size = len(block.text)
     solid = len("".join(block.text.split()))
-    score = BIAS + block.weight + LINKED * (block.linked / solid if solid else 0.0)
+    score = BIAS + block.node.total + LINKED * (block.linked / solid if solid else 0.0)
     score += LONG * min(1.0, size / 200) + (ENDED if block.text[-1:] in ".!?\"”»" else 0.0)
     return score
 
@@ -243,10 +265,9 @@ def _edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness between neighbours of the same section, and along each parent and section."""
     out, last_parent, last_section = [], {}, {}
     for k, b in enumerate(blocks):
-        parents = b.path[:-1] if b.path and b.path[-1].tag in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") else b.path
-        parent = parents[-1].number if parents else 0
-        section = next((n.number for n in reversed(b.path) if n.tag in SECTIONS), 0)
-        if k and b.path[:3] == blocks[k - 1].path[:3]:
+        parent = b.node.parent.number if b.node.tag in LEAVES else b.node.number
+        section = b.node.section
+        if k and b.node.head == blocks[k - 1].node.head:
             out.append((k - 1, k, NEXT_EDGE))
         for last, key in ((last_parent, parent), (last_section, section)):
             if key in last:

@@ -2,6 +2,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -57,6 +58,21 @@ def test_cut_is_minimal():
         assert cost(html.min_cut(costs, edges), costs, edges) == pytest.approx(best)
 
 
+def test_svg_and_math_without_end_do_not_end_the_page():
+    assert html.main_text(f"<article><p>{LONG}</p><svg><path d='M0'><p>After {LONG}</p><math><p>More {LONG}</article>") == f"{LONG}\nAfter {LONG}\nMore {LONG}"
+    assert html.main_text(f"<article><p>{LONG}<svg><text>no</text></svg><math/></p></article>") == LONG
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x" * 100_000, "<li><ul>" + "<x>" * 50_000 + "<li>a</li>" * 50_000, "<b>" * 50_000 + "<div>" * 50_000 + "</b>" * 50_000 + "<p>end.",
+    "<a><div>" * 50_000 + "</div>" * 50_000, "<svg>" * 100_000, "<i> </i>" * 50_000 + "<i>y</i>" * 50_000, "<x>" * 50_000 + "</y>" * 50_000,
+])
+def test_reading_is_linear_however_deep(page):
+    start = time.process_time()
+    html.read_blocks(page)
+    assert time.process_time() - start < 5
+
+
 def test_rows_and_columns(spark):
     df = spark.createDataFrame([(1, None, 5), (1, None, 5), (2, "<p>" + LONG, 6), (3, "x" * 200_000 + "<" * 5000, 7)], "page_id long, html string, text int")
     got = html.extract(df).orderBy("page_id").collect()
