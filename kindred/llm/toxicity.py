@@ -1,22 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are mapped to symbols: insult (with a learned weight), threat, target, negation, reported
-speech, or other.  One transducer per kind reads the symbols of a clause and they are composed: the
-product automaton walks a clause once, and its weight depends on what stands before and after an
-insult or threat.  An insult next to a target counts more, one under negation or in reported speech
-counts less, a threat counts with a target.  A document's evidence is the weight of its matched
-clauses; a logistic curve fitted to labelled documents turns it into a score.
+speech, or other.  One transducer per kind is a table of states and arcs; ``compose`` multiplies them
+into one machine, which walks a clause from left to right and tells at each insult or threat whether
+it stands under a negation, in reported speech and behind a target.  A target may also follow, so the
+target's transducer walks the clause from right to left as well.  Each such context has a weight: an
+insult next to a target counts more, one under negation or in reported speech less, a threat only with
+a target.  A document's evidence is the weight of its matched clauses; a logistic curve fitted to
+labelled documents turns it into a score.
 
 What is learned comes from the training rows only: for whole words and word stems (first letters),
 the documents of either label that hold them are counted over all training rows, each group of near
-copies once, by a shuffle; those
-that labels tell apart beyond doubt become the lexicon, at most ``LEXICON`` of them, which is small
-enough to broadcast.  The curve is fitted on a sample of at most ``FIT_ROWS`` labelled rows, taken by
-hash.  Labels, language, source and id are never inputs of a score.
+copies once, by a shuffle; those that labels tell apart beyond doubt become the lexicon.  An entry
+with a chosen stem of no less weight says nothing more and is left out; all others are kept, however
+many.  The weights of the contexts and the curve are fitted on a sample of at most ``FIT_ROWS``
+labelled rows, taken by hash; a weight leaves its default only for a clear gain in likelihood.
+Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts have no clause and get the score of no evidence; without
 labelled rows of both kinds the lexicon is empty and every score is the share of toxic labels (0.5 if
-there are none); rows that repeat are scored each by itself; other columns pass through.
+there are none); very long texts are read whole, clause by clause, in time linear in them; rows that
+repeat are scored each by itself; other columns pass through, except that the outputs ``evidence``,
+``matched_clauses`` and ``score`` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -36,8 +41,8 @@ from pyspark.sql import types as T
 from kindred.llm import quality
 from kindred.sources.shared import broadcast_if_bounded, save_stage
 
-#: Documented bounds of what is learned.
-LEXICON, FIT_ROWS = 4000, 20_000
+#: Documented bound of the rows that the context weights and the curve are fitted on.
+FIT_ROWS = 20_000
 HELD_FEATURES, BROADCAST_LABELS = 500_000, 1_000_000
 STEMS = (3, 4, 5, 6)
 #: An entry's log-likelihood ratio against chance (30 is met by chance once in 20 million entries),
@@ -58,7 +63,48 @@ QUOTES = re.compile(r"[\"“”«»„]")
 OTHER, INSULT, THREATENS, TARGETS, NEGATES, REPORTS = range(6)
 #: Words that negation reaches, and words that a target reaches.
 NEGATED, AIMED = 3, 4
-TARGET_BONUS, NEGATED_SHARE, REPORTED_SHARE, THREAT_WEIGHT = 0.25, 0.5, 0.75, 1.0
+#: Values tried for the weights of the contexts, and the least gain in log-likelihood for a change.
+TRIED = {"target": (1.0, 1.25, 1.5, 2.0, 3.0), "negated": (0.0, 0.1, 0.25, 0.5, 0.75, 1.0), "reported": (0.0, 0.1, 0.25, 0.5, 0.75, 1.0), "threat": (0.0, 0.5, 1.0, 2.0, 4.0)}
+LEAST_GAIN = 3.0
+#: A context is negated + 2 * reported + 4 * aimed + 8 * threat.
+CONTEXTS = 16
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``arcs[state][symbol]`` is the next state; ``out[state]`` is said of a word that is met there."""
+
+    arcs: tuple[tuple[int, ...], ...]
+    out: tuple[tuple[int, ...], ...]
+
+
+def within(symbol: int, reach: int) -> Transducer:
+    """Says 1 of the ``reach`` words behind ``symbol``; a state is the number of words still reached."""
+    arcs = tuple(tuple(reach if s == symbol else max(0, left - 1) for s in range(6)) for left in range(reach + 1))
+    return Transducer(arcs, tuple((int(left > 0),) for left in range(reach + 1)))
+
+
+def ever(symbol: int) -> Transducer:
+    """Says 1 of all words behind ``symbol``."""
+    return Transducer(tuple(tuple(int(seen or s == symbol) for s in range(6)) for seen in (0, 1)), ((0,), (1,)))
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that runs both over one input and says what both say; only states that can be met."""
+    place, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+    for x, y in todo:
+        row = []
+        for pair in zip(a.arcs[x], b.arcs[y], strict=True):
+            if pair not in place:
+                place[pair] = len(todo)
+                todo.append(pair)
+            row.append(place[pair])
+        arcs.append(tuple(row))
+    return Transducer(tuple(arcs), tuple(a.out[x] + b.out[y] for x, y in todo))
+
+
+BEFORE = compose(compose(within(NEGATES, NEGATED), ever(REPORTS)), within(TARGETS, AIMED))
+BEHIND = within(TARGETS, AIMED)
 
 
 @dataclass
@@ -69,6 +115,19 @@ class Grammar:
     stems: dict[str, float] = field(default_factory=dict)
     slope: float = 1.0
     shift: float = 0.0
+    target: float = 1.25
+    negated: float = 0.5
+    reported: float = 0.75
+    threat: float = 1.0
+
+    def shares(self) -> list[float]:
+        """Weight of each context."""
+        out = []
+        for c in range(CONTEXTS):
+            share = (self.negated if c & 1 else 1.0) * (self.reported if c & 2 else 1.0)
+            insult = self.target if c & 4 else 1.0
+            out.append(share * ((self.threat if c & 4 else 0.0) if c & 8 else insult))
+        return out
 
     def symbol(self, word: str) -> tuple[int, float]:
         """The symbol that a word emits, with its weight."""
@@ -80,52 +139,28 @@ class Grammar:
             return INSULT, weight
         for known, symbol in ((THREAT, THREATENS), (TARGET, TARGETS), (NEGATION, NEGATES), (REPORT, REPORTS)):
             if word in known:
-                return symbol, THREAT_WEIGHT
+                return symbol, 1.0
         return OTHER, 0.0
 
 
-def compose(symbols: list[tuple[int, float]], quoted: bool = False) -> float:
-    """Weight of a clause: one walk of the product of the transducers.
-
-    The state is (words since a negation, words since a target, reported or not, pending weight): a
-    pending insult or threat is emitted when a target follows within reach or the reach ends.
-    """
-    negated, aimed, reported = NEGATED + 1, AIMED + 1, quoted
-    pending: list[list[float]] = []
-    total = 0.0
-    for symbol, weight in symbols:
-        negated, aimed = negated + 1, aimed + 1
-        for p in pending:
-            p[2] += 1
-        if symbol == NEGATES:
-            negated = 0
-        elif symbol == REPORTS:
-            reported = True
-        elif symbol == TARGETS:
-            aimed = 0
-            for p in pending:
-                p[1] = 1.0
-        elif symbol in (INSULT, THREATENS):
-            share = (NEGATED_SHARE if negated <= NEGATED else 1.0) * (REPORTED_SHARE if reported else 1.0)
-            pending.append([weight * share, 1.0 if aimed <= AIMED else 0.0, 0, symbol])
-        while pending and pending[0][2] >= AIMED:
-            total += _emit(pending.pop(0))
-    return total + sum(map(_emit, pending))
-
-
-def _emit(entry: list[float]) -> float:
-    weight, aimed, _, symbol = entry
-    if symbol == THREATENS:
-        return weight if aimed else 0.0
-    return weight * (1 + TARGET_BONUS * aimed)
-
-
-def evidence(text: str | None, grammar: Grammar, symbols: dict[str, tuple[int, float]]) -> tuple[float, int]:
-    """Weight of the matched clauses of a text, and their number; ``symbols`` remembers words."""
-    if not text:
-        return 0.0, 0
-    total, matched = 0.0, 0
-    low = text.lower().replace("'", "").replace("’", "")
+def found_contexts(symbols: list[tuple[int, float]], quoted: bool = False) -> list[tuple[int, float]]:
+    """(context, weight) of each insult and threat of a clause; a quoted clause is reported speech."""
+    behind, state = [0] * len(symbols), 0
+    for k in range(len(symbols) - 1, -1, -1):
+        (behind[k],) = BEHIND.out[state]
+        state = BEHIND.arcs[state][symbols[k][0]]
+    out, state = [], BEFORE.arcs[0][REPORTS] if quoted else 0
+    for k, (symbol, weight) in enumerate(symbols):
+        if symbol in (INSULT, THREATENS):
+            negated, reported, aimed = BEFORE.out[state]
+            out.append((negated + 2 * reported + 4 * (aimed | behind[k]) + 8 * (symbol == THREATENS), weight))
+        state = BEFORE.arcs[state][symbol]
+    return out
+
+
+def clauses(text: str | None, grammar: Grammar, symbols: dict[str, tuple[int, float]]) -> Iterator[list[tuple[int, float]]]:
+    """Contexts of each clause that holds an insult or a threat; ``symbols`` remembers words."""
+    low = (text or "").lower().replace("'", "").replace("’", "")
     for m in CLAUSE.finditer(low):
         clause = m[0]
         found = []
@@ -135,10 +170,23 @@ def evidence(text: str | None, grammar: Grammar, symbols: dict[str, tuple[int, f
                 symbol = symbols[word] = grammar.symbol(word)
             found.append(symbol)
         if any(s in (INSULT, THREATENS) for s, _ in found):
-            weight = compose(found, QUOTES.search(clause) is not None)
-            total += weight
-            matched += weight > 0
-    return total, matched
+            yield found_contexts(found, QUOTES.search(clause) is not None)
+
+
+def evidence(text: str | None, grammar: Grammar, symbols: dict[str, tuple[int, float]], shares: list[float] | None = None) -> tuple[float, int]:
+    """Weight of the matched clauses of a text, and their number."""
+    shares = shares or grammar.shares()
+    weights = [sum(shares[c] * w for c, w in found) for found in clauses(text, grammar, symbols)]
+    return sum(weights, 0.0), sum(w > 0 for w in weights)
+
+
+def context_sums(text: str | None, grammar: Grammar, symbols: dict[str, tuple[int, float]]) -> list[float]:
+    """Weight that a text holds in each context."""
+    out = [0.0] * CONTEXTS
+    for found in clauses(text, grammar, symbols):
+        for c, w in found:
+            out[c] += w
+    return out
 
 
 def _in_train() -> Column:
@@ -206,7 +254,13 @@ def learn_lexicon(rows: DataFrame, n: int, toxic: int) -> tuple[dict[str, float]
     ratio = 2 * (part(F.col("bad"), toxic / n) + part(F.col("all") - F.col("bad"), 1 - toxic / n))
     clear = (F.col("bad") * n > F.col("all") * toxic) & (ratio >= LEAST_RATIO) & (bad >= LEAST_SHARE * (F.col("all") + 1))
     chosen = counts.filter(clear).withColumn("odds", cautious).filter("odds > 0")
-    best = chosen.orderBy(F.desc(F.col("bad") * F.col("odds")), "feature").limit(LEXICON).collect()
+    chosen = save_stage(chosen.select("feature", "odds"), "toxic-lexicon")
+    bare = F.regexp_replace("feature", r"^=|\*$", "")
+    longer = F.filter(F.array(*map(F.lit, STEMS)), lambda n: n < F.char_length(bare))
+    stems = F.transform(longer, lambda n: F.concat(F.substring(bare, F.lit(1), n), F.lit("*")))
+    under = chosen.select("feature", "odds", F.explode(stems).alias("stem"))
+    implied = under.join(chosen.select(F.col("feature").alias("stem"), F.col("odds").alias("held")), "stem").filter("held >= odds")
+    best = chosen.join(implied.select("feature").distinct(), "feature", "left_anti").collect()
     words = {r.feature[1:]: r.odds for r in best if r.feature[0] == "="}
     return words, {r.feature[:-1]: r.odds for r in best if r.feature[0] != "="}
 
@@ -230,6 +284,30 @@ def squash(weight: float) -> float:
     return math.log1p(weight)
 
 
+def fit_contexts(grammar: Grammar, sums: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+    """Set the context weights and the curve to the best of the values tried, one weight at a time."""
+
+    def likelihood():
+        x = np.log1p(sums @ np.array(grammar.shares()))
+        slope, shift = fit_curve(x, y, weight)
+        z = np.clip(slope * x + shift, -30, 30)
+        return float((weight * (y * z - np.log1p(np.exp(z)))).sum()), slope, shift
+
+    best, grammar.slope, grammar.shift = likelihood()
+    moved = True
+    while moved:  # each change gains LEAST_GAIN, so this ends
+        moved = False
+        for name, tried in TRIED.items():
+            for value in tried:
+                before = getattr(grammar, name)
+                setattr(grammar, name, value)
+                gained, slope, shift = likelihood()
+                if gained >= best + LEAST_GAIN:
+                    best, grammar.slope, grammar.shift, moved = gained, slope, shift, True
+                else:
+                    setattr(grammar, name, before)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Learn a grammar from labelled training rows."""
     chosen = train_rows(docs, labels)
@@ -242,9 +320,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         grammar.slope, grammar.shift = 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6))
         return grammar
     sample = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.8 * FIT_ROWS / n)))
-    seen = apply(_labelled(docs, sample), grammar).groupBy("evidence", "toxic").count().orderBy("evidence", "toxic").limit(FIT_ROWS).toPandas()
-    x = np.array([squash(v) for v in seen["evidence"]])
-    grammar.slope, grammar.shift = fit_curve(x, seen["toxic"].to_numpy(float), seen["count"].to_numpy(float))
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def summed(texts: pd.Series) -> pd.Series:
+        symbols = {}
+        return pd.Series([context_sums(t, shared.value, symbols) for t in texts], dtype=object)
+
+    rows = _labelled(docs, sample).select(summed("text").alias("sums"), "toxic")
+    seen = rows.groupBy("sums", "toxic").count().orderBy("sums", "toxic").limit(FIT_ROWS).collect()
+    if seen:
+        fit_contexts(grammar, np.array([r["sums"] for r in seen]), np.array([float(r["toxic"]) for r in seen]), np.array([float(r["count"]) for r in seen]))
     return grammar
 
 
@@ -254,8 +340,8 @@ def apply(df: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(T.StructType([T.StructField("evidence", T.DoubleType()), T.StructField("clauses", T.IntegerType()), T.StructField("score", T.DoubleType())]))
     def judged(texts: pd.Series) -> pd.DataFrame:
-        g, symbols = shared.value, {}
-        out = [evidence(t, g, symbols) for t in texts]
+        g, symbols, shares = shared.value, {}, shared.value.shares()
+        out = [evidence(t, g, symbols, shares) for t in texts]
         score = [1 / (1 + math.exp(-max(-500.0, min(500.0, g.slope * squash(w) + g.shift)))) for w, _ in out]
         return pd.DataFrame({"evidence": [w for w, _ in out], "clauses": [c for _, c in out], "score": score})
 

@@ -1,5 +1,9 @@
+import dataclasses
 import itertools
+import math
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,12 +40,28 @@ def slow(symbols):
     return total
 
 
+def clause_weight(symbols):
+    shares = G.shares()
+    return sum(shares[c] * w for c, w in toxicity.found_contexts(symbols))
+
+
+def test_composed_machine_says_what_its_parts_say():
+    parts = [toxicity.within(NEGATES, 2), toxicity.ever(REPORTS), toxicity.within(TARGETS, 3)]
+    whole = toxicity.compose(toxicity.compose(parts[0], parts[1]), parts[2])
+    assert len(whole.arcs) <= 3 * 2 * 4
+    for word in itertools.product(range(6), repeat=5):
+        at, states = 0, [0, 0, 0]
+        for symbol in word:
+            assert whole.out[at] == tuple(p.out[s][0] for p, s in zip(parts, states, strict=True))
+            at, states = whole.arcs[at][symbol], [p.arcs[s][symbol] for p, s in zip(parts, states, strict=True)]
+
+
 def test_composition_equals_the_plain_definition():
     for kinds in itertools.product([OTHER, INSULT, THREATENS, TARGETS, NEGATES, REPORTS], repeat=5):
         symbols = [(k, 2.0) for k in kinds]
-        assert toxicity.compose(symbols) == pytest.approx(slow(symbols)), kinds
+        assert clause_weight(symbols) == pytest.approx(slow(symbols)), kinds
     long = [(TARGETS, 1.0), *[(OTHER, 0.0)] * 4, (INSULT, 1.0), *[(OTHER, 0.0)] * 4, (TARGETS, 1.0)]
-    assert toxicity.compose(long) == pytest.approx(slow(long)) == 1.0
+    assert clause_weight(long) == pytest.approx(slow(long)) == 1.0
 
 
 def test_only_copies_are_folded_before_learning(spark):
@@ -56,6 +76,41 @@ def test_only_copies_are_folded_before_learning(spark):
     assert sorted(learned[k] for k in learned if 1000 <= k < 5000) == [0, 1] and {k for k in learned if k >= 5000} == {k for k in train if k >= 5000}
 
 
+def test_contexts_are_learned_and_beat_the_sum_of_weights(spark):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    kinds = {1: ["you are a zorgface", "what a zorgface"], 0: ["he is not a zorgface", "she said zorgface once", "you are a friend", "what a day"]}
+    rows = []
+    for k in range(3000):
+        toxic = int(k % 3 == 0)
+        text = kinds[1][k // 3 % 2] if toxic else kinds[0][k // 30 % 2 if k % 30 == 1 else 2 + k % 2]
+        rows.append((k, f"{own(k)}. {text}.", toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert learned.negated < 1 and learned.reported < 1 and len(learned.words) + len(learned.stems) == 1
+    held = [(t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 4 == 2 and "zorgface" in t]
+    seen = lambda g: [(toxicity.squash(toxicity.evidence(t, g, {})[0]) * g.slope + g.shift > math.log(0.3 / 0.7)) == y for t, y in held]
+    plain = dataclasses.replace(learned, target=1.0, negated=1.0, reported=1.0)
+    assert sum(seen(learned)) == len(held) > sum(seen(plain)) and {y for _, y in held} == {0, 1}
+
+
+def test_a_context_weight_follows_the_labels():
+    sums = np.zeros((6, toxicity.CONTEXTS))
+    sums[1:3, 0], sums[3:5, 1], sums[5, 4] = [2.0, 3.0], [2.0, 3.0], 2.0
+    fitted = {}
+    for share in (0.05, 0.5, 0.95):
+        y = np.array([0.02, 0.9, 0.95, share, share, 0.9])
+        g = toxicity.Grammar()
+        toxicity.fit_contexts(g, np.vstack([sums, sums]), np.repeat([1.0, 0.0], 6), 200 * np.concatenate([y, 1 - y]))
+        fitted[share] = g.negated
+    assert fitted[0.05] < 0.25 <= fitted[0.5] < 1.0 == fitted[0.95]
+
+
+def test_entries_that_a_stem_implies_are_left_out(spark):
+    rows = spark.createDataFrame([("stupidity and stupider", 1)] * 200 + [("fine words here", 0)] * 400, "text string, toxic int")
+    words, stems = toxicity.learn_lexicon(rows, 600, 200)
+    assert "stupidity" not in words and "stu" in stems and set(stems) <= {"stu", "and"} and set(words) <= {"and"}
+
+
 def test_without_labels_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5.0), (1, None, 5.0), (None, "moron", 1.0), (3, "", 1.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
