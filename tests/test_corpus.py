@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions import text as tx
 from kindred.functions import wordlists as wl
-from kindred.operators import dedupe, filters, lemmas, seeds, stats
-from kindred.plans import corpus
+from kindred.operators import dedupe, filters, lemmas, seeds, stats, terms
+from kindred.plans import corpus, inputs
 
 SONG = "song_id long, seq long, track_name string, artist string, lyrics string"
 
@@ -187,3 +188,36 @@ def test_song_sets_treat_null_artists_as_equal(spark):
     assert rows(dedupe.shared_songs(a, b)) == [("x", None)]
     assert rows(dedupe.only_in_first(a, b)) == [("y", "b")]
     assert rows(dedupe.all_songs(a, b)) == sorted([("x", None), ("y", "b"), ("z", "c")], key=str)
+
+
+def test_tokens_come_back_from_their_text(spark):
+    lists = [["a", "b"], [], None, [""], ["a b", "c"], [None, "a"], ["a", ""], ["x\ny"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, t array<string>")
+    packed = df.select("i", tx.join_tokens("t").alias("x"), tx.odd_tokens("t").alias("odd"))
+    assert [r.t for r in packed.select("i", tx.tokens_of("x", "odd").alias("t")).orderBy("i").collect()] == lists
+    assert [r.i for r in packed.where("odd is not null").orderBy("i").collect()] == [1, 3, 4, 5, 6]
+
+
+def test_copies_are_found_without_moving_tokens(spark):
+    df = corpus.clean_corpus(full_fixture(spark)).select("song_id", "tokens", "processed_lyrics")
+    assert all(r.tokens == r.processed_lyrics.split(" ") for r in df.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    moved = next(line for line in plan[plan.index("Window") :].splitlines() if "Project" in line)
+    columns = [c.strip().rsplit(" AS ", 1)[-1].split("#")[0] for c in moved[moved.index("[") + 1 : -1].split(", ")]
+    assert "tokens" not in columns and "_odd" in columns
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    spark.range(1000).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(inputs, "TASK_ROWS", 10)
+    df = inputs.read_table(spark, str(tmp_path), "documents")
+    assert df.rdd.getNumPartitions() == 100 and df.count() == df.distinct().count() == 1000
+
+
+def test_tasks_of_term_vectors_grow_with_the_songs(spark, monkeypatch):
+    rows = [(i, i, ["aa", "bb", f"w{i % 7}"]) for i in range(600)]
+    songs = spark.createDataFrame(rows, "song_id long, seq long, tokens array<string>")
+    vocabulary = terms.fit_vocabulary(songs).localCheckpoint()
+    monkeypatch.setattr(terms, "TASK_SONGS", 20)
+    vectors = terms.term_vectors(songs, vocabulary)
+    assert vectors.rdd.getNumPartitions() == 30 and vectors.count() == 600
