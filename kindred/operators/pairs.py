@@ -90,7 +90,7 @@ def most_similar_pairs(vectors: DataFrame, k: int = 15, *, cell_rows: int = neig
     alike = Window.partitionBy(*neighbours.KEY, *cols).orderBy("seq")
     rows = rows.withColumn("_rn", F.row_number().over(alike)).where(F.col("_rn") <= k + 1)
     rows = save_stage(rows.drop("_rn").withColumn("_query", F.lit(False)), "pair-songs")
-    rows, levels = neighbours.grown_cells(rows, cols, cell_rows)
+    rows = neighbours.grown_cells(rows, cols, cell_rows)
 
     song = vectors.schema["song_id"].dataType.simpleString()
     schema = f"song_a {song}, song_b {song}, seq_a bigint, seq_b bigint, similarity double"
@@ -105,12 +105,9 @@ def most_similar_pairs(vectors: DataFrame, k: int = 15, *, cell_rows: int = neig
     own = save_stage(rows.groupBy("_leaf").applyInArrow(run, kind), "pair-bounds")
     if own.select("_leaf").distinct().limit(2).count() > 1:
         queries = rows.select("song_id", "seq", *cols, *neighbours.KEY, F.lit(floor).alias("_floor"), F.col("_leaf").alias("_own"))
-        sent = neighbours.routed(queries, neighbours.leaf_bounds(own, rows, levels), levels, cols).where("_own < _leaf")
-        dealt, chunks = neighbours.chunked(sent, "_leaf", neighbours.CHUNK_ROWS)
-        members = neighbours.copied(rows.select("song_id", "seq", *cols, "_leaf"), chunks, "_leaf")
-        across = dealt.groupBy("_leaf", "_chunk").cogroup(members.groupBy("_leaf", "_chunk")).applyInArrow(
-            _best_across(cols, k, floor), schema
-        )
+        queries = neighbours.numbered(queries)
+        sent = neighbours.routed(queries, neighbours.leaf_bounds(own, cols), cols).where("_own < _leaf")
+        across = neighbours.meetings(sent, queries, rows, cols, _best_across(cols, k, floor), schema)
         best = save_stage(best.unionByName(across).orderBy(*order).limit(k), "pair-best")
     if cols == SPARSE and best.count() < min(k, n * (n - 1) // 2):
         best = best.unionByName(_zero_pairs(vectors, best, k))
@@ -129,7 +126,7 @@ def _pair_finder(cols, k: int, floor: float):
 
         seqs = table.column("seq").to_numpy()
         best = (np.zeros(0), np.zeros(0, "int64"), np.zeros(0, "int64"))
-        for chunk, sims in scores(table, left, right):
+        for chunk, sims in scores(table, left, right) if len(left) and len(right) else ():
             ok = sims >= floor
             if sparse:
                 ok &= sims > 0

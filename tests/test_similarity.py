@@ -312,3 +312,26 @@ def test_neighbours_of_nothing_and_of_one(spark):
     kind = "song_id long, seq long, vector array<double>"
     assert neighbours.all_neighbours(spark.createDataFrame([], kind), 3).count() == 0
     assert neighbours.all_neighbours(spark.createDataFrame([(1, 1, [1.0])], kind), 3).count() == 0
+
+
+@pytest.mark.parametrize("dense_kind", [True, False])
+def test_songs_are_sent_by_number_and_copied_once_a_block(spark, monkeypatch, dense_kind):
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(size=(300, 6)))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    if dense_kind:
+        rows, kind = [(i, i, [float(c) for c in v]) for i, v in enumerate(x)], "vector array<double>"
+    else:
+        rows, kind = [(i, i, list(range(6)), [float(c) for c in v]) for i, v in enumerate(x)], "term_ids array<int>, weights array<double>"
+    df = save_stage(spark.createDataFrame(rows, f"song_id long, seq long, {kind}"), "unstructured")
+    monkeypatch.setattr(neighbours, "FAN", 20)
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 8)
+    sent, met = [], []
+    routed, meetings = neighbours.routed, neighbours.meetings
+    monkeypatch.setattr(neighbours, "routed", lambda *a: sent.append(routed(*a)) or sent[-1])
+    monkeypatch.setattr(neighbours, "meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    got = {(r["seed_id"], r["rank"]): r["song_id"] for r in neighbours.all_neighbours(df, 3, cell_rows=15).collect()}
+    assert got == {(i, n + 1): j for i in range(300) for n, (j, _) in enumerate(brute_top(x, i, 3))}
+    assert set(sent[0].columns) == {"_qid", "_own", "_block", "_leaf"}  # no vector
+    copies, cells = sent[0].select("_qid", "_block").distinct().count(), sent[0].count()
+    assert len(met) == 1 and copies < cells and sent[0].agg(F.countDistinct("_block")).first()[0] > 1
