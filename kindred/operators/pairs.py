@@ -106,8 +106,10 @@ def most_similar_pairs(vectors: DataFrame, k: int = 15, *, cell_rows: int = neig
     if own.select("_leaf").distinct().limit(2).count() > 1:
         queries = rows.select("song_id", "seq", *cols, *neighbours.KEY, F.lit(floor).alias("_floor"), F.col("_leaf").alias("_own"))
         queries = neighbours.numbered(queries)
-        sent = neighbours.routed(queries, neighbours.leaf_bounds(own, cols), cols).where("_own < _leaf")
-        across = neighbours.meetings(sent, queries, rows, cols, _best_across(cols, k, floor), schema)
+        bounds = neighbours.leaf_bounds(own, cols)
+        sent = neighbours.routed(queries, bounds, cols, neighbours.routed_blocks(queries, bounds, cols))
+        sent = save_stage(sent.where("_own < _leaf"), "routed")
+        across = neighbours.few_meetings(sent, queries, rows, cols, _best_across(cols, k, floor), schema)
         best = save_stage(best.unionByName(across).orderBy(*order).limit(k), "pair-best")
     if cols == SPARSE and best.count() < min(k, n * (n - 1) // 2):
         best = best.unionByName(_zero_pairs(vectors, best, k))

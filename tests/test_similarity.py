@@ -5,10 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import neighbours, pairs, terms, topk
+from kindred.operators import matrices, neighbours, pairs, terms, topk
 from kindred.sources.shared import save_stage
 
 
@@ -335,3 +336,35 @@ def test_songs_are_sent_by_number_and_copied_once_a_block(spark, monkeypatch, de
     assert set(sent[0].columns) == {"_qid", "_own", "_block", "_leaf"}  # no vector
     copies, cells = sent[0].select("_qid", "_block").distinct().count(), sent[0].count()
     assert len(met) == 1 and copies < cells and sent[0].agg(F.countDistinct("_block")).first()[0] > 1
+
+
+def test_where_most_blocks_are_met_vectors_are_not_copied(spark, monkeypatch):
+    """Blocks meet in a cross join: behind it a query has its k + 1 best of a block, not of each leaf."""
+    rng = np.random.default_rng(6)
+    x = np.abs(rng.normal(size=(300, 6)))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    rows = [(i, i, list(range(6)), [float(c) for c in v]) for i, v in enumerate(x)]
+    df = save_stage(spark.createDataFrame(rows, "song_id long, seq long, term_ids array<int>, weights array<double>"), "crossed")
+    monkeypatch.setattr(neighbours, "FAN", 20)
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 8)
+    met, meetings = [], neighbours.meetings
+    monkeypatch.setattr(neighbours, "meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    got = {(r["seed_id"], r["rank"]): r["song_id"] for r in neighbours.all_neighbours(df, 3, cell_rows=15).collect()}
+    assert got == {(i, n + 1): j for i in range(300) for n, (j, _) in enumerate(brute_top(x, i, 3))}
+    plan = met[0]._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "CartesianProduct" in line or "BroadcastNestedLoopJoin" in line]
+    assert joins and "cogroup" not in plan.lower()
+    # At most four blocks of some eight leaves.
+    assert met[0].count() <= 300 * 4 * 4
+
+
+@pytest.mark.parametrize("common", [2, 10**9])
+def test_common_terms_do_not_change_scores(common, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((50, 30)) < rng.random(30), rng.random((50, 30)), 0)
+    ids = pa.array([np.flatnonzero(v).astype("int32") for v in x], pa.list_(pa.int32()))
+    table = pa.table({"term_ids": ids, "weights": pa.array([v[v > 0] for v in x], pa.list_(pa.float64()))})
+    monkeypatch.setattr(matrices, "COMMON_ROWS", common)
+    right = np.arange(7, 50)
+    for rows, sims in matrices.row_scorer(True, 6, 8)(table, np.arange(20), right):
+        assert np.abs(sims - x[rows] @ x[right].T).max() < 1e-6
