@@ -221,3 +221,23 @@ def test_tasks_of_term_vectors_grow_with_the_songs(spark, monkeypatch):
     monkeypatch.setattr(terms, "TASK_SONGS", 20)
     vectors = terms.term_vectors(songs, vocabulary)
     assert vectors.rdd.getNumPartitions() == 30 and vectors.count() == 600
+
+
+def test_only_the_chorus_text_moves_and_its_tokens_follow(spark):
+    rows = [(i, i, f"t{i % 4}", "a", "[Chorus]\n" + "golden river running slowly over silver stones tonight " * 3) for i in range(8)]
+    songs = spark.createDataFrame(rows, "song_id long, seq long, track_name string, artist string, lyrics string")
+    df = corpus.chorus_corpus(songs).select("song_id", "tokens", "chorus_text", "processed_chorus")
+    assert sorted(r.song_id for r in df.collect()) == [0, 1, 2, 3]
+    assert all(r.tokens == r.processed_chorus.split(" ") for r in df.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "tokens" in plan[: plan.index("Window")] and "tokens" not in plan[plan.index("Window") :]
+
+
+def test_spread_files_are_read_without_a_shuffle(spark, tmp_path, monkeypatch):
+    spark.range(800).withColumnRenamed("id", "doc_id").repartition(16).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(inputs, "TASK_ROWS", 100)
+    df = inputs.read_table(spark, str(tmp_path), "documents")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == df.distinct().count() == 800
+    spark.range(800).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    assert inputs.read_table(spark, str(tmp_path), "pages").rdd.getNumPartitions() == 8
