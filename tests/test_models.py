@@ -271,3 +271,19 @@ def test_lists_at_several_cuts_equal_separate_searches(spark):
     assert topk.top_k_at_cuts(df, seeds.where("false"), 4, [2]).count() == 0
     with pytest.raises(ValueError):
         topk.top_k_at_cuts(df, df.select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("seed_id"), "song_id"), 4, [2])
+
+
+def test_a_pass_has_a_share_for_each_core_and_not_for_each_shuffle_task(spark, monkeypatch):
+    x = np.random.default_rng(9).random((120, 12))
+    rows = [(i, i, list(range(12)), [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "song_id long, seq long, term_ids array<int>, weights array<double>").repartition(60)
+    tasks, gram_pass = [], latent._gram_pass
+    monkeypatch.setattr(latent, "_gram_pass", lambda v, q: tasks.append(v.rdd.getNumPartitions()) or gram_pass(v, q))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        model = latent.fit_latent(df, n_components=3, tolerance=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(tasks) <= spark.sparkContext.defaultParallelism
+    assert np.allclose(model.singular_values, np.linalg.svd(x, compute_uv=False)[:3])
