@@ -287,3 +287,10 @@ def test_a_pass_has_a_share_for_each_core_and_not_for_each_shuffle_task(spark, m
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert max(tasks) <= spark.sparkContext.defaultParallelism
     assert np.allclose(model.singular_values, np.linalg.svd(x, compute_uv=False)[:3])
+
+
+def test_terms_of_one_loading_follow_the_alphabet(spark):
+    loadings = spark.createDataFrame([(1, 0, 0.3), (1, 1, 0.3 + 1e-15), (1, 2, 0.4)], "topic int, term_id int, loading double")
+    names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "term_id int, term string")
+    got = latent.topic_terms(loadings, names, n_topics=1, n_terms=3).orderBy("rank").collect()
+    assert [r["term"] for r in got] == ["c", "a", "b"]
