@@ -85,6 +85,43 @@ def test_term_vector_plan_has_one_shuffle(fitted):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_terms_are_counted_as_arrays(fitted, monkeypatch):
+    """No occurrence of a term becomes a row: a task sends one row per term and piece of songs."""
+    songs, df, vocab, *_ = fitted
+    assert "explode" not in terms.term_vectors(df, vocab)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(terms, "PIECE_ROWS", len(songs))
+    sent = df.select("tokens").coalesce(1).mapInArrow(terms._count_words, "term string, _all long, _doc long").collect()
+    words = [[w for w in t if len(w) >= 2] for _, _, t in songs]
+    assert len(sent) == len({w for t in words for w in t})
+    assert {r["term"]: (r["_all"], r["_doc"]) for r in sent} == {
+        w: (sum(t.count(w) for t in words), sum(w in t for t in words)) for t in words for w in t
+    }
+
+
+def test_vectors_of_odd_rows_are_those_of_a_join(spark, monkeypatch):
+    """Words with blanks, missing words and lists, repeated and missing keys, a term that stands twice."""
+    rows = [
+        (1, 1, ["aa", "bb", "aa bb", "cc", None, "", "é", "ßß"]), (1, 1, ["aa", "bb"]), (1, 2, ["aa bb", "cc"]), (2, 2, None),
+        (3, 3, []), (4, 4, ["zz"]), (None, None, ["aa", "bb", "cc"]), (None, None, ["bb cc", "aa"]), (5, 5, ["aa", "x", "bb", "cc"]),
+    ]
+    songs = spark.createDataFrame(rows, "song_id long, seq long, tokens array<string>")
+    listed = [("aa", 0, 1.5), ("aa bb", 1, 2.0), ("aa bb", 5, 3.0), ("aa bb cc", 2, 2.5), ("bb cc", 3, 1.25), ("ßß", 4, 1.0), (None, 6, 1.0)]
+    vocabulary = spark.createDataFrame(listed, "term string, term_id int, idf double")
+
+    def told(**options):
+        found = terms.term_vectors(songs, vocabulary, **options).collect()
+        return sorted(((str(r[0]), str(r[1]), r[2], [round(w, 9) for w in r[3]]) for r in found), key=repr)
+
+    here = told(), told(use_idf=False)
+    fitted = [tuple(r) for r in terms.frequent_terms(songs, min_df=1).orderBy("term").collect()]
+    monkeypatch.setattr(terms, "PIECE_ROWS", 1)
+    assert (told(), told(use_idf=False)) == here
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", 0)
+    assert (told(), told(use_idf=False)) == here
+    assert [tuple(r) for r in terms.frequent_terms(songs, min_df=1).orderBy("term").collect()] == fitted
+    assert {("aa bb", 2, 2), ("aa bb", 4, 4), ("aa bb cc", 2, 2)} <= set(fitted)
+
+
 @pytest.mark.parametrize("way", ["scan", "cells"])
 def test_top_k_sparse(fitted, spark, monkeypatch, way):
     *_, vectors, names, idf, x = fitted

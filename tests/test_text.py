@@ -88,6 +88,19 @@ def test_type_token_gate(spark):
     assert run(spark, lambda c: tx.is_likely_lyrics(c, F.lower(c)), rich, exact, short, late) == [False, True, True, True]
 
 
+def test_ratio_splits_its_text_once(spark):
+    df = spark.range(1).select(tx.type_token_ratio(F.col("id").cast("string")).alias("ratio"))
+    assert df._jdf.queryExecution().analyzed().toString().count("[^a-z]+") == 1
+    words = [f"{'' if i else '-'}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)]
+    texts = " ".join(words), "9, ".join(words + words) + "!", " ".join(words[:99]), ".", ""
+    assert run(spark, tx.type_token_ratio, *texts) == [1.0, 150 / 200, None, None, None]
+
+
+def test_space_is_trimmed_at_both_ends_only(spark):
+    every = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    assert run(spark, tx.strip_space, every, f"{every}a{every}é{every}", "\u200bx ", "") == ["", f"a{every}é", "\u200bx", ""]
+
+
 def test_words_and_bigrams(spark):
     got = run(spark, lambda c: tx.with_bigrams(tx.vector_words(F.split(c, " "))), "sun x moon", "sun", "")
     assert got == [["sun", "moon", "sun moon"], ["sun"], []]
