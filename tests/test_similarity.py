@@ -405,3 +405,31 @@ def test_common_terms_do_not_change_scores(common, monkeypatch):
     right = np.arange(7, 50)
     for rows, sims in matrices.row_scorer(True, 6, 8)(table, np.arange(20), right):
         assert np.abs(sims - x[rows] @ x[right].T).max() < 1e-6
+
+
+@pytest.mark.parametrize("common, scratch, most", [(2, 1, 3), (10**9, 1 << 22, 1 << 14)])
+@pytest.mark.parametrize("keep, across", [(3, False), (3, True), (10**6, False)])
+def test_single_precision_loses_no_pair(monkeypatch, common, scratch, most, keep, across):
+    """Scores that single precision cannot tell apart: what reaches a floor is found, with its full score."""
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((60, 40)) < rng.random(40), rng.random((60, 40)), 0)
+    x[:, 0] += 0.1
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    x[30:40] = x[10:20] + 1e-9 * rng.random((10, 40)) * (x[10:20] > 0)
+    ids = pa.array([np.flatnonzero(v).astype("int32") + 10**6 for v in x], pa.list_(pa.int32()))
+    table = pa.table({"term_ids": ids, "weights": pa.array([v[v > 0] for v in x], pa.list_(pa.float64()))})
+    for name, value in (("COMMON_ROWS", common), ("SCRATCH", scratch), ("EXACT_PAIRS", most), ("FILTER_ROWS", 7)):
+        monkeypatch.setattr(matrices, name, value)
+    sims, left, right = x @ x.T, np.arange(20), np.arange(20, 60)
+    floors = np.sort(sims[:, right], axis=1)[:, -8] - 1e-12  # the floor of each row is one of its scores
+    prepare, near = matrices.pair_filter(True)
+    found = {}
+    for a, b, value in near(prepare(table), left, right, floors, keep, 1e-6, across=across):
+        assert np.abs(value - sims[a, b]).max(initial=0) < 1e-14
+        found |= dict.fromkeys(zip(a.tolist(), b.tolist()))
+    for at in range(0, 20, 7):
+        some = left[at : at + 7]
+        pairs_of = [(a, b) for a in some for b in right if sims[a, b] >= floors[a]]
+        best = sorted(pairs_of, key=lambda p: -sims[p])
+        wanted = best[:keep] if across else [p for a in some for p in [q for q in best if q[0] == a][:keep]]
+        assert set(wanted) <= set(found)
