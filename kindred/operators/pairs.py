@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.operators import neighbours
-from kindred.operators.matrices import SPARSE, row_scorer, vector_columns
+from kindred.operators.matrices import SPARSE, pair_filter, rounder, row_scorer, vector_columns
 from kindred.sources.shared import save_stage
 
 DIGITS = 6
@@ -107,9 +107,13 @@ def most_similar_pairs(vectors: DataFrame, k: int = 15, *, cell_rows: int = neig
         queries = rows.select("song_id", "seq", *cols, *neighbours.KEY, F.lit(floor).alias("_floor"), F.col("_leaf").alias("_own"))
         queries = neighbours.numbered(queries)
         bounds = neighbours.leaf_bounds(own, cols)
-        sent = neighbours.routed(queries, bounds, cols, neighbours.routed_blocks(queries, bounds, cols))
-        sent = save_stage(sent.where("_own < _leaf"), "routed")
-        across = neighbours.few_meetings(sent, queries, rows, cols, _best_across(cols, k, floor), schema)
+        blocks = neighbours.routed_blocks(queries, bounds, cols)
+        sent = neighbours.routed(queries, bounds, cols, blocks)
+        if neighbours.many_blocks(blocks, queries, bounds):
+            across = neighbours.meetings(queries, bounds, rows, cols, _best_met(cols, k, floor), schema)
+        else:
+            sent = save_stage(sent.where("_own < _leaf"), "routed")
+            across = neighbours.few_meetings(sent, queries, rows, cols, _best_across(cols, k, floor), schema)
         best = save_stage(best.unionByName(across).orderBy(*order).limit(k), "pair-best")
     if cols == SPARSE and best.count() < min(k, n * (n - 1) // 2):
         best = best.unionByName(_zero_pairs(vectors, best, k))
@@ -119,31 +123,32 @@ def most_similar_pairs(vectors: DataFrame, k: int = 15, *, cell_rows: int = neig
 
 
 def _pair_finder(cols, k: int, floor: float):
-    scores, sparse = row_scorer(cols == SPARSE, DIGITS), cols == SPARSE
+    """The k best pairs of a row of one side and one of the other, for each yield of sides, as an Arrow table."""
+    sparse, step = cols == SPARSE, 10.0**-DIGITS
+    (prepare, near), rounded, cols = pair_filter(sparse), rounder(DIGITS), list(cols)
 
-    def find(table, left, right, within: bool):
-        """The k best pairs of a row of ``left`` and one of ``right``, as an Arrow table."""
+    def find(table, sides, within: bool = False):
         import numpy as np
         import pyarrow as pa
 
-        seqs = table.column("seq").to_numpy()
+        def later(left, right):
+            return right[None, :] > left[:, None]
+
+        seqs, rows = table.column("seq").to_numpy(), prepare(table.select(cols))
+        floors = np.full(len(seqs), floor - step)
         best = (np.zeros(0), np.zeros(0, "int64"), np.zeros(0, "int64"))
-        for chunk, sims in scores(table, left, right) if len(left) and len(right) else ():
-            ok = sims >= floor
-            if sparse:
-                ok &= sims > 0
-            if within:
-                ok &= right[None, :] > chunk[:, None]
-            i, j = np.nonzero(ok)
-            if len(i) > k:  # of ties at the end all stay until they are put in order
-                least = np.partition(sims[i, j], len(i) - k)[len(i) - k]
-                i, j = np.nonzero(ok & (sims >= least))
-            a, b = chunk[i], right[j]
-            swap = seqs[a] > seqs[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            value, a, b = (np.concatenate(p) for p in zip(best, (sims[i, j], a, b)))
-            take = np.lexsort((seqs[b], seqs[a], -value))[:k]
-            best = value[take], a[take], b[take]
+        for left, right in sides:
+            for a, b, value in near(rows, left, right, floors, k, step, across=True, allowed=later if within else None):
+                value = rounded(value)
+                real = (value >= floor) & ((value > 0) if sparse else True)
+                a, b = a[real], b[real]
+                swap = seqs[a] > seqs[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                value, a, b = (np.concatenate(p) for p in zip(best, (value[real], a, b)))
+                take = np.lexsort((seqs[b], seqs[a], -value))[:k]
+                best = value[take], a[take], b[take]
+                if len(take) == k:
+                    floors[:] = max(floor, best[0][-1]) - step
         value, a, b = best
         ids = table.column("song_id")
         return pa.table(
@@ -161,7 +166,7 @@ def _best_inside(cols, k: int, floor: float):
         import numpy as np
 
         every = np.arange(table.num_rows)
-        return find(table, every, every, True)
+        return find(table, [(every, every)], True)
 
     return run
 
@@ -175,8 +180,20 @@ def _best_across(cols, k: int, floor: float):
         import pyarrow as pa
 
         both = pa.concat_tables([left.select(names), right.select(names)])
-        n, m = (left.num_rows, right.num_rows) if left.num_rows and right.num_rows else (0, 0)
-        return find(both, np.arange(n), n + np.arange(m), False)
+        n, m = left.num_rows, right.num_rows
+        return find(both, [(np.arange(n), n + np.arange(m))] if n and m else [])
+
+    return run
+
+
+def _best_met(cols, k: int, floor: float):
+    """The best pairs of a meeting of blocks, of a song and another in a later leaf."""
+    find, leaves, meeting = _pair_finder(cols, k, floor), neighbours.across_leaves(cols), neighbours.met_rows()
+
+    def run(batches):
+        for left, right, cells in meeting(batches):
+            both, each = leaves(left, right, cells, True)
+            yield from find(both, each).to_batches()
 
     return run
 

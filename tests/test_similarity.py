@@ -433,3 +433,19 @@ def test_single_precision_loses_no_pair(monkeypatch, common, scratch, most, keep
         best = sorted(pairs_of, key=lambda p: -sims[p])
         wanted = best[:keep] if across else [p for a in some for p in [q for q in best if q[0] == a][:keep]]
         assert set(wanted) <= set(found)
+
+
+def test_best_pairs_of_blocks_that_mostly_meet_copy_no_vector(spark, monkeypatch):
+    """Where bounds exclude little the blocks of songs meet in a cross join; no row is written for a song and a leaf."""
+    rng = np.random.default_rng(10)
+    x = np.abs(rng.normal(size=(300, 6)))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    rows = [(i, i, list(range(6)), [float(c) for c in v]) for i, v in enumerate(x)]
+    df = save_stage(spark.createDataFrame(rows, "song_id long, seq long, term_ids array<int>, weights array<double>"), "paired")
+    monkeypatch.setattr(neighbours, "FAN", 20)
+    monkeypatch.setattr(neighbours, "BLOCK_CELLS", 8)
+    met, meetings = [], neighbours.meetings
+    monkeypatch.setattr(neighbours, "meetings", lambda *a: met.append(meetings(*a)) or met[-1])
+    got = pairs.most_similar_pairs(df, 40, cell_rows=15).orderBy("rank").collect()
+    assert [(r["song_a"], r["song_b"], r["similarity"]) for r in got] == brute_pairs(x, 40)
+    assert len(met) == 1 and "cogroup" not in met[0]._jdf.queryExecution().executedPlan().toString().lower()
