@@ -449,3 +449,23 @@ def test_best_pairs_of_blocks_that_mostly_meet_copy_no_vector(spark, monkeypatch
     got = pairs.most_similar_pairs(df, 40, cell_rows=15).orderBy("rank").collect()
     assert [(r["song_a"], r["song_b"], r["similarity"]) for r in got] == brute_pairs(x, 40)
     assert len(met) == 1 and "cogroup" not in met[0]._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_numbers_of_queries_are_not_broadcast(spark):
+    """Millions of numbers lie in files so small that Spark would send them through the driver."""
+    vectors = ["array(0) AS term_ids", "array(1.0d) AS weights"]
+    queries = save_stage(spark.range(400).selectExpr("id AS _qid", "id % 4 AS _own", "0.5d AS _floor", "id AS song_id", "id AS seq", *vectors), "asking")
+    rows = save_stage(queries.selectExpr("song_id", "seq", "term_ids", "weights", "_own AS _leaf"), "placed")
+    bounds = save_stage(spark.range(4).selectExpr("id AS _leaf", "id DIV 2 AS _block", "array(0) AS _ids", "array(1.0d) AS _tops"), "bounding")
+    blocks = save_stage(queries.crossJoin(bounds.select("_block").distinct()).select("_qid", "_block"), "numbers")
+    sent = neighbours.routed(queries, bounds, matrices.SPARSE, blocks)
+    assert sent.count() == 400 * 3
+    sent = save_stage(sent, "sent")
+    kind = "_k1 bigint, _k2 bigint, song_id bigint, seq bigint, similarity double"
+    asking = queries.selectExpr("*", "_qid AS _k1", "_qid AS _k2")
+    met = neighbours.few_meetings(sent, asking, rows, matrices.SPARSE, neighbours._met(matrices.SPARSE, 2), kind)
+    assert met.count() == 400 * 3 * 2
+    for df in (neighbours.routed(queries, bounds, matrices.SPARSE, blocks), met):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "_qid" in line]
+        assert joins and not any("Broadcast" in line for line in joins), joins
